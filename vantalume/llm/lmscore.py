@@ -36,7 +36,7 @@ ALPHA = 0.4
 HOT_WORDS, HOT_SAMPLE = 512, 2000
 MOST_WORDS = 8_000_000
 #: Documents and bytes of text that a packed batch has at most.
-BATCH_DOCS, BATCH_BYTES = 60_000, 32 << 20
+BATCH_DOCS, BATCH_BYTES = 50_000, 20 << 20
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -272,7 +272,7 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
             times = [_unplanes(r["times"], np.uint32) for r in packs]
             if not packs:
                 continue
-            own = [np.add.reduceat(t, np.append(0, np.cumsum(n)[:-1])).astype(np.int64) for t, n in zip(times, lengths, strict=True)]
+            own = [np.add.reduceat(t, np.cumsum(n, dtype=np.int64) - n.astype(np.int64)).astype(np.int64) for t, n in zip(times, lengths, strict=True)]
             kinds, n = _summed(np.concatenate(keys), np.concatenate(own))
             keep = n >= min_count
             kinds, logs = kinds[keep], np.log(n[keep])
