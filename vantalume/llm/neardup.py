@@ -19,7 +19,7 @@ kept; input columns other than the named ones are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,34 @@ def _promising(nu: np.ndarray, nv: np.ndarray, a: np.ndarray, b: np.ndarray, sim
     return out
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets that aren't empty."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _by_group(width: int, of: Callable[[pa.Table], list[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over sorted rows: a function of each run of rows that agree in the first columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for x in batches:
+            k = np.stack([x.column(c).to_numpy() for c in range(width)], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)] if len(k) else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(k[i]) != key:
+                    yield from of(pa.Table.from_batches(held))
+                    held = []
+                key = tuple(k[i])
+                held.append(x.slice(i, j - i))
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    return run
+
+
 class Sketches:
     """The classes of equal sets of a table of texts, and the links between them."""
 
@@ -124,12 +152,12 @@ class Sketches:
         self.classes = settle(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
     def buckets(self) -> DataFrame:
-        """(key, rid) of every band of every class."""
+        """(key, rid) of every band of every class; a key's last bits are its band's number."""
 
         def rows(b: pa.RecordBatch) -> pa.RecordBatch:
             bands = _matrix(b.column(1)).astype(U64).reshape(-1, BANDS, ROWS)
             with np.errstate(over="ignore"):
-                keys = mix64(mix64((bands * _BAND[None]).sum(2, dtype=U64)) ^ (np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))[None])
+                keys = mix64((bands * _BAND[None]).sum(2, dtype=U64)) & ~U64(BANDS - 1) | np.arange(BANDS, dtype=U64)[None]
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel()))
             return record(rid=b.column(0), keys=lists)
 
@@ -192,9 +220,7 @@ class Sketches:
                     if kind == 0:
                         held, owner = s, (lead, salt)
                     elif owner == (lead, salt):
-                        small, large = (s, held) if len(s) <= len(held) else (held, s)
-                        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                        if 100 * both >= percent * (len(s) + len(held) - both):
+                        if _linked(s, held, percent):
                             a.append(rid)
                             b.append(lead)
                 yield record(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
@@ -209,9 +235,13 @@ class Sketches:
         mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         return settle(marked.join(mixed, "key"), "mixed")
 
-    def blockwise(self, mixed: DataFrame, block: int = 512) -> DataFrame:
-        """Promising pairs between a bucket's smaller components and all its other components."""
-        similarity, floor = self.similarity, self.floor
+    def blockwise(self, mixed: DataFrame, block: int = 256) -> DataFrame:
+        """Confirmed links between a bucket's smaller components and all its other components.
+
+        Sketches meet in blocks of at most about ``block`` rows a side and tell which rows have a promising partner;
+        only their sets come to the same blocks, where the pairs are confirmed. A pair is compared in the first
+        band that both share, once, and never becomes a row: only links come out.
+        """
         by_comp = mixed.groupBy("key", "comp").count()
         top = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
         blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
@@ -220,40 +250,52 @@ class Sketches:
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         members = sized.select("key", "rid", "comp", place(F.col("nm")).alias("mb"), every(F.col("ns")).alias("sb"), F.lit(False).alias("stray"))
         strays = sized.where("stray").select("key", "rid", "comp", every(F.col("nm")).alias("mb"), place(F.col("ns")).alias("sb"), F.lit(True).alias("stray"))
-        wide = members.union(strays).join(self.classes.select("rid", "n", "sketch"), "rid").select("key", "mb", "sb", "stray", "rid", "comp", "n", "sketch")
-        wide = wide.repartition(partitions(mixed.sparkSession), "key", "mb", "sb").sortWithinPartitions("key", "mb", "sb")
-
-        def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(group)
-            stray, rid, comp, n = (t.column(c).to_numpy() for c in ("stray", "rid", "comp", "n"))
-            sketch = _matrix(t.column("sketch").combine_chunks())
-            m, a, b = np.flatnonzero(~stray), [], []
+        dealt = ["key", "mb", "sb"]
+        sketched = self.classes.select("rid", "n", "sketch")
+        p = partitions(mixed.sparkSession)
+        wide = members.union(strays).join(sketched, "rid").select(*dealt, "stray", "rid", "comp", "n", "sketch").repartition(p, *dealt).sortWithinPartitions(*dealt)
+        similarity, floor, percent = self.similarity, self.floor, self.percent
+
+        def promising(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+            """Each stray's row, and the rows of its promising partners."""
+            stray, comp, n = (t.column(c).to_numpy() for c in ("stray", "comp", "n"))
+            sketch, band = _matrix(t.column("sketch").combine_chunks()), int(t.column("key")[0].as_py()) & (BANDS - 1)
+            bands = sketch.reshape(len(sketch), BANDS, ROWS)
+            m = np.flatnonzero(~stray)
             for s in np.flatnonzero(stray):
                 at = m[comp[m] != comp[s]]
                 if len(at):
-                    ok = at[_promising(np.full(len(at), n[s]), n[at], np.broadcast_to(sketch[s], (len(at), M)), sketch[at], similarity, floor)]
-                    a += ok.size * [rid[s]]
-                    b += rid[ok].tolist()
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            return record(a=np.maximum(a, b), b=np.minimum(a, b))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            key = None
-            for x in batches:
-                k = np.stack([x.column(c).to_numpy() for c in range(3)], 1)
-                cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)] if len(k) else []
-                for i, j in zip(cuts, cuts[1:], strict=False):
-                    if held and tuple(k[i]) != key:
-                        yield pairs(held)
-                        held = []
-                    key = tuple(k[i])
-                    held.append(x.slice(i, j - i))
-            if held:
-                yield pairs(held)
+                    at = at[(bands[at] == bands[s]).all(2).argmax(1) == band]
+                if len(at):
+                    at = at[_promising(np.full(len(at), n[s]), n[at], np.broadcast_to(sketch[s], (len(at), M)), sketch[at], similarity, floor)]
+                if len(at):
+                    yield int(s), at
+
+        def sift(t: pa.Table) -> list[pa.RecordBatch]:
+            rows = np.zeros(t.num_rows, bool)
+            for s, at in promising(t):
+                rows[s] = rows[at] = True
+            return t.select([*dealt, "stray", "rid", "comp", "n"]).filter(pa.array(rows)).combine_chunks().to_batches()
+
+        def confirm(t: pa.Table) -> list[pa.RecordBatch]:
+            rid, comp = t.column("rid").to_numpy(), t.column("comp").to_numpy()
+            sets = [np.frombuffer(x, U64) for x in t.column("elements").to_pylist()]
+            a, b = [], []
+            for s, at in promising(t):
+                met: set[int] = set()
+                for m in at.tolist():
+                    if comp[m] not in met and _linked(sets[s], sets[m], percent):
+                        met.add(comp[m])  # one link joins the components
+                        a.append(rid[s])
+                        b.append(rid[m])
+            return [record(a=np.array(a, np.int64), b=np.array(b, np.int64))]
 
         bounded_batches(mixed.sparkSession)
-        return wide.mapInArrow(run, "a bigint, b bigint").distinct()
+        kind = "key bigint, mb int, sb int, stray boolean, rid bigint, comp bigint, n bigint"
+        sifted = settle(wide.mapInArrow(_by_group(3, sift), kind), "sifted")
+        sets = self.sets(sifted.select("rid"))
+        wide = sifted.join(sketched.select("rid", "sketch"), "rid").join(sets, "rid").select(*dealt, "stray", "rid", "comp", "n", "sketch", "elements").repartition(p, *dealt).sortWithinPartitions(*dealt)
+        return settle(wide.mapInArrow(_by_group(3, confirm), "a bigint, b bigint"), "links")
 
     def labels(self) -> DataFrame:
         """(node, root) of every class that is linked with another."""
@@ -269,7 +311,7 @@ class Sketches:
         links = links.union(self.confirmed(self.estimated(star)))
         label = components(links)
         mixed = self.crossing(mixed.select("key", "rid"), label)
-        links = links.union(self.confirmed(settle(self.blockwise(mixed), "candidates")))
+        links = links.union(self.blockwise(mixed))
         return components(links)
 
 
