@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import settle
+
 REACH = 256
 #: Fixed patterns of the base kinds, in their order; a match counts from the given length on.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,7 +84,9 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
     # a weak candidate can only be linked where there is an access identifier or an endpoint
     may = (t.contains("AKIA") | t.contains("://")) & (t.rlike(WEAK["weaksecret"]) | t.rlike(WEAK["weakid"]) | t.contains("://"))
     plain = rows.where(~may).select(*(f"`{c}`" for c in keep), base.alias("base_spans")).select("*", F.col("base_spans").alias("spans"))
+    # written out: it has few rows, and filters inferred from the explosion below mustn't search all texts again
     marked = rows.where(may).select(*(f"`{c}`" for c in keep), base.alias("base_spans"), F.concat(*(_spans(t, p, k) for k, p in WEAK.items())).alias("__weak"), F.sha2(t, 256).alias("__key"))
+    marked = settle(marked, "candidates")
     linked = _link(marked, reach)
     added = F.coalesce("__linked", F.array().cast(SPAN))
     joined = marked.join(linked, "__key", "left").select(*(f"`{c}`" for c in keep), "base_spans", _sorted(F.concat("base_spans", added)).alias("spans"))
