@@ -36,7 +36,7 @@ ALPHA = 0.4
 HOT_WORDS, HOT_SAMPLE = 512, 2000
 MOST_WORDS = 8_000_000
 #: Documents and bytes of text that a packed batch has at most.
-BATCH_DOCS, BATCH_BYTES = 50_000, 20 << 20
+BATCH_DOCS, BATCH_BYTES = 50_000, 12 << 20
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -206,9 +206,10 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
             yield pa.RecordBatch.from_arrays([*first.columns, pa.array([doc.to_pylist()], pa.list_(doc.type))], names=[*first.schema.names, "ids"])
             if not parts:
                 return
-            key, doc_at, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc_at, key))
-            key, doc_at, value = key[order], doc_at[order], value[order]
+            key, doc_at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(key, kind="stable")  # documents rise already
+            key, doc_at, left, right = key[order], doc_at[order], left[order], right[order]
             new_key = np.append(True, key[1:] != key[:-1])
             new = new_key.copy()
             new[1:] |= doc_at[1:] != doc_at[:-1]
@@ -225,7 +226,7 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
                 i, j = edges[b], edges[b + 1]
                 if i < j:
                     p, q = entry_edges[i], entry_edges[j]
-                    rows.append((b, _planes(kinds[i:j]), _planes(lengths[i:j]), _planes(doc_at[at[p:q]].astype(np.uint16)), _planes(times[p:q]), _planes(value[key_at[i:j]])))
+                    rows.append((b, _planes(kinds[i:j]), _planes(lengths[i:j]), _planes(doc_at[at[p:q]].astype(np.uint16)), _planes(times[p:q]), _planes(left[key_at[i:j]]) + _planes(right[key_at[i:j]])))
             if rows:
                 b, *cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([uid] * len(b), pa.int64()), *map(binary, cols), pa.nulls(len(b), pa.list_(doc.type))], names=["bucket", "uid", "keys", "lengths", "docs", "times", "values", "ids"])
@@ -237,7 +238,8 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
                     yield from out()
                     ids, n_words, base, parts, size, n_docs, seq = [], [], [], [], 0, 0, seq + 1
                 kinds, back = np.unique(h, return_inverse=True)
-                logs = np.log(words.count(kinds))[back] if len(h) else np.empty(0)
+                counts = words.count(kinds)[back] if len(h) else np.empty(0, np.int64)
+                logs = np.log(counts)
                 frequent = _is_in(hot, kinds)[back] if len(h) else np.empty(0, bool)
                 once = (logs == 0) if len(h) else np.empty(0, bool)
                 doc = owner(at)
@@ -252,7 +254,7 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
                     sums += np.bincount(doc[p[often]], np.log(n[often]) + gain[p[often]], minlength=j - i)
                     # a pair with a word that occurs once can't be frequent
                     p = np.flatnonzero(one & ~both & ~once[:-1] & ~once[1:])
-                    parts.append((pair_hash(h[p], h[p + 1]), doc[p] + n_docs, gain[p]))
+                    parts.append((pair_hash(h[p], h[p + 1]), (doc[p] + n_docs).astype(np.uint16), counts[p], counts[p + 1]))
                 ids.append(batch.column(0).slice(i, j - i))
                 n_words.append(np.diff(at))
                 base.append(sums)
@@ -281,7 +283,9 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
                     break
                 at = np.minimum(np.searchsorted(kinds, k), len(kinds) - 1)
                 often = np.repeat(kinds[at] == k, m)
-                value = np.repeat(logs[at] + _unplanes(r["values"], np.float64), m)[often] * t[often]
+                half = len(r["values"]) // 2  # the words' counts: small numbers in wide integers, whose high planes are empty
+                gain = log_n - log_a - np.log(_unplanes(r["values"][:half], np.int64)) - np.log(_unplanes(r["values"][half:], np.int64))
+                value = np.repeat(logs[at] + gain, m)[often] * t[often]
                 sums = np.bincount(_unplanes(r["docs"], np.uint16)[often], value)
                 yield pa.RecordBatch.from_arrays([pa.array([r["uid"]]), binary([None]), binary([sums.tobytes()]), pa.nulls(1, pa.list_(batches_type))], names=["uid", "n", "sums", "ids"])
 
