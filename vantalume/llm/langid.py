@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, append_map, arrow_map, record
+from ._common import U64, append_map, arrow_map, least_keys, record
 
 SAMPLE = 1500
 SLACK = 1.5
@@ -166,11 +166,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     """Models of the languages in the column lang of docs, which has training rows only."""
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     pairs = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), key.alias("key"))
-    # the sample-th least hash of each language; ranks stop there in each task already
-    from pyspark.sql import Window
-
-    ranked = pairs.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("at") <= sample)
-    bound = {r["lang"]: r["most"] for r in ranked.groupBy("lang").agg(F.max("key").alias("most")).collect()}
+    bound = least_keys(pairs, "lang", sample)
     chosen = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), key.alias("key"))
     if bound:
         limits = F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, langid, lmscore, mixing, neardup, secret_scan, toxicity, vecdup, warc
-from ._common import remainder
+from ._common import least_keys, remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,9 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     drawn = None
     for y, most in ((1, toxicity.MOST_TOXIC), (0, toxicity.MOST_CLEAN)):
-        part = labels.where((F.col("toxic") == y) & (remainder("doc_id", 5) != 0)).orderBy(key, "doc_id").limit(most)
+        part = labels.where((F.col("toxic") == y) & (remainder("doc_id", 5) != 0))
+        edge = least_keys(part.select(F.col("toxic").alias("y"), key.alias("key")), "y", most).get(y)
+        part = part.where(key <= F.lit(edge).cast("bigint"))
         drawn = part if drawn is None else drawn.union(part)
     # at most MOST_TOXIC + MOST_CLEAN ids
     return docs.join(F.broadcast(drawn), "doc_id")

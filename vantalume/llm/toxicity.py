@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import append_map, arrow_map, record
+from ._common import append_map, arrow_map, least_keys, record
 
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4000, 8000, 4000
 STEMS = range(4, 8)
@@ -173,10 +173,7 @@ def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label:
     """A grammar learned from rows, which have a text and a label 0 or 1 (others are left out)."""
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("text"), key.alias("key"))
-    edges = {}
-    for y, most in ((1, most_toxic), (0, most_clean)):
-        least = rows.where(F.col("y") == y).select("key").orderBy("key").limit(most).agg(F.max("key")).first()[0]
-        edges[y] = least
+    edges = {y: least_keys(rows.where(F.col("y") == y).select("y", "key"), "y", most).get(y) for y, most in ((1, most_toxic), (0, most_clean))}
     if None in edges.values():
         return Grammar(dict.fromkeys(INSULTS, 3.0), {})
     rows = rows.where(((F.col("y") == 1) & (F.col("key") <= edges[1])) | ((F.col("y") == 0) & (F.col("key") <= edges[0]))).select("y", "text")
