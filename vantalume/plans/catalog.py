@@ -1,2 +1,287 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The engine's operators as queries over the driver's tables, each with the SQL it must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import vectors as vec
+from ..operators import annotate, index, masks, search
+from ..sources import frames, store
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _probe(df: DataFrame) -> list[float]:
+    """The query vector: that of id 0."""
+    return [float(x) for x in df.where("id = 0").first()["vector"]]
+
+
+_Q = "q AS (SELECT cast(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@_query(f"WITH {_Q} SELECT vec_id AS id, round(list_distance(e, q) ** 2, 6) AS distance, round(1e0 - list_distance(e, q) ** 2 / 2, 6) AS similarity FROM v, q ORDER BY list_distance(e, q) ** 2, vec_id LIMIT 10")
+def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    return search.knn(df, _probe(df), 10).select("id", F.round("distance", 6).alias("distance"), F.round(vec.similarity(F.col("distance")), 6).alias("similarity"))
+
+
+@_query(f"WITH {_Q} SELECT vec_id AS id, round(1e0 - list_cosine_similarity(e, q), 6) AS distance FROM v, q ORDER BY 1e0 - list_cosine_similarity(e, q), vec_id LIMIT 20")
+def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    return search.knn(df, _probe(df), 20, "cosine").select("id", F.round("distance", 6).alias("distance"))
+
+
+@_query("""WITH v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(v.e, q.e) ** 2 AS d FROM v, v q WHERE q.vec_id < 10),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 6) AS distance, cast(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    queries = df.where("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return search.knn_batch(df, queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@_query(f"WITH {_Q}, r AS (SELECT label, vec_id AS id, list_distance(e, q) ** 2 AS d, row_number() OVER (PARTITION BY label ORDER BY list_distance(e, q) ** 2, vec_id) AS rank FROM v, q) SELECT label, id, round(d, 6) AS distance, cast(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
+def knn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label is a collection of its own."""
+    df = _vectors(spark, sf_dir)
+    near = df.withColumn("distance", vec.sq_l2(F.col("vector"), vec.vector(_probe(df))))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("distance", "id"))).where("rank <= 3")
+    return ranked.select("label", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@_query("SELECT vec_id, unnest(range(0, len(embedding))) AS pos, round(unnest(list_transform(e3, lambda x: x / n)), 6) AS x FROM (SELECT vec_id, embedding, e3, sqrt(list_sum(list_transform(e3, lambda x: x * x))) AS n FROM (SELECT vec_id, embedding, list_transform(cast(embedding AS DOUBLE[]), lambda x: x * 3e0) AS e3 FROM embeddings))")
+def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tripled = F.transform("vector", lambda x: x.cast("double") * 3.0)
+    unit = _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), vec.normalize(tripled).alias("u"))
+    return unit.select("vec_id", F.posexplode("u").alias("p", "x")).select("vec_id", F.col("p").cast("bigint").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@_query(f"WITH {_Q} SELECT vec_id AS id, round(list_inner_product(e, q), 6) AS dot, round(list_distance(e, q), 6) AS l2, round(list_cosine_similarity(e, q), 6) AS cosine FROM v, q")
+def metric_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir)
+    v, q = F.col("vector"), vec.vector(_probe(df))
+    return df.select("id", F.round(vec.dot(v, q), 6).alias("dot"), F.round(vec.l2(v, q), 6).alias("l2"), F.round(vec.cosine_similarity(v, q), 6).alias("cosine"))
+
+
+@_query(f"WITH {_Q}, d AS (SELECT vec_id, list_cosine_similarity(e, q) AS s, label FROM v, q ORDER BY 1e0 - list_cosine_similarity(e, q), vec_id LIMIT 5) SELECT 'img/' || vec_id AS page_content, cast(label AS DOUBLE) AS ts, round(1e0 - s, 6) AS distance FROM d")
+def cosine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _vectors(spark, sf_dir).withColumns({"path": F.concat(F.lit("img/"), F.col("id").cast("string")), "timestamp": F.col("label").cast("double")})
+    return search.cosine_documents(df, _probe(df), 5).select("page_content", F.col("metadata.ts").alias("ts"), F.round("metadata.distance", 6).alias("distance"))
+
+
+@_query("SELECT doc_id, sha1(source || ':' || doc_id) AS id, sha1(text) AS content FROM documents")
+def id_sha1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.path_id(F.col("source"), F.col("doc_id").cast("string")).alias("id"), tx.content_id(F.col("text").cast("binary")).alias("content"))
+
+
+_HALVES = "old AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), fresh AS (SELECT c_custkey AS id, c_name || '!' AS name, c_acctbal + 1 AS v FROM customer WHERE c_custkey % 2 = 0)"
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
+    return c.where("id % 3 <> 0"), c.where("id % 2 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), (F.col("v") + 1).alias("v"))
+
+
+@_query(f"WITH {_HALVES} SELECT id FROM fresh WHERE id IN (SELECT id FROM old)")
+def insert_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.conflicts(*_halves(spark, sf_dir))
+
+
+@_query(f"WITH {_HALVES} SELECT count(*) AS n, list_aggregate(list_sort(list(id))[1:3], 'string_agg', ',') AS sample FROM fresh WHERE id IN (SELECT id FROM old)")
+def conflict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = store.conflicts(*_halves(spark, sf_dir))
+    first = found.orderBy("id").limit(3).agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("sample"))
+    return found.agg(F.count(F.lit(1)).alias("n")).crossJoin(first)  # one row each
+
+
+@_query(f"WITH {_HALVES} SELECT * FROM old WHERE id NOT IN (SELECT id FROM fresh) UNION ALL SELECT * FROM fresh")
+def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.merged(*_halves(spark, sf_dir))
+
+
+@_query("WITH h AS (SELECT sha1(text) AS id, doc_id AS pos FROM documents) SELECT id, pos FROM (SELECT *, min(pos) OVER (PARTITION BY id) AS first FROM h) WHERE pos > first")
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.repeated_ids(_t(spark, sf_dir, "documents").select(F.sha1(F.col("text").cast("binary")).alias("id"), F.col("doc_id").alias("pos")))
+
+
+@_query("SELECT o_orderkey, coalesce(max(l_discount), 0) AS detection_score, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def detect_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are hits, their lines detections; an order without lines scores 0. Scores combine before they are joined."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("best"), F.count(F.lit(1)).alias("n"))
+    joined = _t(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return joined.select("o_orderkey", F.coalesce("best", F.lit(0.0)).alias("detection_score"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("WITH d AS (SELECT l_orderkey AS id, max(l_discount) AS detection_score, min(l_extendedprice) AS p FROM lineitem GROUP BY l_orderkey) SELECT id, detection_score FROM d ORDER BY detection_score DESC, id LIMIT 10")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("retrieval_rank")).agg(F.max("l_discount").alias("detection_score"))
+    return search.rerank(d, 10).select(F.col("retrieval_rank").alias("id"), "detection_score")
+
+
+@_query(f"""WITH {_Q}, h AS (SELECT vec_id AS id, list_distance(e, q) ** 2 AS d, row_number() OVER (ORDER BY list_distance(e, q) ** 2, vec_id) AS rank FROM v, q),
+    s AS (SELECT id, d, rank, coalesce(max(l_discount), 0) AS score FROM h LEFT JOIN lineitem ON l_orderkey = id WHERE rank <= 20 GROUP BY id, d, rank)
+    SELECT id, round(1e0 - d / 2, 6) AS similarity_score, score AS detection_score, cast(rank AS INTEGER) AS retrieval_rank FROM s ORDER BY score DESC, rank LIMIT 5""")
+def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest 20, scored by the lines of the order of the same number, the best 5 of them."""
+    df = _vectors(spark, sf_dir)
+    hits = search.knn(df.select("id", "vector"), _probe(df), 20)
+    hits = hits.select("id", vec.similarity(F.col("distance")).alias("similarity_score"), F.row_number().over(Window.orderBy("distance", "id")).alias("retrieval_rank"))
+    # 20 hits go to the lines, not the lines to the hits
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_discount").join(F.broadcast(hits.select("id")), "id", "left_semi").groupBy("id").agg(F.collect_list("l_discount").alias("scores"))
+    scored = hits.join(lines, "id", "left").withColumn("detection_score", search.max_score(F.coalesce("scores", F.array().cast("array<double>"))))
+    return search.rerank(scored, 5).select("id", F.round("similarity_score", 6).alias("similarity_score"), "detection_score", "retrieval_rank")
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN l_returnflag END AS label FROM lineitem WHERE l_discount > 0.05")
+def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _t(spark, sf_dir, "lineitem").where(F.col("l_discount") > 0.05)
+    return kept.select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0.04, F.col("l_returnflag")).alias("label"))
+
+
+# Every part is a rectangular mask of a 32 x 32 image; five parts share an image, and some masks are empty.
+_PIXELS = """m AS (SELECT p_partkey // 5 AS image_id, p_partkey % 5 AS mask_idx, p_partkey * 7 % 24 AS x0, p_partkey * 5 % 24 AS y0, p_size % 9 AS mw, (p_size + p_partkey) % 8 AS mh FROM part),
+    px AS (SELECT image_id, mask_idx, x, y FROM (SELECT image_id, mask_idx, y0, mh, unnest(range(x0, x0 + mw)) AS x FROM m), (SELECT unnest(range(0, 40)) AS y) t WHERE y >= y0 AND y < y0 + mh),
+    a AS (SELECT image_id, mask_idx, count(*) AS n_px, avg(cast(x AS DOUBLE)) AS cx, avg(cast(y AS DOUBLE)) AS cy, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px GROUP BY image_id, mask_idx),
+    s AS (SELECT *, cast(n_px AS DOUBLE) / 1024e0 * (1e0 - sqrt((cx - 16) * (cx - 16) + (cy - 16) * (cy - 16)) / sqrt(512e0)) AS score FROM a),
+    b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, mask_idx DESC) - 1 AS j FROM s)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select((F.col("p_partkey") / 5).cast("bigint").alias("image_id"), (F.col("p_partkey") % 5).alias("mask_idx"), (F.col("p_partkey") * 7 % 24).alias("l"), (F.col("p_partkey") * 5 % 24).alias("t"), (F.col("p_size") % 9).alias("mw"), ((F.col("p_size") + F.col("p_partkey")) % 8).alias("mh"))
+    part = part.where("mw > 0 and mh > 0")
+    pixels = part.select("image_id", "mask_idx", "t", "mh", F.explode(F.sequence(F.col("l"), F.col("l") + F.col("mw") - 1)).alias("x")).select("image_id", "mask_idx", "x", F.explode(F.sequence(F.col("t"), F.col("t") + F.col("mh") - 1)).alias("y"))
+    return masks.measured(pixels).withColumns({"w": F.lit(32).cast("bigint"), "h": F.lit(32).cast("bigint")}).withColumn("score", masks.mask_score(F.col("n_px"), F.col("cx"), F.col("cy"), F.col("w"), F.col("h")))
+
+
+@_query(f"WITH {_PIXELS} SELECT image_id, mask_idx, n_px, round(cx, 6) AS cx, round(cy, 6) AS cy, round(score, 6) AS score, x0, y0, x1, y1 FROM s")
+def mask_score_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("image_id", "mask_idx", "n_px", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round("score", 6).alias("score"), "x0", "y0", "x1", "y1")
+
+
+@_query(f"WITH {_PIXELS} SELECT image_id, mask_idx, j, round(score, 6) AS score FROM b WHERE j < 2")
+def mask_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.best(_scored(spark, sf_dir), 2).select("image_id", "mask_idx", F.col("j").cast("bigint").alias("j"), F.round("score", 6).alias("score"))
+
+
+@_query(f"""WITH {_PIXELS}, c AS (SELECT image_id, mask_idx, greatest(0, x0 - greatest(1, cast(floor((x1 - x0) * 0.1e0) AS INTEGER))) AS bx0, greatest(0, y0 - greatest(1, cast(floor((y1 - y0) * 0.1e0) AS INTEGER))) AS by0,
+    least(32, x1 + greatest(1, cast(floor((x1 - x0) * 0.1e0) AS INTEGER))) AS bx1, least(32, y1 + greatest(1, cast(floor((y1 - y0) * 0.1e0) AS INTEGER))) AS by1 FROM b WHERE j = 0)
+    SELECT *, greatest(bx1 - bx0, by1 - by0) AS side, (greatest(bx1 - bx0, by1 - by0) - (bx1 - bx0)) // 2 AS pad_left, (greatest(bx1 - bx0, by1 - by0) - (by1 - by0)) // 2 AS pad_top FROM c""")
+def crop_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = masks.crops(masks.best(_scored(spark, sf_dir), 1), 0.1)
+    return c.select("image_id", "mask_idx", *(F.col(f"box.{k}").alias(f"b{k}") for k in ("x0", "y0", "x1", "y1")), F.col("square.side").alias("side"), F.col("square.left").cast("bigint").alias("pad_left"), F.col("square.top").cast("bigint").alias("pad_top"))
+
+
+@_query(f"WITH {_PIXELS}, i AS (SELECT DISTINCT p_partkey // 5 AS image_id FROM part) SELECT i.image_id, b.mask_idx, coalesce(b.j, 0) AS j, b.j IS NULL AS is_fallback FROM i LEFT JOIN (SELECT * FROM b WHERE j < 1) b USING (image_id)")
+def mask_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _t(spark, sf_dir, "part").select((F.col("p_partkey") / 5).cast("bigint").alias("image_id")).distinct()
+    return masks.with_fallback(images, masks.best(_scored(spark, sf_dir), 1)).select("image_id", "mask_idx", F.col("j").cast("bigint").alias("j"), "is_fallback")
+
+
+@_query("SELECT p_partkey, x, CASE WHEN x < p_size % 16 THEN p_partkey % 256 ELSE 128 END AS gray, CASE WHEN x < p_size % 16 THEN p_partkey % 256 ELSE 0 END AS black, x * 16 > 127 AS bit FROM part, (SELECT unnest(range(0, 16)) AS x) t")
+def background_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = _t(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("x"))
+    inside = F.col("x") < F.col("p_size") % 16
+    fill = lambda level: F.when(inside, F.col("p_partkey") % 256).otherwise(F.lit(level))
+    return px.select("p_partkey", "x", fill(128).alias("gray"), fill(0).alias("black"), (F.col("x") * 16 > 127).alias("bit"))
+
+
+@_query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
+def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.batch_ids(_t(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 64).select("doc_id", "batch")
+
+
+@_query("WITH b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents), c AS (SELECT batch, count(*) AS n FROM b GROUP BY batch) SELECT batch, n, cast(coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS processed FROM c")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = frames.batch_ids(_t(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 64).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    # batches but the last are full, so what came before one is a product
+    return n.select("batch", "n", (F.col("batch") * 64).alias("processed"))
+
+
+@_query("SELECT p_partkey, 'img/' || p_partkey || '.png:' || (p_partkey % 4) AS id, 'img/' || p_partkey || '.png' AS path FROM part")
+def crop_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = tx.crop_id(F.concat(F.lit("img/"), F.col("p_partkey").cast("string"), F.lit(".png")), F.col("p_partkey") % 4)
+    return _t(spark, sf_dir, "part").select("p_partkey", ident.alias("id")).withColumn("path", tx.source_path(F.col("id")))
+
+
+@_query("SELECT event_id, replace(printf('%.6f_%d', value, event_id % 5), '.', '_') || '.png' AS file FROM events")
+def crop_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", tx.crop_filename(F.col("value"), F.col("event_id") % 5).alias("file"))
+
+
+@_query("""WITH o AS (SELECT p_partkey AS k, 'p' || p_partkey AS path FROM part WHERE p_partkey % 3 <> 0), c AS (SELECT 'p' || p_partkey || ':0' AS id FROM part)
+    SELECT c.id, o.k, o.k IS NULL AS lost FROM c LEFT JOIN o ON split_part(c.id, ':', 1) = o.path""")
+def crop_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    crops = part.select(tx.crop_id(F.col("path"), F.lit(0)).alias("id"))
+    joined = crops.withColumn("path", tx.source_path(F.col("id"))).join(part.where("k % 3 <> 0"), "path", "left")
+    return joined.select("id", "k", F.col("k").isNull().alias("lost"))
+
+
+@_query(r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || '. ' ELSE p_name || '  ' END AS t FROM part)
+    SELECT p_partkey, CASE WHEN regexp_replace(t, '\s+$', '') LIKE '%.' THEN t ELSE regexp_replace(t, '\s+$', '') || ' .' END AS prompt FROM p""")
+def prompt_terminator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("p_partkey") % 3
+    t = F.when(r == 0, F.col("p_name")).when(r == 1, F.concat("p_name", F.lit(". "))).otherwise(F.concat("p_name", F.lit("  ")))
+    return _t(spark, sf_dir, "part").select("p_partkey", tx.terminated_prompt(t).alias("prompt"))
+
+
+@_query("SELECT p_partkey, p_name[1:12] || ' ' || printf('%.2f', p_partkey % 64 / 64e0) AS label, p_partkey % 8 AS colour, p_partkey % 30 + 3 AS ax, greatest(p_partkey % 30 - 18, 0) AS ay, p_size || ' mask' || CASE WHEN p_size <> 1 THEN 's' ELSE '' END AS n FROM part")
+def label_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    anchor = tx.text_anchor(k % 30, k % 30)
+    # a colour's place in the palette
+    colour = F.array_position(F.array(*(F.array(*map(F.lit, c)) for c in tx.PALETTE)), tx.palette(k)) - 1
+    return _t(spark, sf_dir, "part").select("p_partkey", tx.label_text(F.col("p_name"), k % 64 / 64.0).alias("label"), colour.alias("colour"), anchor["x"].alias("ax"), anchor["y"].alias("ay"), tx.plural(F.col("p_size"), "mask").alias("n"))
+
+
+@_query("""WITH d AS (SELECT l_orderkey AS id, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_discount, l_quantity) - 1 AS pos, l_returnflag, l_discount, l_quantity FROM lineitem)
+    SELECT id, cast(pos AS INTEGER) AS pos, l_returnflag || ' ' || printf('%.2f', l_discount) AS text, cast(trunc(l_quantity) AS INTEGER) + 3 AS ax, greatest(cast(trunc(l_quantity) AS INTEGER) - 18, 0) AS ay FROM d""")
+def annotation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_discount", "l_quantity"))).alias("d"))
+    q = lambda x: x["l_quantity"]
+    detected = lines.select("id", F.transform("d", lambda x: F.array(q(x), q(x), q(x), q(x))).alias("boxes"), F.transform("d", lambda x: x["l_discount"]).alias("scores"), F.transform("d", lambda x: x["l_returnflag"]).alias("labels"))
+    return annotate.instructions(detected).select("id", "pos", "text", F.col("anchor.x").alias("ax"), F.col("anchor.y").alias("ay"))
+
+
+@_query("WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events) SELECT event_id, rn FROM r WHERE (rn - 1) % greatest(1, n // 4) = 0 ORDER BY rn LIMIT 4")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.systematic_sample(_t(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], 4).select("event_id", "rn")
+
+
+@_query("SELECT event_id FROM events ORDER BY event_id LIMIT 100")
+def max_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.head(_t(spark, sf_dir, "events").select("event_id").orderBy("event_id"), 100)
+
+
+@_query("SELECT 'data/f' || event_id || '.png' AS path, round(value, 4) AS ts FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0")
+def frame_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = _t(spark, sf_dir, "events"), F.col("event_id")
+    line = F.when(i % 7 == 0, F.concat(F.lit("# "), i.cast("string"))).when(i % 11 == 0, F.lit("  ")).otherwise(F.concat(F.col("value").cast("string"), F.lit("  f"), i.cast("string"), F.lit(".png ")))
+    return frames.parse_frames(e.select(line.alias("value")), "data/").select("path", F.round("ts", 4).alias("ts"))
+
+
+@_query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
