@@ -144,6 +144,8 @@ class Models:
         grams, of = trigrams(s, text)
         n = np.bincount(of, minlength=len(texts))
         out = np.zeros((len(texts), len(self.langs)))
+        if not self.langs:
+            return out, n, letters
         for i in range(0, len(grams), CHUNK_CHARS):
             logs, t = self.of(grams[i : i + CHUNK_CHARS]), of[i : i + CHUNK_CHARS]
             for k in range(len(self.langs)):

@@ -204,7 +204,7 @@ def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total:
             doc = pa.concat_arrays(ids)
             first = record(bucket=pa.array([uid % buckets], pa.int32()), uid=pa.array([uid], pa.int64()), keys=binary([None]), lengths=binary([None]), docs=binary([np.concatenate(n_words).tobytes()]), times=binary([None]), values=binary([np.concatenate(base).tobytes()]))
             yield pa.RecordBatch.from_arrays([*first.columns, pa.array([doc.to_pylist()], pa.list_(doc.type))], names=[*first.schema.names, "ids"])
-            if not parts:
+            if not any(len(x[0]) for x in parts):
                 return
             key, doc_at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()

@@ -236,9 +236,10 @@ def read(history: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 
 
 def archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, least: int = LEAST_BYTES, folder: str | None = None) -> tuple[DataFrame, str]:
-    """Write pages to archives: the globally ordered index, and the folder of the archives."""
+    """Write pages to archives: the index, globally ordered by range and then row, and the folder of the archives."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    history = settle(merge(write(classify(pages, page_id, url, payload, captured, least), folder)), "history")
+    merged = merge(write(classify(pages, page_id, url, payload, captured, least), folder))
+    history = settle(merged.withColumn("range", F.spark_partition_id()), "history")
     return history, folder
 
 
