@@ -164,7 +164,9 @@ class Tree:
                         close(i)
                         break
             hint, keep = _hint(m["attrs"] or m["attrs2"] or "")
-            stack.append(add(tag, ("element", f"tag_{KIND.get(tag, 'div')}", f"hint_{hint}"), None, keep))
+            # an article's own header may hold its title; a page's doesn't
+            inner = "_inside" if tag == "header" and (self._tags[stack[-1]] in ("article", "main") or "hint_content" in self.features[stack[-1]]) else ""
+            stack.append(add(tag, ("element", f"tag_{KIND.get(tag, 'div')}{inner}", f"hint_{hint}"), None, keep))
         flush()
         # whether an element's text is mostly links goes with its tag
         size, linked = [0] * len(self.parent), [0.0] * len(self.parent)
@@ -257,7 +259,7 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
     off = lambda tag, names, body: f'<{tag}{f" class={chr(34)}{r.choice(names)}{chr(34)}" if names else ""} data-keep="0">{body}</{tag}>'
 
     def nav() -> str:
-        return pick(off("nav", None, links(r.randint(2, 9))), off("nav", ["menu", "main-nav"], links(r.randint(2, 9))), off("div", ["menu", "navbar", "breadcrumbs"], links(r.randint(2, 6))), off("header", None, f"<h1>{some(1, 4)}</h1>{links(4)}"), off("header", ["site-header"], f"<p>{sentence()}</p>"))
+        return pick(off("nav", None, links(r.randint(2, 9))), off("nav", ["menu", "main-nav"], links(r.randint(2, 9))), off("div", ["menu", "navbar", "breadcrumbs"], links(r.randint(2, 6))), off("div", ["top", "row"], " | ".join(link() for _ in range(r.randint(2, 6)))), off("header", None, f"<h1>{some(1, 4)}</h1>{links(4)}"), off("header", ["site-header"], f"<p>{sentence()}</p>"))
 
     def advert() -> str:
         return off("div", ["ad", "ads", "advert", "banner-top", "sponsored", "promo"], pick(sentence(), f"<p>{para()}</p>", link() + " " + sentence()))
@@ -275,7 +277,8 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
         return pick(off("footer", None, f"&copy; {word()}.example &middot; {sentence()}"), off("footer", None, links(4) + f"<p>{para()}</p>"), off("div", ["footer", "copyright"], sentence()))
 
     def inside() -> str:
-        parts = [f"<{h}>{some(2, 9)}{pick('', '.', '?')}</{h}>" for h in [pick("h1", "h1", "h2")]]
+        title = "".join(f"<{h}>{some(2, 9)}{pick('', '.', '?')}</{h}>" for h in [pick("h1", "h1", "h2")])
+        parts = [f"<header>{title}</header>" if r.random() < 0.25 else title]
         for _ in range(r.randint(1, 14)):
             parts.append(pick(f"<p>{para()}</p>", f"<p>{para()}</p>", f"<p>{para()}</p>", f"<p>{sentence(1, 4)}", f"<p><b>{para()}<br><p>{para()}</p>", f"<p>{para()} {link()} {sentence()}</p>", f"<h2>{some(1, 6)}</h2>", f"<ul>{''.join(f'<li>{sentence()}</li>' for _ in range(3))}</ul>", f"<blockquote>{para()}</blockquote>", f"<pre>{some(3, 20)}</pre>", f"<table><tr><td>{some(1, 5)}</td><td>{some(1, 3)}</td></tr></table>", f"<figure><figcaption>{sentence()}</figcaption></figure>", f"<div>{para()}</div>", pick(advert, side, notice)() if r.random() < 0.4 else f"<p>{para()}</p>"))
         return "".join(parts)
@@ -288,8 +291,10 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[str]:
             core = f'<article data-keep="1">{body}</article>'
         elif kind < 0.65:
             core = f'<main data-keep="1">{body}</main>'
-        else:
+        elif kind < 0.85:
             core = f'<div {pick("class", "id")}="{pick("content", "post-body", "entry", "article-text", "story")}" data-keep="1">{body}</div>'
+        else:  # nothing but the text itself tells
+            core = f'<div{pick("", " class=col", " class=wide")} data-keep="1">{body}</div>'
         if r.random() < 0.3:
             core = f'<{pick("main", "section", "div")}>{core}{side() if r.random() < 0.4 else ""}</{"div"}>'
         before = "".join(f() for f in r.sample([nav, advert, side, notice], r.randint(1, 3)))
