@@ -184,7 +184,7 @@ class Model:
     """Log-odds potentials counted over labelled trees, with one added to each count.
 
     Features of a node and its neighbours tell partly the same, so the counts of hints, tags and text features are
-    raised to powers, chosen by the fewest errors on the labelled trees.
+    raised to powers, chosen by the least log loss on labelled trees.
     """
 
     def __init__(self, trees: list[Tree]) -> None:
@@ -215,9 +215,9 @@ class Model:
                 for text in (0.1, 0.2, 0.4, 0.7):
                     scale = {"hint": hint, "tag_": tag}
                     self.weight = {f: w * scale.get(f[:4], text) for f, w in counted.items()}
-                    wrong = sum((o >= 0) != (k == "1") for t in trees[::3] for o, k, x in zip(self.marginals(t), t.keep, t.text, strict=True) if x is not None)
-                    if least is None or wrong < least[0]:
-                        least = wrong, self.weight
+                    loss = sum(math.log1p(math.exp(max(-40.0, min(40.0, -o if k == "1" else o)))) for t in trees[::3] for o, k, x in zip(self.marginals(t), t.keep, t.text, strict=True) if x is not None)
+                    if least is None or loss < least[0]:
+                        least = loss, self.weight
         self.weight = least[1] if least else counted
 
     def marginals(self, t: Tree) -> list[float]:
