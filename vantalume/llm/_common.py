@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that the word kernel works on at once; it needs about 30 times as much memory.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
