@@ -206,6 +206,17 @@ def test_secrets(spark, no_docs):
     assert secret_scan.scan(no_docs).count() == 0
 
 
+def test_weak_pairs_need_no_marker(spark):
+    """A weak identifier next to a weak secret links by itself; an endpoint far away changes nothing."""
+    secret, ident = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKE1", "B7" * 10
+    pair = f"{ident} {secret}"
+    texts = [pair, f"{pair}{' ' * 100_000}https://x.y/z", f"{ident} alone", f"{ident}{' ' * 400}{secret}", f"{pair} https://x.y/z"]
+    scanned = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in scanned.select("*", secret_scan.written(F.col("spans")).alias("w"), secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    assert [got[i].w for i in range(5)] == ["weaksecret:21:61", "weaksecret:21:61", "", "", "weakid:0:20,weaksecret:21:61,endpoint:62:75"]
+    assert got[0].clean == f"{ident} [SECRET]"
+
+
 def test_vectors(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((400, 16))
