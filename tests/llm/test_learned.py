@@ -98,6 +98,28 @@ def test_html():
     assert text(page[:-20]) == text(page)
 
 
+def test_html_open_head():
+    shown = lambda p: [x for x in html_extract.Tree(p).text if x]
+    head = '<html><head><title>T</title><script>var t = "<p>no</p>";</script><template><p>no</p></template><meta charset=x>\n'
+    for opened in ("", "</head>", "<body>", "</head><body>"):
+        assert shown(f"{head}{opened}<article><p>One.</p><p>Two.</p></article>") == ["One.", "Two."]
+    assert shown(f"{head}Bare text.<p>One.</p>") == ["Bare text.", "One."]
+    assert shown(f"{head}<template>no</head><p>One.</p>") == shown(f"{head}<template>no<body><p>One.</p></template>") == ["One."]
+    assert html_extract.default_model().blocks(f"{head}<article><h1>Title</h1><p>Some text that is good. And more of it.</p></article>") == ["Title", "Some text that is good. And more of it."]
+
+
+@pytest.mark.parametrize("tag", ["select", "button", "svg", "object", "template", "canvas", "datalist", "math", "audio", "video"])
+def test_html_unclosed_dropped(tag):
+    shown = lambda p: [x for x in html_extract.Tree(p).text if x]
+    # closed by an open ancestor's end, whether or not a later element of the name is closed
+    assert shown(f"<div><p>A.</p><{tag}>no</div><p>B.</p>") == ["A.", "B."]
+    assert shown(f"<div><p>A.</p><{tag}>no</div><p>B.</p><{tag}>no</{tag}><p>C.</p>") == ["A.", "B.", "C."]
+    # without an ancestor by the next block
+    assert shown(f"<{tag}>no<article><p>A.</p></article>") == ["A."]
+    # blocks within a closed one are not the page's, nor are end tags in its scripts
+    assert shown(f'<div><{tag}><div>no</div><p>no</p><script>"</div>"</script>no</{tag}>A.</div><p>B.</p>') == ["A.", "B."]
+
+
 def test_sum_product_is_exact():
     """Against the sum over all states of a small tree."""
     import itertools

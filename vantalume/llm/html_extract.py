@@ -6,7 +6,8 @@ Sum-product messages go from the leaves up and back down, in log odds; a text bl
 one half or more is content. The potentials are counts over labelled pages, which ``labelled_pages`` generates.
 
 Defined cases: null, empty and textless pages have the empty text; unclosed, misnested and cut-off markup is closed where
-the next block or the end closes it; equal rows get equal results; input columns other than the named ones are ignored.
+the next block, the end of an element around it or the page's end closes it; equal rows get equal results; input columns other
+than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-keep)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose insides are never text of the page.
-DROPPED = frozenset("script style noscript template iframe object svg math head textarea select button datalist canvas audio video title".split())
+DROPPED = frozenset("script style noscript template iframe object svg math textarea select button datalist canvas audio video title".split())
 RAW = frozenset("script style noscript iframe textarea title".split())
+#: Start tags that leave an open head open, and end tags that end it.
+HEAD_TAGS = frozenset("html head title base basefont bgsound link meta style script noscript template".split())
+HEAD_ENDS = frozenset("head body html br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html body article aside section nav header footer main div form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center dialog menu search hgroup legend".split())
 #: An opening tag that ends an open element of the same group.
@@ -77,7 +81,9 @@ class Tree:
         self._tags = ["#root"]
         stack = [0]
         pieces: list[str] = []
-        links, in_link, dropped = 0, False, None
+        links, in_link, dropped, in_head = 0, False, None, False
+        within: list[str] = []  # blocks open inside the dropped element
+        last: dict[str, int] = {}
         page = page or ""
 
         def add(tag: str, features: tuple, text: str | None, keep: str | None) -> int:
@@ -103,31 +109,54 @@ class Tree:
             flush()
             del stack[to:]
 
+        def closes(tag: str, at: int) -> bool:
+            """Whether the tag's end tag comes at or after a place."""
+            if tag not in last:
+                last[tag] = max((m.start() for m in re.finditer(f"</{re.escape(tag)}(?=[\\s/>])", page, re.I | re.A)), default=-1)
+            return last[tag] >= at
+
         at = 0
         while at < len(page):
             m = MARKUP.search(page, at)
             stop = m.start() if m else len(page)
             if stop > at and not dropped:
                 piece = page[at:stop]
-                pieces.append(piece)
-                if in_link:
-                    links += len(piece)
+                in_head = in_head and not piece.strip()
+                if not in_head:
+                    pieces.append(piece)
+                    if in_link:
+                        links += len(piece)
             if not m:
                 break
             at = max(m.end(), stop + 1)
             tag = m["tag"] or m["tag2"]
             if not tag:
-                if page.startswith("<![CDATA[", stop) and not dropped:
+                if page.startswith("<![CDATA[", stop) and not dropped and not in_head:
                     pieces.append(page[stop + 9 : m.end() - 3])
                 continue
             tag, end = tag.lower(), bool(m["end"] or m["end2"])
             if dropped:
-                if end and tag == dropped or dropped == "head" and tag == "body" and not end:
+                if end and tag == dropped:
+                    dropped = None
+                    continue
+                if end and tag in within:
+                    while within.pop() != tag:
+                        pass
+                    continue
+                # an open ancestor's end ends it too, and without an end tag of its own the next block
+                if end and (tag == "head" and in_head or any(self._tags[i] == tag for i in stack)) or not end and (tag == "body" and in_head or tag in BLOCKS and not closes(dropped, at)):
                     dropped = None
-                    if tag != "body":
-                        continue
                 else:
+                    if not end and tag in BLOCKS:
+                        within.append(tag)
+                    elif not end and tag in RAW and closes(tag, at):
+                        at = re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at).end()
                     continue
+            if in_head and (tag in HEAD_ENDS if end else tag not in HEAD_TAGS):
+                in_head = False
+            if tag == "head":
+                in_head = not end and not any(self._tags[i] == "body" for i in stack)
+                continue
             if tag in DROPPED:
                 if not end:
                     attrs = m["attrs"] or m["attrs2"] or ""
@@ -136,6 +165,7 @@ class Tree:
                         at = found.end() if found else len(page)
                     elif not attrs.endswith("/"):
                         dropped = tag
+                        within.clear()
                 continue
             if tag not in BLOCKS:
                 if tag == "br" or tag == "hr":
