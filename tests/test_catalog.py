@@ -37,6 +37,22 @@ def test_top_k_plans_without_a_shuffle(spark, sf_dir):
     assert "c_acctbal" not in plan.split("ReadSchema")[1]
 
 
+def test_batch_search_takes_every_hundredth_row(spark, tmp_path, monkeypatch):
+    """Against brute force, with queries in one block and in many."""
+    import numpy as np
+
+    x = np.random.default_rng(3).integers(-3, 4, (1205, 4)).astype(float)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = []
+    for q in range(0, 1205, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        want += [(q, int(i), float(d[i]), r + 1) for r, i in enumerate(np.lexsort((np.arange(1205), d))[:5])]
+    for block in (1_000, 4):
+        monkeypatch.setattr("vantalume.operators.search.QUERY_BLOCK", block)
+        got = QUERIES["knn_batch_hundredth"](spark, str(tmp_path)).select("query_id", "id", "distance", "rank").collect()
+        assert sorted((r.query_id, r.id, r.distance, r.rank) for r in got) == sorted(want)
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as e
 

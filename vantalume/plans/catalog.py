@@ -62,6 +62,15 @@ def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_batch(df, queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@_query("""WITH v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(v.e, q.e) ** 2 AS d FROM v, v q WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 6) AS distance, cast(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def knn_batch_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 100 against all rows: the queries grow with the table."""
+    df = _vectors(spark, sf_dir)
+    queries = df.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return search.knn_batch(df, queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @_query(f"WITH {_Q}, r AS (SELECT label, vec_id AS id, list_distance(e, q) ** 2 AS d, row_number() OVER (PARTITION BY label ORDER BY list_distance(e, q) ** 2, vec_id) AS rank FROM v, q) SELECT label, id, round(d, 6) AS distance, cast(rank AS INTEGER) AS rank FROM r WHERE rank <= 3")
 def knn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label is a collection of its own."""
