@@ -217,6 +217,28 @@ def test_weak_pairs_need_no_marker(spark):
     assert got[0].clean == f"{ident} [SECRET]"
 
 
+def test_reach_is_the_gap_between_spans(spark):
+    """Against all pairs of spans, with spans longer than the reach and gaps around it."""
+    r = np.random.default_rng(4)
+    secret, access, ident = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKE1", "AKIA" + "B7" * 8, "C8" * 10
+    make = {"assign": lambda: "token=" + "z" * int(r.choice([8, 300, 900])), "access": lambda: access, "hex": lambda: "ab" * int(r.choice([12, 400])), "weaksecret": lambda: secret, "weakid": lambda: ident, "endpoint": lambda: "https://" + "y" * int(r.choice([3, 500]))}
+    texts, spans = [f"token={'z' * 300} {ident} https://x.y/z"], [[("assign", 0, 306), ("weakid", 307, 327), ("endpoint", 328, 341)]]
+    for _ in range(150):
+        text, own = "", []
+        for kind in r.choice(list(make), int(r.integers(1, 6))):
+            text += " " * int(r.choice([1, 100, 255, 256, 257, 400]))
+            own.append((str(kind), len(text), len(text := text + make[kind]())))
+        texts.append(text)
+        spans.append(own)
+    roles, needs = secret_scan.ROLE, secret_scan.NEEDS
+    near = lambda p, q: max(q[1] - p[2], p[1] - q[2]) <= 256
+    want = [[p for p in own if all(any(roles[q[0]] == n and near(p, q) for q in own) for n in needs.get(p[0], ()))] for own in spans]
+    scanned = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {x.doc_id: x.w for x in scanned.select("doc_id", secret_scan.written(F.col("spans")).alias("w")).collect()}
+    assert [got[i] for i in range(len(texts))] == [",".join(f"{k}:{a}:{e}" for k, a, e in w) for w in want]
+    assert len(got[0].split(",")) == 3
+
+
 def test_vectors(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((400, 16))

@@ -1,14 +1,14 @@
 """Secret scans by multipart credential linking, with DataFrame functions only.
 
 Base spans stand by themselves: assignments, access identifiers and long hex runs. Weak candidates (a 40-character key-like
-string, a 20-character upper-case identifier, an endpoint) are reported only if parts that complement them begin within ``reach``
-code points: a weak secret needs an access identifier; a weak identifier needs a secret and an endpoint; an endpoint
+string, a 20-character upper-case identifier, an endpoint) are reported only if at most ``reach`` code points lie
+between them and each part that complements them: a weak secret needs an access identifier; a weak identifier needs a secret and an endpoint; an endpoint
 needs an access identifier and a secret. Positions are found without leaving the JVM: the pieces between a pattern's matches and the
 matches add up to code-point offsets.
 
-Linking is an interval join within a text: parts are put in bins of ``reach`` code points, and of each role the least
-and greatest start of a bin are kept; a candidate meets three bins. These two starts decide exactly whether a partner is in reach,
-so a text with many parts makes rows in proportion to its parts, never pairs. Texts that occur often are linked once.
+Linking is an interval join within a text: over the parts of a role by their start, the greatest end so far is kept; a candidate
+looks it up at the last place where a partner in reach may start. That end decides exactly whether a partner is in reach, however long
+the parts are, so a text with many parts makes rows in proportion to its parts, never pairs. Texts that occur often are linked once.
 
 Defined cases: null texts are empty and have no spans; equal rows get equal spans; spans may overlap (kinds are searched apart).
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import settle
@@ -98,12 +98,15 @@ def _link(marked: DataFrame, reach: int) -> DataFrame:
     part = F.explode(F.concat("base_spans", "__weak")).alias("s")
     parts = marked.where(F.size("__weak") > 0).select("__key", part).select("__key", "s.start", "s.end", "s.kind").distinct()
     role = reduce(lambda a, kv: F.when(F.col("kind") == KINDS.index(kv[0]), F.lit(kv[1])).otherwise(a), ROLE.items(), F.lit(-1))
-    bin_ = F.floor(F.col("start") / reach)
-    ends = parts.groupBy("__key", role.alias("role"), bin_.alias("bin")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
     needs = reduce(lambda a, kv: F.when(F.col("kind") == KINDS.index(kv[0]), F.array(*map(F.lit, kv[1]))).otherwise(a), NEEDS.items(), F.array().cast("array<int>"))
-    probes = parts.where(F.col("kind") >= 3).select("*", F.explode(needs).alias("role"), bin_.alias("own")).select("*", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("bin"))
-    met = probes.join(ends, ["__key", "role", "bin"]).where(F.when(F.col("bin") > F.col("own"), F.col("lo") - F.col("start") <= reach).when(F.col("bin") < F.col("own"), F.col("start") - F.col("hi") <= reach).otherwise(F.lit(True)))
-    found = met.groupBy("__key", "start", "end", "kind").agg(F.countDistinct("role").alias("roles"), F.first(F.size(needs)).alias("asked")).where("roles = asked")
+    none = F.lit(None).cast("int")
+    # a part stands at its start; a probe at the last place where a partner may start, after the parts there
+    stand = parts.select("__key", role.alias("role"), F.col("start").alias("at"), F.lit(0).alias("probe"), F.col("end").alias("reaches"), none.alias("start"), none.alias("end"), none.alias("kind"), none.alias("asked"))
+    probes = parts.where(F.col("kind") >= 3).select("*", F.explode(needs).alias("role"), F.size(needs).alias("asked"))
+    probes = probes.select("__key", "role", (F.col("end") + reach).alias("at"), F.lit(1).alias("probe"), none.alias("reaches"), "start", "end", "kind", "asked")
+    so_far = Window.partitionBy("__key", "role").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    met = stand.union(probes).withColumn("furthest", F.max("reaches").over(so_far)).where((F.col("probe") == 1) & (F.col("furthest") >= F.col("start") - reach))
+    found = met.groupBy("__key", "start", "end", "kind").agg(F.countDistinct("role").alias("roles"), F.first("asked").alias("asked")).where("roles = asked")
     return found.groupBy("__key").agg(F.collect_list(F.struct("start", "end", "kind")).alias("__linked"))
 
 
