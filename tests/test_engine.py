@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import threading
 
 import numpy as np
@@ -159,6 +160,28 @@ def test_missing_images(spark, tmp_path, fixed):
     assert out.results.first().detection_score == 0.0
 
 
+def test_every_hit_meets_its_image(spark, tmp_path, fixed, png_paths):
+    """Relative, doubled and spaced paths are found; a file that isn't an image fails, or scores 0 without failing."""
+    (tmp_path / "a b.png").write_bytes((tmp_path / "0000.png").read_bytes())
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    here = spark._jvm.java.lang.System.getProperty("user.dir")
+    relative = os.path.relpath(png_paths[0], here)
+    named = [relative, png_paths[0], f"file:{png_paths[1]}", str(tmp_path / "a b.png")]
+
+    def run(name, paths, **kw):
+        st = store.Store(spark, str(tmp_path / name))
+        st.append("c", spark.createDataFrame([(str(i), "c", [1.0, 0.0, 0.0, 0.0], p, 0.0) for i, p in enumerate(paths)], store.COLLECTION))
+        return search.Search(fixed, models.RegionDetector(), st, **kw).invoke(query="q", collection_id="c", top_k_final=9).results.collect()
+
+    for kw in ({}, {"on_missing": "null"}):
+        got = run(f"good{len(kw)}", named, **kw)
+        assert sorted(r.path for r in got) == sorted(named) and all(r.boxes is not None for r in got)
+    with pytest.raises(Exception, match="no image can be read from .*broken.png"):
+        run("bad", [*named, str(tmp_path / "broken.png")])
+    got = {r.path: r for r in run("null", [*named, str(tmp_path / "broken.png")], on_missing="null")}
+    assert len(got) == 5 and got[str(tmp_path / "broken.png")].boxes is None
+
+
 def test_rerank_and_max_score(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate([0.1, 0.9, 0.4, 0.7])], "retrieval_rank int, detection_score double")
     assert [r.detection_score for r in search.rerank(df, 2).collect()] == [0.9, 0.7]

@@ -6,6 +6,7 @@ DataFrames whose order is a column (``retrieval_rank``), never an accident of pa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -158,23 +159,29 @@ class Detect(Step):
         if self.on_missing == "fail" and len(there) < len(set(paths)):
             raise FileNotFoundError(f"no image at {sorted(set(paths) - set(there))[:3]}")
         if there:
-            images = read_images(self.spark, *there, pattern="*")
-            joined = hits.join(images, "path", "left" if self.on_missing == "null" else "inner").where("image is not null or path is not null")
+            files = {origin: p for p, origin in there.items()}  # one file may be named in several ways
+            images = read_images(self.spark, *files.values(), pattern="*").withColumnRenamed("path", "__origin")
+            origins = self.spark.createDataFrame(list(there.items()), "path string, __origin string")
+            joined = hits.join(F.broadcast(origins), "path", "left").join(images, "__origin", "left").drop("__origin").where("image is not null or path is not null")
+            if self.on_missing == "fail":
+                joined = joined.withColumn("image", F.coalesce("image", F.raise_error(F.concat(F.lit("no image can be read from "), "path"))))
         else:
             joined = hits.withColumn("image", F.lit(None).cast("binary"))
-        found, lost = joined.where("image is not null"), joined.where("image is null").drop("image")
+        found, lost = joined if self.on_missing == "fail" else joined.where("image is not null"), joined.where("image is null").drop("image")
         out = detect(found, self.detector, state.query)
         if self.on_missing == "null":
             cols = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("boxes", "scores", "masks", "labels")]
             out = out.unionByName(lost.select("*", F.lit(0.0).alias("detection_score"), *cols))
         return replace(state, detected=out)
 
-    def _existing(self, paths: list[str]) -> list[str]:
-        out = []
+    def _existing(self, paths: list[str]) -> dict[str, str]:
+        """The paths that exist, with their origins as the image source names them."""
+        out = {}
         for p in dict.fromkeys(x for x in paths if x):
             q = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            if q.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(q):
-                out.append(p)
+            fs = q.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if fs.exists(q):
+                out[p] = re.sub("^file:/+", "/", fs.makeQualified(q).toUri().toString())
         return out
 
 
