@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import re
 from collections import Counter, defaultdict
@@ -173,6 +174,32 @@ def test_mixing(docs, no_docs):
         mixing.Mix(docs, max_sources=2)
 
 
+@pytest.mark.parametrize("row_sources", [2, 7, 1000])
+def test_quotas_by_groups(spark, row_sources):
+    """Groups of sources in rows of their own: shards stay even, and every source's blocks are all dealt."""
+    n = {f"0s{i:03d}": 1 + i * 37 % 90 for i in range(60)}
+    got = mixing.quotas(spark.createDataFrame(list(n.items()), "k string, n bigint"), 5, 3, row_sources=row_sources).collect()
+    assert len(got) == 300 and all(r.quota >= 0 for r in got)
+    by_source, by_shard = Counter(), Counter()
+    for r in got:
+        by_source[r.k] += r.quota
+        by_shard[r.shard] += r.quota
+    assert by_source == n and max(by_shard.values()) - min(by_shard.values()) <= 2
+    # a source's share of a shard is near its share of all
+    total = sum(n.values())
+    assert sum((r.quota - n[r.k] / 5) ** 2 / (n[r.k] / 5 * 4 / 5) for r in got) / 300 * total / (total - 1) < 1.3
+
+
+def test_mixing_by_groups(spark, docs):
+    """Rows of two sources at most: the same words are taken, and all rows are placed; no number of sources is refused by default."""
+    whole, groups = (mixing.Mix(docs, shards=5, blocks=8, row_sources=n) for n in (1000, 2))
+    taken = lambda m: sorted(str((r.doc_id, r.size, r.taken, len(r.shards))) for r in m.counted().collect())
+    assert taken(whole) == taken(groups)
+    quota = lambda m, k: sorted((r[k], r.q) for r in m.quotas.groupBy(k).agg(F.sum("quota").alias("q")).collect())
+    assert quota(whole, "k") == quota(groups, "k") and max(q for _, q in quota(groups, "shard")) - min(q for _, q in quota(groups, "shard")) <= 2
+    assert inspect.signature(mixing.Mix).parameters["max_sources"].default is None
+
+
 def test_hypergeometric_law(spark):
     n, good, draws = 40, 15, 18
     sql = mixing._hypergeometric(f"{n}L", f"{good}L", f"{draws}L", "u")

@@ -8,10 +8,12 @@
    which the rest is taken. Block tables have at most BLOCKS rows a source, so a source of any size is dealt with in parallel.
 3. The blocks of all passes are counted by source. A binary tree over the output shards splits these exact quotas: at each
    node the left half's counts are drawn from the multivariate hypergeometric distribution (a chain of conditional
-   hypergeometric draws by inversion from the mode), the right half has the rest. Leaves hold each shard's quotas.
+   hypergeometric draws by inversion from the mode), the right half has the rest. Leaves hold each shard's quotas. More than
+   ROW_SOURCES sources are dealt to groups: the groups' counts are split first, and each group's quotas are the draws of a tree over
+   its own sources, which is the same distribution; so no row holds all sources.
 4. A source's blocks in a second permuted order go to the shards by their quotas, disjointly; rows are shuffled within shards.
 
-All draws are hashes of a seed and names, so reruns agree. Sources are a dictionary of at most ``max_sources`` (checked).
+All draws are hashes of a seed and names, so reruns agree. Sources may be any number; ``max_sources`` refuses more, if given.
 
 Defined cases: null texts have size 0 and take 0; a null source is the last one; without words all targets are 0; equal ids are
 rows of their own; an empty table gives no rows; of equal names, the operator's columns stay.
@@ -27,7 +29,8 @@ from ._common import settle
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 BLOCKS, SHARDS, SEED = 1024, 16, 20240601
-MAX_SOURCES = 100_000
+#: Sources that a row of the splitting tree holds, about.
+ROW_SOURCES = 1_000
 #: Rows of a block table that may be sent to all executors.
 MOST_SENT = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,13 +84,24 @@ def _hypergeometric(total: str, good: str, draws: str, u: str) -> str:
     return f"transform(array(struct({total} as t, {good} as g, {draws} as d, {mode} as m, {lo_} as l, {hi_} as h)), v -> {inner})[0]"
 
 
-def quotas(counts: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """(shard, k, quota) from (k, n): the splitting tree."""
-    nodes = counts.orderBy("k").agg(F.array_sort(F.collect_list(F.struct("k", F.col("n").cast("bigint").alias("n")))).alias("counts")).select(F.lit(0).alias("first"), F.lit(shards).alias("m"), "counts")
+def quotas(counts: DataFrame, shards: int, seed: int = SEED, n_sources: int | None = None, row_sources: int = ROW_SOURCES) -> DataFrame:
+    """(shard, k, quota) from (k, n): the splitting tree. Of more than row_sources sources a row holds a group, whose quotas are split first."""
+    counts = settle(counts, "counts")
+    groups = -(-(counts.count() if n_sources is None else n_sources) // max(2, row_sources))
+    gathered = F.array_sort(F.collect_list(F.struct("k", F.col("n").cast("bigint").alias("n")))).alias("counts")
+    drawn = "cast(round(aggregate(counts, 0L, (b, s) -> b + s.n) * (cast(m / 2 as int) / m)) as bigint)"
+    if groups > 1:
+        group = F.concat(F.lit("group "), F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), F.lit(groups), "k"), F.lit(groups)).cast("string")).alias("g")
+        split = quotas(counts.groupBy(group).agg(F.sum("n").alias("n")).withColumnRenamed("g", "k"), shards, seed, groups, row_sources)
+        per = split.groupBy(F.col("k").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "quota"))), lambda s: s["quota"]).alias("per"))
+        nodes = counts.groupBy(group).agg(gathered).join(per, "g").select(F.lit(0).alias("first"), F.lit(shards).alias("m"), "counts", "per")
+        drawn = "aggregate(slice(per, first + 1, cast(m / 2 as int)), 0L, (b, q) -> b + q)"
+    else:
+        nodes = counts.agg(gathered).select(F.lit(0).alias("first"), F.lit(shards).alias("m"), "counts", F.array().cast("array<bigint>").alias("per"))
     u = f"((xxhash64({seed}, first, m, s.k) & 9007199254740991) + 0.5D) / 9007199254740992D"
     draw = _hypergeometric("a.total", "s.n", "a.draws", u)
     fold = f"""aggregate(counts, struct(aggregate(counts, 0L, (b, s) -> b + s.n) as total,
-        cast(round(aggregate(counts, 0L, (b, s) -> b + s.n) * (cast(m / 2 as int) / m)) as bigint) as draws, cast(array() as array<struct<k:string,n:bigint>>) as kept),
+        {drawn} as draws, cast(array() as array<struct<k:string,n:bigint>>) as kept),
         (a, s) -> transform(array({draw}), d -> struct(a.total - s.n as total, a.draws - d as draws, array_append(a.kept, struct(s.k as k, d as n)) as kept))[0], a -> a.kept)"""
     level = 1
     while level < shards:
@@ -96,7 +110,7 @@ def quotas(counts: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
         child = lambda first, m, c: F.struct(first.alias("first"), m.cast("int").alias("m"), c.alias("counts"))
         rest = F.zip_with("counts", "left", lambda a, b: F.struct(a["k"].alias("k"), (a["n"] - b["n"]).alias("n")))
         both = F.when(F.col("m") > 1, F.array(child(F.col("first"), half, F.col("left")), child(F.col("first") + half, F.col("m") - half, rest))).otherwise(F.array(child(F.col("first"), F.col("m"), F.col("counts"))))
-        nodes = split.select(F.explode(both).alias("c")).select("c.*")
+        nodes = split.select(F.explode(both).alias("c"), "per").select("c.*", "per")
         level *= 2
     return nodes.select(F.col("first").alias("shard"), F.explode("counts").alias("c")).select("shard", F.col("c.k").alias("k"), F.col("c.n").alias("quota"))
 
@@ -104,21 +118,21 @@ def quotas(counts: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 class Mix:
     """How a table's documents are taken: sources with targets, and blocks with their passes and shards."""
 
-    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED, max_sources: int = MAX_SOURCES) -> None:
+    def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED, max_sources: int | None = None, row_sources: int = ROW_SOURCES) -> None:
         self.docs, self.doc_id, self.text, self.source, self.blocks, self.seed = docs, doc_id, text, source, blocks, seed
         self.sized = settle(self.keyed(docs).select(F.col(f"`{doc_id}`").alias("id"), "__k", "__size", "__h"), "sizes")
         block = self.sized.groupBy(F.col("__k").alias("k"), self.b1().alias("b1")).agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("docs"))
         block = settle(block, "blocks")
         self.sources = settle(targets(block.groupBy("k").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
         self.n_sources = self.sources.count()
-        if self.n_sources > max_sources:
+        if max_sources is not None and self.n_sources > max_sources:
             raise ValueError(f"{self.n_sources} sources; max_sources is {max_sources}")
         passes = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
         whole = self.sources.withColumn("passes", passes).withColumn("rest", (F.round("target") - F.col("passes") * F.col("source_size")).cast("bigint"))
         order = [F.xxhash64(F.lit(seed), F.lit("pass"), "k", "b1"), F.col("b1")]
         cut = settle(_cut(block.join(whole, "k"), ["k"], "rest", order), "cut")
         units = cut.where("words > 0").select("k", "b1", F.explode(F.when(F.col("part") > 0, F.sequence(F.lit(0), F.col("passes"))).when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes") - 1)).otherwise(F.array().cast("array<int>"))).alias("pass"))
-        self.quotas = settle(quotas(units.groupBy("k").agg(F.count(F.lit(1)).alias("n")), shards, seed), "quotas")
+        self.quotas = settle(quotas(units.groupBy("k").agg(F.count(F.lit(1)).alias("n")), shards, seed, self.n_sources, row_sources), "quotas")
         span = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
         slots = self.quotas.withColumn("end", F.sum("quota").over(span)).where("quota > 0").select("k", "shard", F.explode(F.sequence(F.col("end") - F.col("quota") + 1, F.col("end"))).alias("slot"))
         drawn = units.withColumn("slot", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.lit(seed), F.lit("shard"), "k", "b1", "pass"), "b1", "pass")).cast("bigint"))
