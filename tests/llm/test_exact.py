@@ -115,24 +115,33 @@ def test_registers_merge_and_estimate():
     assert abs(got - j) < 0.15
 
 
-@pytest.mark.parametrize("most_words", [10**7, 3])
-def test_lm_scores(docs, no_docs, most_words):
+@pytest.mark.parametrize(("order", "min_count", "bucket_bytes"), [(2, 1, 1 << 23), (2, 2, 1 << 23), (3, 1, 500), (3, 3, 1 << 23)])
+def test_lm_scores(docs, no_docs, order, min_count, bucket_bytes, monkeypatch):
+    monkeypatch.setattr(lmscore, "PACK_BYTES", 3000)
     rows = docs.collect()
-    one, two = Counter(), Counter()
+    counts = Counter()
     for r in rows:
         w = spaced(r.text)
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    total = sum(one.values())
+        for n in range(1, order + 1):
+            counts.update(zip(*(w[k:] for k in range(n)), strict=False))
+    total = sum(n for k, n in counts.items() if len(k) == 1)
+
+    def log_s(w, i, n):
+        if n == 1:
+            return math.log(counts[w[i],] / total)
+        gram = tuple(w[i - n + 1 : i + 1]) if i >= n - 1 else None
+        if gram and counts[gram] >= min_count:
+            return math.log(counts[gram] / counts[gram[:-1]])
+        return math.log(0.4) + log_s(w, i, n - 1)
 
     def brute(t):
         w = spaced(t)
-        x = [math.log(two[w[i - 1], v] / one[w[i - 1]]) if i and two[w[i - 1], v] >= 2 else math.log(0.4 * one[v] / total) for i, v in enumerate(w)]
-        return len(w), round(sum(x) / len(w), 8) if w else None
+        return len(w), round(sum(log_s(w, i, order) for i in range(len(w))) / len(w), 8) if w else None
 
-    got = [(r.doc_id, r.n_words, None if r.lm_score is None else round(r.lm_score, 8)) for r in lmscore.score(docs, most_words=most_words).collect()]
+    options = {"order": order, "min_count": min_count, "bucket_bytes": bucket_bytes}
+    got = [(r.doc_id, r.n_words, None if r.lm_score is None else round(r.lm_score, 8)) for r in lmscore.score(docs, **options).collect()]
     assert sorted(got, key=key) == sorted(((r.doc_id, *brute(r.text)) for r in rows), key=key)
-    assert lmscore.score(no_docs, most_words=most_words).count() == 0
+    assert lmscore.score(no_docs, **options).count() == 0
 
 
 def test_mixing(docs, no_docs):

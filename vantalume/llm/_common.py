@@ -144,14 +144,29 @@ def chunked(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def hashed(batch: pa.Array, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, end, hashes, offsets) by bounded chunks."""
-    data, offsets = texts_of(batch)
+def runs_of_words(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, hashes, offsets) of the words of texts by bounded chunks."""
     for i, j in chunked(offsets):
         h, at = word_hashes(data, offsets[i : j + 1], words)
         yield i, j, h, at
 
 
+def hashed(batch: pa.Array, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """runs_of_words() of a string column."""
+    yield from runs_of_words(*texts_of(batch), words)
+
+
+def word_count(data: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> int:
+    """The words of all texts together, without their hashes."""
+    inside = words[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cuts = bounds[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    first[cuts] |= inside[cuts]
+    return int(first.sum())
+
+
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of each k consecutive words, in order; empty if there are fewer."""
     n = len(h) - k + 1

@@ -1,23 +1,23 @@
 """Stupid-backoff scores of documents from n-gram count tables over the whole corpus.
 
-For a word w after v: S = c(vw) / c(v) if c(vw) >= min_count, else ALPHA * c(w) / N; a text's first word has the
-second form. A document's score is the mean of log S over its words. Counts are of all documents, the scored one included.
+S(w after context) = c(context w) / c(context) if the n-gram occurs at least ``min_count`` times, else ALPHA * S(w after the
+context without its first word); of a single word S = c(w) / N. A text's first words have no n-gram of the full order and back
+off. A document's score is the mean of log S over its words. Counts are of all documents, the scored one included.
 
-The sum over a document is additive: every word contributes its unigram form, and every pair that is frequent enough
-adds log c(vw) - log c(v) - log c(w) + log N - log ALPHA. So the n-grams are exploded, dealt by their hash, met
-with their counts there and summed by document:
+It is one relational plan at every size: n-grams are exploded, met with count tables dealt by their hash, and summed by document.
 
-1. Words are counted, combined in each task, dealt by hash and summed; words that occur once need no table entry.
-2. Pairs of two words both on a short list of frequent words (any list gives the same result; it decides routing only) have at
-   most HOT_WORDS squared kinds and may occur in every document. They are counted first, and scored where their document is read.
-3. All other pairs travel as (hash, document, times) packed in sorted columns, one row for each task's batch and hash bucket;
-   each bucket counts its pairs, keeps the frequent ones and returns a vector of partial sums for each batch.
+1. Texts are gathered in packs of bounded size, settled in the shared folder.
+2. Each pack's distinct n-grams of all orders, with their counts there, are dealt by ranges of their hash to buckets. An n-gram
+   is sent once a pack however often it occurs, so the commonest word loads its bucket no more than any other.
+3. A bucket sums its n-grams over all packs and answers each pack with the totals, in the order in which they were asked.
+4. A pack's answers meet its texts, and each document's log S are summed.
 
-The word table (8 + 4 bytes an entry) goes to the executors whole only while it has at most ``most_words`` entries; beyond
-that the same sums are made by ordinary joins of exploded rows (``_by_joins``), with no table sent anywhere.
+Nothing is sent to all executors, and the driver sees two sums. Buckets have a bounded number of n-grams: their number grows with the
+texts. Rows are packed sorted columns, of which byte planes that hardly vary cost nothing in the shuffle.
 
 Defined cases: null or wordless texts have no words and a null score; words are runs of other than white space, A-Z lower-cased;
-repeated rows are scored alike and all count; an empty table gives no rows; input columns other than the named are ignored.
+repeated rows are scored alike and all count; an empty table gives no rows; a text longer than a pack is a pack of its own;
+input columns other than the named are ignored.
 """
 
 from __future__ import annotations
@@ -30,22 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, U64, arrow_map, bounded_batches, hashed, mix64, owner, partitions, record, settle
+from ._common import SPACED, U64, bounded_batches, cleared, owner, partitions, record, runs_of_words, settle, texts_of, window_hash, word_count
 
-ALPHA = 0.4
-HOT_WORDS, HOT_SAMPLE = 512, 2000
-MOST_WORDS = 8_000_000
-#: Documents and bytes of text that a packed batch has at most.
-BATCH_DOCS, BATCH_BYTES = 50_000, 12 << 20
-
-
-def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(v * U64(0x9FB21C651E98DF25) + w)
+ALPHA, ORDER = 0.4, 2
+#: Documents and bytes of text that a pack has at most, but for a single longer text.
+PACK_DOCS, PACK_BYTES = 50_000, 12 << 20
+#: Bytes of text for each bucket: its n-grams are held in memory at once.
+BUCKET_BYTES = 8 << 20
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Sorted keys by byte planes: the shuffle's compression removes the nearly constant ones."""
+    """Numbers by byte planes: the shuffle's compression removes the nearly constant ones."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() if len(x) else b""
 
 
@@ -64,275 +59,157 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n[order], first)
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Edges of sorted keys by bucket: a bucket is a range of hashes."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], U64)
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def frequent_words(docs: DataFrame, text: str, words: int = HOT_WORDS, sample: int = HOT_SAMPLE) -> np.ndarray:
-    """Sorted hashes of words frequent in some documents; used for routing only, so any choice gives the same scores."""
-
-    def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for _, _, h, _ in hashed(b.column(0), SPACED):
-            k, n = np.unique(h, return_counts=True)
-            top = np.argsort(-n, kind="stable")[: 4 * words]
-            yield record(h=k[top].view(np.int64), n=n[top].astype(np.int64))
-
-    found = arrow_map(docs.select(F.col(text).cast("string")).limit(sample), rows, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(words).toArrow()
-    return np.sort(found.column("h").to_numpy().astype(np.int64).view(U64))
-
-
-def _is_in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(x), bool)
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
-
-
-def count_words(docs: DataFrame, text: str, hot: np.ndarray, buckets: int) -> DataFrame:
-    """(kind, keys, counts, total) packed by bucket: kind 1 has words, 2 pairs of hot words."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: []}
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for kind, parts in held.items():
-                if parts:
-                    keys, n = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-                    e = _by_bucket(keys, buckets)
-                    at = [b for b in range(buckets) if e[b] < e[b + 1]]
-                    yield record(kind=pa.array([kind] * len(at), pa.int32()), bucket=pa.array(at, pa.int32()), keys=pa.array([_planes(keys[e[b] : e[b + 1]]) for b in at], pa.binary()), counts=pa.array([_planes(n[e[b] : e[b + 1]]) for b in at], pa.binary()))
-
-        for batch in batches:
-            for _, _, h, at in hashed(batch.column(0), SPACED):
-                k, n = np.unique(h, return_counts=True)
-                held[1].append((k, n.astype(np.int64)))
-                frequent = _is_in(hot, h)
-                both = frequent[:-1] & frequent[1:] if len(h) > 1 else np.empty(0, bool)
-                cut = at[1:-1] - 1
-                both[cut[(cut >= 0) & (cut < len(both))]] = False
-                p = np.flatnonzero(both)
-                pk, pn = np.unique(pair_hash(h[p], h[p + 1]), return_counts=True)
-                held[2].append((pk, pn.astype(np.int64)))
-                size += len(k) + len(pk)
-                if len(held[1]) >= 16 and size > 2_000_000:
-                    for kind in held:
-                        held[kind] = [_summed(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))]
-                    size = sum(len(x[0][0]) for x in held.values())
-                    if size > 1_000_000:
-                        yield from out()
-                        held, size = {1: [], 2: []}, 0
-        yield from out()
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, _, parts in _grouped(batches, 2):
-            keys, n = _summed(np.concatenate([_unplanes(p["keys"], U64) for p in parts]), np.concatenate([_unplanes(p["counts"], np.int64) for p in parts]))
-            total = int(n.sum())
-            keep = n >= 2
-            yield record(kind=pa.array([kind], pa.int32()), keys=pa.array([keys[keep].tobytes()], pa.binary()), counts=pa.array([n[keep].tobytes()], pa.binary()), total=pa.array([total], pa.int64()), size=pa.array([int(keep.sum())], pa.int64()))
-
-    bounded_batches(docs.sparkSession)
-    parts = docs.select(F.col(text).cast("string")).mapInArrow(counted, "kind int, bucket int, keys binary, counts binary")
-    dealt = parts.repartition(partitions(docs.sparkSession), "kind", "bucket").sortWithinPartitions("kind", "bucket")
-    return dealt.mapInArrow(met, "kind int, keys binary, counts binary, total bigint, size bigint")
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
-    """Runs of rows that agree in the first ``width`` columns: those, and the rows."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Runs of rows that agree in the first column."""
     held, key = [], None
     for b in batches:
         for row in b.to_pylist():
-            k = tuple(list(row.values())[:width])
+            k = next(iter(row.values()))
             if held and k != key:
-                yield (*key, held)
+                yield key, held
                 held = []
             key = k
             held.append(row)
     if held:
-        yield (*key, held)
-
+        yield key, held
 
-class Table:
-    """Sorted keys with logs of counts; what isn't there occurred once."""
 
-    def __init__(self, rows: pa.Table) -> None:
-        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), U64)
-        n = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.int64)
-        order = np.argsort(keys)
-        self.keys, self.n = keys[order], n[order]
+def packed(docs: DataFrame) -> DataFrame:
+    """(uid, ids, lengths, texts, n_words, n_bytes): packs of (doc, text) rows, texts compressed."""
+    doc_type = docs.schema["doc"].dataType.simpleString()
 
-    def count(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.ones(len(x), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
-        return np.where(self.keys[at] == x, self.n[at], 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, task = pa.Codec("zstd"), TaskContext.get().partitionId()
+        ids, lengths, parts, size, seq = [], [], [], 0, 0
 
+        def out() -> pa.RecordBatch:
+            doc, raw, n = pa.concat_arrays(ids), np.concatenate(parts), np.concatenate(lengths)
+            at = np.append(0, np.cumsum(n))
+            ids_of = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
+            return record(uid=pa.array([task << 32 | seq], pa.int64()), ids=ids_of, lengths=pa.array([n.astype(np.int64).tobytes()], pa.binary()), texts=pa.array([codec.compress(raw.tobytes(), asbytes=True)], pa.binary()), n_words=pa.array([word_count(raw, at, SPACED)], pa.int64()), n_bytes=pa.array([len(raw)], pa.int64()))
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, min_count: int = 2, most_words: int = MOST_WORDS) -> DataFrame:
-    """Per row: doc_id, n_words, log_score (sum of log S), lm_score (its mean by word, null without words)."""
-    spark = docs.sparkSession
-    if min_count < 2:
-        raise ValueError("min_count is 2 at least: a pair that occurs once has no table entry")
-    docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    hot = frequent_words(docs, "text")
-    buckets = 2 * partitions(spark)
-    counted = settle(count_words(docs, "text", hot, buckets), "counts")
-    sizes = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("total").alias("total")).collect()}
-    if sizes and sizes[1]["size"] > most_words:
-        out = _by_joins(docs, alpha, min_count)
-    else:
-        words, pairs = (Table(counted.where(F.col("kind") == k).select("keys", "counts").toArrow()) for k in (1, 2))
-        out = _packed(docs, words, pairs, hot, sizes[1]["total"] if sizes else 1, alpha, min_count, 4 * partitions(spark))
-    return out.select(F.col("doc").alias(doc_id), "n_words", F.when(F.col("n_words") > 0, F.col("log_score")).alias("log_score"), F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("lm_score"))
-
-
-def _packed(docs: DataFrame, words: Table, pairs: Table, hot: np.ndarray, total: int, alpha: float, min_count: int, buckets: int) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((words, pairs, hot))
-    log_n, log_a = float(np.log(total)), float(np.log(alpha))
-    doc_type = docs.schema["doc"].dataType.simpleString()
-    binary = lambda x: pa.array(x, pa.binary())
-
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, hot = shared.value
-        ids, n_words, base, parts, size, seq = [], [], [], [], 0, 0
-        task = TaskContext.get().partitionId()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            uid = (task << 32) | seq
-            doc = pa.concat_arrays(ids)
-            first = record(bucket=pa.array([uid % buckets], pa.int32()), uid=pa.array([uid], pa.int64()), keys=binary([None]), lengths=binary([None]), docs=binary([np.concatenate(n_words).tobytes()]), times=binary([None]), values=binary([np.concatenate(base).tobytes()]))
-            yield pa.RecordBatch.from_arrays([*first.columns, pa.array([doc.to_pylist()], pa.list_(doc.type))], names=[*first.schema.names, "ids"])
-            if not any(len(x[0]) for x in parts):
-                return
-            key, doc_at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts.clear()
-            order = np.argsort(key, kind="stable")  # documents rise already
-            key, doc_at, left, right = key[order], doc_at[order], left[order], right[order]
-            new_key = np.append(True, key[1:] != key[:-1])
-            new = new_key.copy()
-            new[1:] |= doc_at[1:] != doc_at[:-1]
-            at = np.flatnonzero(new)  # one entry for a pair and a document
-            times = np.diff(np.append(at, len(key))).astype(np.uint32)
-            key_at = np.flatnonzero(new_key)
-            kinds = key[key_at]
-            first_entry = np.searchsorted(at, key_at)
-            edges = _by_bucket(kinds, buckets)
-            entry_edges = np.append(first_entry, len(at))
-            lengths = np.diff(entry_edges).astype(np.uint32)
-            rows = []
-            for b in range(buckets):
-                i, j = edges[b], edges[b + 1]
-                if i < j:
-                    p, q = entry_edges[i], entry_edges[j]
-                    rows.append((b, _planes(kinds[i:j]), _planes(lengths[i:j]), _planes(doc_at[at[p:q]].astype(np.uint16)), _planes(times[p:q]), _planes(left[key_at[i:j]]) + _planes(right[key_at[i:j]])))
-            if rows:
-                b, *cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([uid] * len(b), pa.int64()), *map(binary, cols), pa.nulls(len(b), pa.list_(doc.type))], names=["bucket", "uid", "keys", "lengths", "docs", "times", "values", "ids"])
-
-        n_docs = 0
-        for batch in batches:
-            for i, j, h, at in hashed(batch.column(1), SPACED):
-                if n_docs and (n_docs + j - i > BATCH_DOCS or size > BATCH_BYTES):
-                    yield from out()
-                    ids, n_words, base, parts, size, n_docs, seq = [], [], [], [], 0, 0, seq + 1
-                kinds, back = np.unique(h, return_inverse=True)
-                counts = words.count(kinds)[back] if len(h) else np.empty(0, np.int64)
-                logs = np.log(counts)
-                frequent = _is_in(hot, kinds)[back] if len(h) else np.empty(0, bool)
-                once = (logs == 0) if len(h) else np.empty(0, bool)
-                doc = owner(at)
-                sums = np.bincount(doc, logs + log_a - log_n, minlength=j - i)
-                if len(h) > 1:
-                    one = doc[:-1] == doc[1:]
-                    gain = log_n - log_a - logs[:-1] - logs[1:]
-                    both = one & frequent[:-1] & frequent[1:]
-                    p = np.flatnonzero(both)
-                    n = pairs.count(pair_hash(h[p], h[p + 1]))
-                    often = n >= min_count
-                    sums += np.bincount(doc[p[often]], np.log(n[often]) + gain[p[often]], minlength=j - i)
-                    # a pair with a word that occurs once can't be frequent
-                    p = np.flatnonzero(one & ~both & ~once[:-1] & ~once[1:])
-                    parts.append((pair_hash(h[p], h[p + 1]), (doc[p] + n_docs).astype(np.uint16), counts[p], counts[p + 1]))
-                ids.append(batch.column(0).slice(i, j - i))
-                n_words.append(np.diff(at))
-                base.append(sums)
-                n_docs += j - i
-                size += 8 * len(h)
+        for b in batches:
+            data, offsets = texts_of(b.column(1))
+            i = 0
+            while i < b.num_rows:
+                j = int(np.searchsorted(offsets, offsets[i] + PACK_BYTES - size, "right")) - 1
+                j = min(max(j, i + (not ids)), b.num_rows, i + PACK_DOCS - sum(map(len, ids)))
+                if j > i:
+                    ids.append(b.column(0).slice(i, j - i))
+                    lengths.append(np.diff(offsets[i : j + 1]))
+                    parts.append(np.array(data[offsets[i] : offsets[j]]))
+                    size += int(offsets[j] - offsets[i])
+                if j < b.num_rows:
+                    yield out()
+                    ids, lengths, parts, size, seq = [], [], [], 0, seq + 1
+                i = j
         if ids:
-            yield from out()
+            yield out()
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, 1):
-            packs = [r for r in rows if r["keys"] is not None]
-            for r in rows:
-                if r["keys"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["uid"]]), binary([r["docs"]]), binary([r["values"]]), pa.array([r["ids"]], pa.list_(batches_type))], names=["uid", "n", "sums", "ids"])
-            keys = [_unplanes(r["keys"], U64) for r in packs]
-            lengths = [_unplanes(r["lengths"], np.uint32) for r in packs]
-            times = [_unplanes(r["times"], np.uint32) for r in packs]
-            if not packs:
-                continue
-            own = [np.add.reduceat(t, np.cumsum(n, dtype=np.int64) - n.astype(np.int64)).astype(np.int64) for t, n in zip(times, lengths, strict=True)]
-            kinds, n = _summed(np.concatenate(keys), np.concatenate(own))
-            keep = n >= min_count
-            kinds, logs = kinds[keep], np.log(n[keep])
-            for r, k, m, t in zip(packs, keys, lengths, times, strict=True):
-                if not len(kinds):
-                    break
-                at = np.minimum(np.searchsorted(kinds, k), len(kinds) - 1)
-                often = np.repeat(kinds[at] == k, m)
-                half = len(r["values"]) // 2  # the words' counts: small numbers in wide integers, whose high planes are empty
-                gain = log_n - log_a - np.log(_unplanes(r["values"][:half], np.int64)) - np.log(_unplanes(r["values"][half:], np.int64))
-                value = np.repeat(logs[at] + gain, m)[often] * t[often]
-                sums = np.bincount(_unplanes(r["docs"], np.uint16)[often], value)
-                yield pa.RecordBatch.from_arrays([pa.array([r["uid"]]), binary([None]), binary([sums.tobytes()]), pa.nulls(1, pa.list_(batches_type))], names=["uid", "n", "sums", "ids"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, 1):
-            base = next(r for r in rows if r["n"] is not None)
-            n, sums = np.frombuffer(base["n"], np.int64), np.frombuffer(base["sums"], np.float64).copy()
-            for r in sorted((r for r in rows if r["n"] is None), key=lambda r: r["sums"]):  # in one order, so that reruns agree
-                part = np.frombuffer(r["sums"], np.float64)
-                sums[: len(part)] += part
-            yield record(doc=pa.array(base["ids"], batches_type), n_words=n, log_score=sums)
+    bounded_batches(docs.sparkSession)
+    return settle(docs.mapInArrow(run, f"uid bigint, ids array<{doc_type}>, lengths binary, texts binary, n_words bigint, n_bytes bigint"), "packs")
 
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    batches_type = to_arrow_type(docs.schema["doc"].dataType)
-    bounded_batches(spark)
-    p = partitions(spark)
-    sent = docs.mapInArrow(exploded, f"bucket int, uid bigint, keys binary, lengths binary, docs binary, times binary, values binary, ids array<{doc_type}>")
-    partial = sent.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(met, f"uid bigint, n binary, sums binary, ids array<{doc_type}>")
-    return partial.repartition(p, "uid").sortWithinPartitions("uid").mapInArrow(added, f"doc {doc_type}, n_words bigint, log_score double")
+def _texts(lengths: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a pack's texts."""
+    n = np.frombuffer(lengths, np.int64)
+    at = np.append(0, np.cumsum(n))
+    raw = pa.Codec("zstd").decompress(texts, int(at[-1]), asbytes=True) if at[-1] else b""
+    return np.frombuffer(raw, np.uint8), at
 
 
-def _by_joins(docs: DataFrame, alpha: float, min_count: int) -> DataFrame:
-    """The same sums by joins: n-gram rows meet count tables dealt by their hash. Pre-aggregated by document, hot keys left to skew joins."""
-    spark = docs.sparkSession
-    doc_type = docs.schema["doc"].dataType.simpleString()
+def _grams(h: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each order the words that end an n-gram, and the n-grams' hashes."""
+    out = [(np.arange(len(h)), h)]
+    for n in range(2, order + 1):
+        starts = cleared(at, n)
+        out.append((starts + n - 1, window_hash(h, n)[starts] if len(starts) else np.empty(0, U64)))
+    return out
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 33
+
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, order: int = ORDER, min_count: int = 1, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Per row: doc_id, n_words, log_score (sum of log S), lm_score (its mean by word, null without words)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    packs = packed(docs)
+    sums = packs.agg(F.sum("n_words").alias("words"), F.sum("n_bytes").alias("bytes")).first()
+    p, total = partitions(spark), int(sums["words"] or 0)
+    # several buckets a partition, each of a bounded size
+    buckets = max(8 * p, -(-int(sums["bytes"] or 0) // bucket_bytes))
+    doc_type, arrow_type = docs.schema["doc"].dataType.simpleString(), to_arrow_type(docs.schema["doc"].dataType)
+    log_n, log_a = float(np.log(max(1, total))), float(np.log(alpha))
+
+    def kinds_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A pack's distinct n-grams of all orders in order, with their counts there."""
+        held, size = [], 0
+        for _, _, h, at in runs_of_words(data, offsets, SPACED):
+            k, n = np.unique(np.concatenate([g for _, g in _grams(h, at, order)]), return_counts=True)
+            held.append((k, n.astype(np.int64)))
+            size += len(k)
+            if len(held) > 8:  # small runs first, so that nothing is sorted often
+                held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        return _summed(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.empty(0, U64), np.empty(0, np.int64))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, h, at in hashed(b.column(1), SPACED):
-                parts = []
-                for d in range(j - i):
-                    x = h[at[d] : at[d + 1]]
-                    parts.append([{"v": int(v), "w": int(w), "first": k == 0} for k, (v, w) in enumerate(zip(np.append(x[:1], x[:-1]).view(np.int64), x.view(np.int64), strict=True))])
-                yield record(row=pa.array(range(uid, uid + j - i), pa.int64()), doc=b.column(0).slice(i, j - i), grams=pa.array(parts, pa.list_(pa.struct([("v", pa.int64()), ("w", pa.int64()), ("first", pa.bool_())]))))
-                uid += j - i
+            for uid, lengths, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                keys, n = kinds_of(*_texts(lengths, texts))
+                e = _edges(keys, buckets)
+                at = [x for x in range(buckets) if e[x] < e[x + 1]]
+                yield record(bucket=pa.array(at, pa.int32()), uid=pa.array([uid] * len(at), pa.int64()), keys=pa.array([_planes(keys[e[x] : e[x + 1]]) for x in at], pa.binary()), counts=pa.array([_planes(n[e[x] : e[x + 1]].astype(np.uint32)) for x in at], pa.binary()))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _grouped(batches):
+            keys = [_unplanes(r["keys"], U64) for r in rows]
+            kinds, n = _summed(np.concatenate(keys), np.concatenate([_unplanes(r["counts"], np.uint32) for r in rows]).astype(np.int64))
+            for r, k in zip(rows, keys, strict=True):
+                yield record(uid=pa.array([r["uid"]], pa.int64()), bucket=pa.array([bucket], pa.int32()), counts=pa.array([_planes(n[np.searchsorted(kinds, k)])], pa.binary()), ids=pa.nulls(1, pa.list_(arrow_type)), lengths=pa.nulls(1, pa.binary()), texts=pa.nulls(1, pa.binary()))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            head, *answers = rows
+            data, offsets = _texts(head["lengths"], head["texts"])
+            keys, _ = kinds_of(data, offsets)
+            logs, often = np.empty(len(keys)), np.empty(len(keys), bool)
+            i = 0
+            for r in answers:
+                n = _unplanes(r["counts"], np.int64)
+                logs[i : i + len(n)], often[i : i + len(n)] = np.log(n), n >= min_count
+                i += len(n)
+            n_words, sums = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
+            for i, j, h, at in runs_of_words(data, offsets, SPACED):
+                before, log_s = None, None
+                for ends, grams in _grams(h, at, order):
+                    place = np.searchsorted(keys, grams)
+                    log_c = np.full(len(h), -np.inf)
+                    log_c[ends] = logs[place]
+                    if log_s is None:
+                        log_s = log_c - log_n
+                    else:
+                        seen = np.zeros(len(h), bool)
+                        seen[ends] = often[place]
+                        at_seen = np.flatnonzero(seen)
+                        log_s = log_a + log_s
+                        log_s[at_seen] = log_c[at_seen] - before[at_seen - 1]
+                    before = log_c
+                n_words[i:j] = np.diff(at)
+                sums[i:j] = np.bincount(owner(at), log_s, minlength=j - i) if len(h) else 0.0
+            yield record(doc=pa.array(head["ids"], arrow_type), n_words=n_words, log_score=sums)
 
     bounded_batches(spark)
-    grams = settle(docs.mapInArrow(rows, f"row bigint, doc {doc_type}, grams array<struct<v:bigint,w:bigint,first:boolean>>"), "grams")
-    each = grams.select("row", F.explode("grams").alias("g")).select("row", "g.*")
-    tf = each.groupBy("row", "v", "w", "first").agg(F.count(F.lit(1)).alias("tf"))
-    words = settle(each.groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
-    total = words.agg(F.sum("c")).first()[0] or 1
-    pairs = each.where("not first").groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2")).where(F.col("c2") >= min_count)
-    pairs = pairs.join(words.select(F.col("w").alias("v"), F.col("c").alias("cv")), "v")
-    joined = tf.join(words, "w").join(pairs.withColumn("first", F.lit(False)), ["v", "w", "first"], "left")
-    log_s = F.when(F.col("c2").isNotNull(), F.log(F.col("c2") / F.col("cv"))).otherwise(F.log(F.lit(alpha) * F.col("c") / F.lit(float(total))))
-    sums = joined.groupBy("row").agg(F.sum("tf").alias("n_words"), F.sum(F.col("tf") * log_s).alias("log_score"))
-    return grams.select("row", "doc").join(sums, "row", "left").select("doc", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), "log_score")
+    asked = packs.select("uid", "lengths", "texts").mapInArrow(ask, "bucket int, uid bigint, keys binary, counts binary")
+    fields = f"uid bigint, bucket int, counts binary, ids array<{doc_type}>, lengths binary, texts binary"
+    answered = asked.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, fields)
+    texts = packs.select("uid", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "ids", "lengths", "texts")
+    together = texts.union(answered).repartition(p, "uid").sortWithinPartitions("uid", "bucket")
+    out = together.mapInArrow(met, f"doc {doc_type}, n_words bigint, log_score double")
+    some = F.col("n_words") > 0
+    return out.select(F.col("doc").alias(doc_id), "n_words", F.when(some, F.col("log_score")).alias("log_score"), F.when(some, F.col("log_score") / F.col("n_words")).alias("lm_score"))

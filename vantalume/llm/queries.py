@@ -115,7 +115,7 @@ ORACLE_SQL = {
     "op10_lm": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         t AS (SELECT doc_id, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-        c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM t),
+        c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w), n AS (SELECT count(*) AS n FROM t),
         s AS (SELECT doc_id, count(*) AS n_words, avg(ln(CASE WHEN c2.c IS NOT NULL THEN cast(c2.c AS DOUBLE) / cv.c ELSE 0.4e0 * c1.c / n.n END)) AS x
               FROM t JOIN c1 ON t.w = c1.w LEFT JOIN c2 ON t.v = c2.v AND t.w = c2.w LEFT JOIN c1 cv ON t.v = cv.w CROSS JOIN n GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(x, 6) AS lm_score FROM d LEFT JOIN s USING (doc_id)""",
