@@ -104,6 +104,37 @@ def test_near_duplicates_of_a_chain(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_near_duplicates_of_a_star(spark, monkeypatch):
+    """A hub with thousands of near copies of its own: hot buckets, stars and components are dealt over tasks, and nothing is lost."""
+    monkeypatch.setattr(_common.hot_keys, "__kwdefaults__", {"least": 50})
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join([*base[: 40 + i % 70], f"x{i}", *base[41 + i % 70 :]])) for i in range(1500)] + [(2000 + i, f"alone {i} b c d e {i}") for i in range(300)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i in range(1500)] + [(2000 + i, 2000 + i) for i in range(300)]
+
+
+def test_salted_join(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.lit(7)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id")).cast("int").alias("k"), "id").cache()
+    few = spark.range(0, 3000, 7).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    assert [tuple(r) for r in _common.hot_keys(many, "k").collect()] == [(7, 2)]
+    for how in ("inner", "left"):
+        got, want = (sorted(map(str, d.select("k", "id", "v").collect())) for d in (_common.salted_join(many, few, "k", "id", how), many.join(few, "k", how)))
+        assert got == want
+
+
+def test_rows_of_one_id(spark):
+    """Rows are documents of their own: a near copy goes, though another row of its id stays."""
+    x, y = " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    rows = [(5, x, 1), (5, y, 2), (3, f"{y} z", 3), (5, x, 4), (None, x, 5), (None, "p q r s t u v", 6), (None, "p q r s t u v", 7), (9, " ", 8), (9, " ", 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 int")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df).collect())
+    assert got == sorted([(5, 5, True), (5, 3, False), (3, 3, True), (5, 5, True), (-1, 5, False), (-1, -1, True), (-1, -1, True), (9, 9, True), (9, 9, True), (-1, -1, True)])
+    kept = neardup.representatives(df)
+    assert kept.columns == df.columns
+    left = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert left == sorted([("5", x), ("3", f"{y} z"), ("None", "p q r s t u v"), ("9", " "), ("9", " "), ("None", "None")])
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 1 << 63, (2, 900), dtype=np.uint64)

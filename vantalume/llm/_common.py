@@ -44,6 +44,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_keys(many: DataFrame, *key: str, least: int = 1000) -> DataFrame | None:
+    """(key, __salts): the keys that hold more than twice a task's mean share of a settled table's rows, and how many tasks to deal each to.
+
+    There are fewer of them than half the partitions, whatever the table's size; None without any.
+    """
+    spark = many.sparkSession
+    edge = max(least, 2 * many.count() // partitions(spark))
+    counts = many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > edge) & F.col(key[0]).isNotNull())
+    found = [(*(r[k] for k in key), -(-r["n"] // edge)) for r in counts.collect()]
+    return spark.createDataFrame(found, ", ".join([*(f"`{k}` {many.schema[k].dataType.simpleString()}" for k in key), "__salts int"])) if found else None
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
+    """many, which is settled, joined with few, which has one row a key; many's hot keys are dealt by column ``by``, and few's rows repeated for them."""
+    keys = [key] if isinstance(key, str) else key
+    hot = hot_keys(many, *keys)
+    if hot is None:
+        return many.join(few, keys, how)
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    each = few.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(each, [*keys, "__salt"], how).drop("__salt")
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, also where names hold dots."""
     return df[f"`{name}`"]

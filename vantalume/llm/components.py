@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import salted_join, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds go on until no label changes. A round aggregates neighbours' least labels (combined before the shuffle)
     and then jumps each label to its own label, so long chains halve. Labels are written out each round: nothing
-    gathers on the driver but the count of changes. Loops and null ends are dropped; no edges give no rows.
+    gathers on the driver but the count of changes. The edges of a hub, and the members of a giant component, are dealt over
+    many tasks. Loops and null ends are dropped; no edges give no rows.
     """
     e = edges.select("a", "b").where("a <> b")
     e = settle(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = settle(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     while True:
-        near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = salted_join(e, label.withColumnRenamed("node", "b"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         hooked = settle(hooked, "labels")
         jump = hooked.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        following = settle(hooked.join(jump, "root").select("node", "was", F.col("further").alias("root")), "labels")
+        following = settle(salted_join(hooked, jump, "root", "node").select("node", "was", F.col("further").alias("root")), "labels")
         changed = following.where("root <> was").limit(1).count()
         label = following.select("node", "root")
         if not changed:

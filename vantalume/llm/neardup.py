@@ -8,13 +8,14 @@ give candidates: at J = 0.8 a pair shares no band with probability 3e-6.
 Rows with equal sets form a class first (counted before the shuffle), and only classes go on, so copies never make
 pairs. Candidates are then star-shaped: each member of a bucket against the bucket's leader, a number of pairs
 linear in the rows. Pairs whose likelihood, given register comparisons and both set sizes, peaks below ``floor`` are
-dropped (more than 3.5 standard deviations under 0.8), and the rest are confirmed on the full sets. Links make components;
+dropped (eight standard deviations under 0.8: a link is lost there with probability 1e-12), and the rest are confirmed on the
+full sets. The rows of a bucket, a star or a component that holds a great part of all rows are dealt over many tasks. Links make components;
 a second star and then a blockwise pass compare what still shares a bucket across components: every member of a bucket's
 smaller components against all members of other components, in blocks of bounded size. No bucket is cut or sampled.
 
 Defined cases: null and wordless texts have the empty set and are linked with nothing; fewer words than a shingle
-make one shingle; equal ids are rows of one node; a class of null ids only has a null component and its rows are
-kept; input columns other than the named ones are ignored.
+make one shingle; rows that share an id are documents of their own, each with its own component; a class of null ids only has
+a null component and its rows are kept; input columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mix64, partitions, record, settle, window_hash
+from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mix64, partitions, record, salted_join, settle, window_hash
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-FLOOR = 0.68
+FLOOR = 0.55
 BITS = 1 << 23
 
 _rng = np.random.default_rng(77)
@@ -129,7 +130,7 @@ class Sketches:
     """The classes of equal sets of a table of texts, and the links between them."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, floor: float) -> None:
-        self.docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+        self.docs = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), *_row_keys(doc_id, text))
         self.shingle, self.percent, self.similarity, self.floor = shingle, round(similarity * 100), similarity, floor
         k = shingle
 
@@ -147,7 +148,7 @@ class Sketches:
                         sketch[i + d] = r.tobytes()
             return {"n": n, "h1": keys[0], "h2": keys[1], "sketch": pa.array(sketch, pa.binary())}
 
-        self.rows = settle(append_map(self.docs, ["doc"], rows, "n bigint, h1 bigint, h2 bigint, sketch binary"), "sketches")
+        self.rows = settle(append_map(self.docs, ["doc", "k1", "k2"], rows, "n bigint, h1 bigint, h2 bigint, sketch binary"), "sketches")
         grouped = self.rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
         self.classes = settle(grouped.withColumn("rid", F.monotonically_increasing_id()), "classes")
 
@@ -173,7 +174,7 @@ class Sketches:
             ok = _promising(c["na"].to_numpy(), c["nb"].to_numpy(), _matrix(c["sa"]), _matrix(c["sb"]), similarity, floor) if b.num_rows else np.empty(0, bool)
             return record(a=c["a"].filter(pa.array(ok)), b=c["b"].filter(pa.array(ok)))
 
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        joined = salted_join(pairs, side("b"), "b", "a").join(side("a"), "a")
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
         return settle(arrow_map(joined.where(fits), rows, "a bigint, b bigint"), "candidates")
 
@@ -206,7 +207,7 @@ class Sketches:
         percent = self.percent
         sets = self.sets(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))))
         salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("salts"))
-        member = pairs.join(salts, "b").select(F.col("a").alias("rid"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
+        member = salted_join(pairs, salts, "b", "a").select(F.col("a").alias("rid"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
         leader = salts.select(F.col("b").alias("rid"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
         wide = member.union(leader).join(sets, "rid").select("b", "salt", "kind", F.col("rid").alias("a"), "elements")
         wide = wide.repartition(partitions(pairs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", "kind")
@@ -233,7 +234,7 @@ class Sketches:
         marked = shared.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
         marked = settle(marked, "marked")
         mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return settle(marked.join(mixed, "key"), "mixed")
+        return settle(salted_join(marked, mixed, "key", "rid"), "mixed")
 
     def blockwise(self, mixed: DataFrame, block: int = 256) -> DataFrame:
         """Confirmed links between a bucket's smaller components and all its other components.
@@ -245,7 +246,7 @@ class Sketches:
         by_comp = mixed.groupBy("key", "comp").count()
         top = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
         blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
-        sized = mixed.join(top, "key").select("key", "rid", "comp", (F.col("comp") != F.col("main")).alias("stray"), blocks(F.col("n")).alias("nm"), blocks(F.col("n") - F.col("most")).alias("ns"))
+        sized = salted_join(mixed, top, "key", "rid").select("key", "rid", "comp", (F.col("comp") != F.col("main")).alias("stray"), blocks(F.col("n")).alias("nm"), blocks(F.col("n") - F.col("most")).alias("ns"))
         place = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         members = sized.select("key", "rid", "comp", place(F.col("nm")).alias("mb"), every(F.col("ns")).alias("sb"), F.lit(False).alias("stray"))
@@ -299,15 +300,16 @@ class Sketches:
 
     def labels(self) -> DataFrame:
         """(node, root) of every class that is linked with another."""
-        bands = self.buckets()
+        bands = settle(self.buckets(), "bands")
         lead = bands.groupBy("key").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-        shared = settle(bands.join(lead, "key"), "buckets")
-        star = shared.where("rid <> b").select(F.col("rid").alias("a"), "b").distinct()
+        shared = settle(salted_join(bands, lead, "key", "rid"), "buckets")
+        star = settle(shared.where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), "star")
         links = self.confirmed(self.estimated(star))
         label = components(links)
         mixed = self.crossing(shared.select("key", "rid"), label)
         second = mixed.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64("rid", "key")).alias("lead"))
-        star = mixed.join(second, "key").where("comp <> lead.comp").select(F.greatest("rid", "lead.rid").alias("a"), F.least("rid", "lead.rid").alias("b")).distinct()
+        star = salted_join(mixed, second, "key", "rid").where("comp <> lead.comp").select(F.greatest("rid", "lead.rid").alias("a"), F.least("rid", "lead.rid").alias("b")).distinct()
+        star = settle(star, "star")
         links = links.union(self.confirmed(self.estimated(star)))
         label = components(links)
         mixed = self.crossing(mixed.select("key", "rid"), label)
@@ -315,14 +317,39 @@ class Sketches:
         return components(links)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, floor: float = FLOOR) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id reachable by links), kept (doc_id is its component's)."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, floor: float) -> DataFrame:
+    """Per row: doc, k1 and k2 (hashes of id and text), n, component (the least id reachable) and group (its number; null for an empty set)."""
     s = Sketches(docs, doc_id, text, shingle, similarity, floor)
-    label = s.labels()
-    classes = s.classes.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("h1", "h2", "doc", "copies", "root")
+    classes = s.classes.select("h1", "h2", "doc", "copies", "rid").join(s.labels().withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("root", "rid"))
+    classes = settle(classes.drop("rid"), "grouped")
     least = classes.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
-    grouped = classes.join(least, "root", "left").where("copies > 1 or root is not null").select("h1", "h2", F.coalesce("least", "doc").alias("component"))
-    rows = s.rows.select("doc", "n", "h1", "h2").withColumn("h1", F.when(F.col("n") > 0, F.col("h1")))
-    out = rows.join(grouped, ["h1", "h2"], "left")
-    component: Column = F.coalesce("component", "doc")
-    return out.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
+    grouped = salted_join(classes, least, "root", "doc", "left").select("h1", "h2", F.coalesce("least", "doc").alias("component"), "group")
+    rows = s.rows.select("doc", "k1", "k2", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2")
+    return salted_join(rows, grouped, ["h1", "h2"], "doc", "left").select("doc", "k1", "k2", "n", "group", F.coalesce("component", "doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, floor: float = FLOOR) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least id reachable by links), kept (doc_id is its component's)."""
+    out = _grouped(docs, doc_id, text, shingle, similarity, floor)
+    return out.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, floor: float = FLOOR) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the least id (null last) and then text hash; rows without words all stay.
+
+    Rows are told apart by id and text, so a row that shares its id with a group's best one, but not its text, goes.
+    """
+    grouped = _grouped(docs, doc_id, text, shingle, similarity, floor)
+    order = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("k1"), F.col("k2"))
+    best = grouped.where("group is not null").groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
+    k1, k2 = _row_keys(doc_id, text)
+    words = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.withColumns({"__k1": k1, "__k2": k2})
+    once = rows.where(words).join(best, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return once.union(rows.where(~words).select(*once.columns)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _row_keys(doc_id: str, text: str) -> tuple[Column, Column]:
+    """Two hashes that tell rows apart by id and text."""
+    pair = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    return F.xxhash64(*pair).alias("k1"), F.xxhash64(F.lit("row"), *pair).alias("k2")
