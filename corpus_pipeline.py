@@ -28,10 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at a similarity of 0.8, the one with the least id stays."""
-    docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").withColumn("__text", F.xxhash64("text"))
-    return once.dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
+    return neardup.representatives(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
