@@ -327,6 +327,33 @@ def test_vectors(spark):
     assert vecdup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_at_the_threshold(spark):
+    """A cosine of exactly 0.98 links, and one below by the least that doubles can tell doesn't; extra columns clash with the result's."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], 0), (2, [49.0, 7.0, 5.0, 5.0], 0), (3, [98e20, 14e20, 10e20, 10e20], 0), (4, [49.0, 7.0, 5.0, 5.000000001], 0), (5, [1.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame([(*r, 9, 9, 9) for r in rows], "vec_id long, embedding array<double>, label int, kept int, n_links int, id int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdup.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (3, 1), 3: (3, 1), 4: (2, 1), 5: (0, 5)}
+
+
+def test_recall_of_vectors(spark):
+    """Planted pairs at the threshold among 50,000 vectors: the traversal stops early and still meets them."""
+    r = np.random.default_rng(7)
+    x = r.standard_normal((48_000, 24)).astype(np.float32)
+    y = x[:2500] / np.linalg.norm(x[:2500], axis=1, keepdims=True)
+    off = r.standard_normal(y.shape)
+    off -= (off * y).sum(1, keepdims=True) * y
+    c = r.uniform(0.9801, 0.983, (2500, 1))
+    y = c * y + np.sqrt(1 - c * c) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    every = np.concatenate([x.astype(float), y])
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(every)), "embedding": pa.array(list(every), pa.list_(pa.float64())), "label": np.arange(len(every)) % 48_000 % 3})).repartition(8)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdup.near_duplicates(df, sample=8_000).collect()}
+    assert sum(got[48_000 + i][1] == got[i][1] for i in range(2500)) >= 0.995 * 2500
+    books = vecdup.Codebooks(vecdup._unit(x[:8000].astype(float)), 77, 0.98, 0.999)
+    assert books.level < 1 and np.mean([len(v) for v in books.cells(vecdup._unit(x[:500].astype(float)))[1]]) < 0.2 * 77 * 77
+
+
 def test_warc(spark):
     rows = [(i, f"http://a.example/{i % 5}?q={i}", "<p>same</p>" * 20) for i in range(10)] + [(20, None, None), (21, "x y\r\nz", ""), (22, "http://b", "short"), (23, "http://b", "short"), (3, "http://again", "<p>same</p>" * 20), (None, "http://n", "é" * 60), (30, "http://n", "é" * 60), (-1, "http://[bad", "ü" * 99)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
