@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -120,6 +121,47 @@ def test_html_unclosed_dropped(tag):
     assert shown(f'<div><{tag}><div>no</div><p>no</p><script>"</div>"</script>no</{tag}>A.</div><p>B.</p>') == ["A.", "B."]
 
 
+def test_html_quotes_and_deep_nesting():
+    shown = lambda p: [x for x in html_extract.Tree(p).text if x]
+    assert shown("<p title=don't>Hello, it's a nice day.</p><p>Isn't it?</p>") == ["Hello, it's a nice day.", "Isn't it?"]
+    assert shown('<p title="a > b" x=\'c > d\'>One.</p><a href=/x?y="z>link</a> two') == ["One.", "link two"]
+    assert shown('<p title = "a>b"c>One.<p a=>Two.<p a= >Three.<p =">Four.') == ["One.", "Two.", "Three.", "Four."]
+    assert shown('<p title="never closed>One.') == ["One."]
+    began = time.perf_counter()
+    n = 20_000
+    assert shown("<div>" * n + "</section>" * n + "x" + "</div>" * n) == ["x"]
+    assert shown("<ul>" + "<div>" * n + "<li>a</li>" * n) == ["a"] * n
+    assert shown("<select>" + "<div>" * n + "</section>" * n + "</select>b") == ["b"]
+    assert time.perf_counter() - began < 10
+
+
+#: Pages laid out as the generator's aren't; what is marked with * is the article.
+BY_HAND = (
+    """<body bgcolor=white><table width=100%><tr><td colspan=2 class=topbar><a href=/>Start</a> <a href=/news>News</a> <a href=/about>About us</a></td></tr><tr><td width=120 class=navcol><a href=/1>One</a><br><a href=/2>Two</a><br><a href=/3>Three</a></td>
+    <td><h2>*The old mill opens again</h2><p>*After nine years of work the mill by the river has opened its doors.</p><p>*Its owner, who learned the trade from an uncle, expects many visitors this summer.</p></td></tr><tr><td class=footer>Copyright 1998 by the town.</td></tr></table></body>""",
+    """<div id=page><div id=masthead class=site-header><p>A blog about gardens</p></div><div id=primary><div class=post id=post-12><h1 class=entry-title>*Growing beans on a balcony</h1><div class=entry><p>*Beans need little more than light, water and something to climb.</p>
+    <ol><li>*Soak the seeds for a night.</li><li>*Put them two fingers deep into the soil.</li></ol><blockquote><p>*My neighbour says that they grow while you watch.</p></blockquote></div></div><div id=comments class=comments-area><h3>2 replies</h3><ol class=comment-list><li>Mine never came up at all.</li><li>Try again in May, it is warmer then.</li></ol></div></div>
+    <div id=secondary class=widget-area><h3>Recent posts</h3><ul><li><a href=/a>On snails</a></li><li><a href=/b>On rain</a></li></ul></div></div>""",
+    """<html><body><div role=navigation><a href=#content>Skip</a> <a href=/i>Index</a></div><main id=content role=main><h1>*Tides</h1><p>*Tides are the rise and fall of sea levels.</p><h2>*Causes</h2><p>*They are caused by the pull of the moon and, to a lesser degree, of the sun.</p>
+    <table class=data><tr><th>*Place</th><th>*Range</th></tr><tr><td>*Saint-Malo</td><td>*12 m</td></tr></table><p>*Where the shape of the coast helps, the range is large.</p></main><div class=footer-links><a href=/p>Privacy</a> <a href=/c>Contact</a></div></body></html>""",
+    """<body><header class=top><a href=/>Daily paper</a><form action=/s><input name=q> Search the paper</form></header><section class=story-body><h1>*Council votes for the bridge</h1><p>*The council voted last night to rebuild the bridge, by nine votes to four.</p><div class=advert-inline><p>Buy two, get one free, only this week!</p></div>
+    <p>*Work is to begin in spring. It will take two years.</p><aside class=related><h4>More on this</h4><ul><li><a href=/x>The bridge in pictures</a></li></ul></aside><p>*A ferry will run until then.</p></section><div class=gdpr-overlay><p>We use cookies to make this site better. By staying you agree.</p></div><footer><p>All rights reserved by the paper.</p></footer></body>""",
+    """<body><div class=wrap><div class=share-bar><a href=/f>Share</a> <a href=/t>Post</a></div><div><h1>*How to sharpen a knife</h1><p>*Lay the stone on a wet cloth so that it stays where it is.</p><p>*Draw the blade over it at an even angle, from heel to tip, ten times on each side.</p><p>*Wipe it clean.</p><figure><img src=k.png><figcaption>*The right angle is flat.</figcaption></figure></div>
+    <div class=newsletter-signup><p>Get our letter every week, it is free of charge.</p></div><div class=site-footer><p>Made with care in the north.</p></div></div></body>""",
+    """<body><nav class=crumbs><a href=/>Home</a> / <a href=/r>Recipes</a></nav><article class=recipe><header><h1>*Potato soup</h1><p>*A soup for cold days, for four people.</p></header><h3>*You need</h3><ul><li>*One kilogram of potatoes</li><li>*Two onions</li><li>*A litre of stock</li></ul><p>*Cook the potatoes and onions in the stock for half an hour, then mash them.</p></article><section id=discussion><article><p>I added leeks and it was very good.</p></article></section></body>""",
+)
+
+
+def test_html_of_other_layouts():
+    model = html_extract.default_model()
+    right = wrong = lost = 0
+    for page in BY_HAND:
+        want = [x[1:] for x in html_extract.Tree(page).text if x and x[0] == "*"]
+        got = [x.removeprefix("*") for x in model.blocks(page)]
+        right, wrong, lost = right + len(set(want) & set(got)), wrong + len(set(got) - set(want)), lost + len(set(want) - set(got))
+    assert right >= 0.9 * (right + lost) and wrong <= 0.1 * (right + wrong)
+
+
 def test_sum_product_is_exact():
     """Against the sum over all states of a small tree."""
     import itertools
@@ -147,6 +189,12 @@ def test_extract_frame(spark):
     got = {r.page_id: r for r in html_extract.extract(df).collect()}
     assert got[1].text.startswith("Some text") and got[1].n_chars == len(got[1].text) and (got[2].text, got[2].n_chars) == ("", 0)
     assert html_extract.extract(df.limit(0)).count() == 0
+    clash = df.selectExpr("page_id", "url", "html", "'x' AS n_chars", "7 AS n_blocks", "'y' AS `a.b`")
+    out = html_extract.extract(clash)
+    assert out.columns == ["page_id", "url", "html", "a.b", "text", "n_chars", "n_blocks"] and {r.page_id: r.n_chars for r in out.collect()} == {1: got[1].n_chars, 2: 0}
+    sentence = "Some text that is good and goes on. "
+    long = spark.createDataFrame([(1, f"<article><p>{sentence * 60_000}</p></article>"), (2, "<p>" * 50_000)], "page_id long, html string")
+    assert {r.page_id: r.n_chars for r in html_extract.extract(long).collect()} == {1: 60_000 * len(sentence) - 1, 2: 0}
 
 
 def test_least_keys(spark):

@@ -241,18 +241,22 @@ def append_map(df: DataFrame, keep: list[str], rows: Callable[[pa.RecordBatch],
     """df's columns named in keep, and those that rows() gives for each batch; of equal names, the added ones stay."""
     from pyspark.sql.types import _parse_datatype_string
 
-    new = _parse_datatype_string(added).fieldNames()
+    fields = _parse_datatype_string(added).fields
+    new, names = [f.name for f in fields], df.columns
     taken = {x.lower() for x in new}
     kept = [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+    # plain names on the way: those with dots can't be passed on
+    sent = df.toDF(*(f"c{i}" for i in range(len(names))))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), added])
+    schema = ", ".join([*(f"k{i} {types[c]}" for i, c in enumerate(kept)), *(f"n{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))])
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        b = b.rename_columns(names)
         out = rows(b)
-        arrays = [b.column(b.schema.get_field_index(c)) for c in kept] + [out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in new]
-        return pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+        arrays = [b.column(names.index(c)) for c in kept] + [out[c] if isinstance(out[c], pa.Array) else pa.array(out[c]) for c in new]
+        return pa.RecordBatch.from_arrays(arrays, names=[*(f"k{i}" for i in range(len(kept))), *(f"n{i}" for i in range(len(new)))])
 
-    return arrow_map(df, one, schema)
+    return arrow_map(sent, one, schema).toDF(*kept, *new)
 
 
 def least_keys(rows: DataFrame, by: str, most: int) -> dict:

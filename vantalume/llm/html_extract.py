@@ -27,7 +27,7 @@ from ._common import append_map
 
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
-    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>
+    |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s"'>][^\s>]*+|=(?=\s*>))*+)>
     |<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""",
     re.S | re.X,
 )
@@ -83,6 +83,8 @@ class Tree:
         pieces: list[str] = []
         links, in_link, dropped, in_head = 0, False, None, False
         within: list[str] = []  # blocks open inside the dropped element
+        inside: Counter = Counter()  # how many of each
+        places: dict[str, list[int]] = {"#root": [0]}  # of each tag, where it is open in the stack
         last: dict[str, int] = {}
         page = page or ""
 
@@ -107,8 +109,14 @@ class Tree:
 
         def close(to: int) -> None:
             flush()
+            for i in stack[to:]:
+                places[self._tags[i]].pop()
             del stack[to:]
 
+        def innermost(tags: set[str]) -> int:
+            """Where in the stack the last open element of some tags is, or 0."""
+            return max((places[x][-1] for x in tags if places.get(x)), default=0)
+
         def closes(tag: str, at: int) -> bool:
             """Whether the tag's end tag comes at or after a place."""
             if tag not in last:
@@ -139,23 +147,26 @@ class Tree:
                 if end and tag == dropped:
                     dropped = None
                     continue
-                if end and tag in within:
-                    while within.pop() != tag:
-                        pass
+                if end and inside[tag]:
+                    closed = None
+                    while closed != tag:
+                        closed = within.pop()
+                        inside[closed] -= 1
                     continue
                 # an open ancestor's end ends it too, and without an end tag of its own the next block
-                if end and (tag == "head" and in_head or any(self._tags[i] == tag for i in stack)) or not end and (tag == "body" and in_head or tag in BLOCKS and not closes(dropped, at)):
+                if end and (tag == "head" and in_head or places.get(tag)) or not end and (tag == "body" and in_head or tag in BLOCKS and not closes(dropped, at)):
                     dropped = None
                 else:
                     if not end and tag in BLOCKS:
                         within.append(tag)
+                        inside[tag] += 1
                     elif not end and tag in RAW and closes(tag, at):
                         at = re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at).end()
                     continue
             if in_head and (tag in HEAD_ENDS if end else tag not in HEAD_TAGS):
                 in_head = False
             if tag == "head":
-                in_head = not end and not any(self._tags[i] == "body" for i in stack)
+                in_head = not end and not places.get("body")
                 continue
             if tag in DROPPED:
                 if not end:
@@ -166,6 +177,7 @@ class Tree:
                     elif not attrs.endswith("/"):
                         dropped = tag
                         within.clear()
+                        inside.clear()
                 continue
             if tag not in BLOCKS:
                 if tag == "br" or tag == "hr":
@@ -174,10 +186,8 @@ class Tree:
                     in_link = not end
                 continue
             if end:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self._tags[stack[i]] == tag:
-                        close(i)
-                        break
+                if i := innermost({tag}):
+                    close(i)
                 else:
                     flush()
                 continue
@@ -186,16 +196,12 @@ class Tree:
             if self._tags[stack[-1]] == "p" or tag[0] == "h" and tag[1:].isdigit() and self._tags[stack[-1]][0] == "h" and self._tags[stack[-1]][1:].isdigit():
                 close(len(stack) - 1)
             if tag in SIBLINGS:
-                for i in range(len(stack) - 1, 0, -1):
-                    open_tag = self._tags[stack[i]]
-                    if open_tag in PARENTS_OF[tag]:
-                        break
-                    if open_tag in SIBLINGS[tag]:
-                        close(i)
-                        break
+                if (i := innermost(SIBLINGS[tag])) > innermost(PARENTS_OF[tag]):
+                    close(i)
             hint, keep = _hint(m["attrs"] or m["attrs2"] or "")
             # an article's own header may hold its title; a page's doesn't
             inner = "_inside" if tag == "header" and (self._tags[stack[-1]] in ("article", "main") or "hint_content" in self.features[stack[-1]]) else ""
+            places.setdefault(tag, []).append(len(stack))
             stack.append(add(tag, ("element", f"tag_{KIND.get(tag, 'div')}{inner}", f"hint_{hint}"), None, keep))
         flush()
         # whether an element's text is mostly links goes with its tag
@@ -348,4 +354,4 @@ def extract(pages: DataFrame, *, html: str = "html", keep: list[str] | None = No
         return {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64()), "n_blocks": pa.array([len(x) for x in found], pa.int32())}
 
     keep = list(pages.columns) if keep is None else keep
-    return append_map(pages.withColumn(html, F.col(html).cast("string")), keep, rows, "text string, n_chars bigint, n_blocks int")
+    return append_map(pages.withColumn(html, F.col(f"`{html}`").cast("string")), keep, rows, "text string, n_chars bigint, n_blocks int")
