@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def test_language(spark, docs, no_docs):
 
 
 def test_kneser_ney_sums_to_one():
-    import numpy as np
-
     s, of, _ = langid.symbols(["abracadabra abba", "cab bad"])
     keys, counts = np.unique(langid.trigrams(s, of)[0], return_counts=True)
     letters = np.unique(keys & np.uint64((1 << 21) - 1))
@@ -76,11 +75,24 @@ def test_toxicity(spark, no_docs):
 
 def test_grammar():
     run = toxicity.grammar().run
-    assert run("TOI") == "--t" and run("OI") == "-I" and run("NOI") == "--n" and run("NOOOI") == "----I"
-    assert run("TRI") == "--r" and run("QIQI") == "-r-I" and run("MOHT") == "---X" and run("MNHT") == "----" and run("HT") == "--"
+    assert run("TOI") == "--t" and run("OI") == "--" and run("IOI") == "--I" and run("IBOI") == "---I" and run("NOI") == "--n" and run("NOOOII") == "-----I"
+    assert run("TBI") == "---" and run("TIBI") == "-t-I" and run("NBII") == "---I"
+    assert run("TRI") == "--r" and run("QIQII") == "-r--I" and run("MOHT") == "---X" and run("MNHT") == "----" and run("HT") == "--"
     g = toxicity.Grammar({"clod": 4.0}, {"blor": 5.0})
     assert g.features("he is not a clod. You clod!")[:3] == [0.0, 4.0, 4.0]
-    assert g.features("Blorping, blor. “clod” I will kill you")[0] == 10.0 and g.features("I will kill you")[4] == 3.0
+    assert g.features("Blorping, blor. “clod” I will kill you")[0] == 5.0 and g.features("I will kill you")[4] == 3.0
+    assert g.scores(np.array([g.features("clod"), g.features("what a clod. He left"), g.features("you clod")])).round(1).tolist()[:2] == [0.0, 0.0]
+    assert g.scores(np.array([g.features("you clod"), g.features("a clod and a clod")])).min() > 0.5
+
+
+def test_labels_of_one_id(spark):
+    """Of several labels the greatest holds, whatever the rows' order; null ids, other labels and labels of no document are left out."""
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (None, "e"), (4, "f")], "doc_id long, text string")
+    labels = [(1, 0), (1, 1), (2, 0), (2, 0), (3, None), (3, 7), (None, 1), (9, 1), (4, 0)]
+    for rows in (labels, labels[::-1]):
+        got = toxicity.labelled(docs, spark.createDataFrame(rows, "doc_id long, toxic int")).collect()
+        assert sorted((r.doc_id, r.text, r.toxic) for r in got) == [(1, "a", 1), (2, "b", 0), (2, "c", 0), (4, "f", 0)]
+    assert toxicity.labelled(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
 def test_html():

@@ -259,18 +259,22 @@ def append_map(df: DataFrame, keep: list[str], rows: Callable[[pa.RecordBatch],
     return arrow_map(sent, one, schema).toDF(*kept, *new)
 
 
-def least_keys(rows: DataFrame, by: str, most: int) -> dict:
+def least_keys(rows: DataFrame, by: str, most: int | dict, most_values: int = 1_000) -> dict:
     """Of each value of ``by`` in rows (by, key), the ``most``-th least key, or the greatest if there are fewer.
 
     Keys are 64-bit hashes; those that can't be among the least are left out by their share before any ranking, so
-    that a value of any size sends a bounded number of rows to its task. The values of ``by`` are few.
+    that a value of any size sends a bounded number of rows to its task. More than most_values values are refused.
     """
     from pyspark.sql import Window
 
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().limit(most_values + 1).collect()}
+    if len(counts) > most_values:
+        raise ValueError(f"more than {most_values} values of {by}")
     if not counts:
         return {}
-    bound = {k: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * most + 1000) / n))) for k, n in counts.items()}
-    likely = rows.where(F.col("key") <= F.create_map(*[F.lit(x) for kv in bound.items() for x in kv])[F.col(by)])
-    ranked = likely.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("key"))).where(F.col("at") <= most)
+    limit = {k: most if isinstance(most, int) else most[k] for k in counts}
+    bound = {k: min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * limit[k] + 1000) / n))) for k, n in counts.items()}
+    literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col(by)]
+    likely = rows.where(F.col("key") <= literal(bound))
+    ranked = likely.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy("key"))).where(F.col("at") <= literal(limit))
     return {r[by]: r["most"] for r in ranked.groupBy(by).agg(F.max("key").alias("most")).collect()}

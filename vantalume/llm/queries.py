@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, langid, lmscore, mixing, neardup, secret_scan, toxicity, vecdup, warc
-from ._common import least_keys, remainder
+from ._common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,23 +21,9 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    held_out = remainder("doc_id", 5) == 0
-    model = toxicity.train(_labelled(docs.where(~held_out), labels))
-    return toxicity.toxicity(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
-
-
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The bounded sample's labelled texts: ids are drawn from the labels before any text moves."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    drawn = None
-    for y, most in ((1, toxicity.MOST_TOXIC), (0, toxicity.MOST_CLEAN)):
-        part = labels.where((F.col("toxic") == y) & (remainder("doc_id", 5) != 0))
-        edge = least_keys(part.select(F.col("toxic").alias("y"), key.alias("key")), "y", most).get(y)
-        part = part.where(key <= F.lit(edge).cast("bigint"))
-        drawn = part if drawn is None else drawn.union(part)
-    # at most MOST_TOXIC + MOST_CLEAN ids
-    return docs.join(F.broadcast(drawn), "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
+    model = toxicity.train(toxicity.labelled(docs, labels))
+    return toxicity.toxicity(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model, keep=["doc_id", "held_out"])
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

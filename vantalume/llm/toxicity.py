@@ -4,12 +4,13 @@ Words become classes (insult, threat verb, modal, target, negation, report, quot
 sequence between punctuation marks. Five transducers are composed into one machine that rewrites a clause's
 class string: negation marks insults in its scope, reported speech those said by others, target those aimed at
 someone, threat a modal with a threat verb and a target, and insult turns the marked symbols into scored kinds. A document is
-scored by its matched clauses, never by isolated word counts: each kind's summed weights enter a logistic model.
+scored by its matched clauses: each kind's summed weights enter a logistic model. An insult aimed at no one scores only where the
+document has insulted before, so a lone word never does.
 
 Insult words and stems (a word's first 4 to 7 letters) with their weights, and the kinds' coefficients, are
 learned from labelled rows, at most ``most_toxic`` and ``most_clean`` of them, least by a hash of the id. A term
-must be frequent in toxic texts, nearly absent from clean ones, and stand in varied contexts, so that copies of one text
-don't make their words insults. A short fixed word list serves where no label speaks.
+must be in many toxic texts, nearly absent from clean ones, and stand in varied contexts, so that copies of one text
+don't make their words insults; no number of terms is capped. A short fixed word list serves where no label speaks.
 
 Defined cases: null and empty texts get the score of a text without matches; without labelled rows of both classes fixed
 coefficients are used; equal ids are drawn together; input columns other than the named ones are ignored.
@@ -21,15 +22,16 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import append_map, arrow_map, least_keys, record
+from ._common import append_map, arrow_map, least_keys, record, settle
 
-MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4000, 8000, 4000
+MOST_TOXIC, MOST_CLEAN = 4000, 8000
 STEMS = range(4, 8)
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:,\n]|[\"“”„«»]")
 BREAKS = frozenset(".!?;:,\n")
@@ -77,14 +79,16 @@ class Composed:
 
 
 def grammar() -> Composed:
-    """Input letters: I insult, H threat verb, M modal, T target, N negation, R report, Q quote mark, O other.
-    Output kinds: I plain, t targeted, n negated, r reported, X threat; anything else counts nothing."""
+    """Input letters: I insult, H threat verb, M modal, T target, N negation, R report, Q quote mark, O other, B the clause's end.
+    Output kinds: I plain after an earlier insult, t targeted, n negated, r reported, X threat; anything else counts nothing."""
     scope = 3
     negation = Transducer({(s, "N"): (scope, "O") for s in range(scope + 1)} | {(s, "I"): (s - 1, "n") for s in range(1, scope + 1)} | {(s, "H"): (s - 1, "O") for s in range(1, scope + 1)}, {s: s - 1 for s in range(1, scope + 1)})
     reported = Transducer({(0, "R"): (1, "O"), (0, "Q"): (2, "O"), (2, "Q"): (0, "O"), (1, "Q"): (2, "O"), (1, "I"): (1, "r"), (2, "I"): (2, "r"), (1, "n"): (1, "r"), (2, "n"): (2, "r"), (1, "H"): (1, "O"), (2, "H"): (2, "O"), (1, "R"): (1, "O"), (2, "R"): (2, "O")})
     threat = Transducer({(0, "M"): (1, "O"), (1, "M"): (1, "O"), (2, "M"): (1, "O"), (1, "H"): (2, "O"), (0, "H"): (0, "O"), (2, "H"): (2, "O"), (2, "T"): (0, "X")})
     target = Transducer({(0, "T"): (1, "O"), (1, "T"): (1, "O"), (1, "I"): (1, "t"), (1, "X"): (1, "X")})
-    insult = Transducer({(0, x): (0, x) for x in "ItnrX"} | {(0, x): (0, "-") for x in "OTMHNRQ"})
+    for t in (negation, reported, threat, target):
+        t.arcs |= {(state, "B"): (0, "B") for state in range(scope + 1)}
+    insult = Transducer({(s, x): (s, x) for s in (0, 1) for x in "nrX"} | {(s, x): (s, "-") for s in (0, 1) for x in "OTMHNRQB"} | {(0, "I"): (1, "-"), (1, "I"): (1, "I"), (0, "t"): (1, "t"), (1, "t"): (1, "t")})
     return Composed(negation, reported, threat, target, insult)
 
 
@@ -123,6 +127,7 @@ class Grammar:
                 hits[t] = w
         live = [i for i, t in enumerate(tokens) if t in hits or t in THREATS] if hits or not THREATS.isdisjoint(tokens) else []
         end = -1
+        words, letters = [], []
         for i in live:
             if i < end:
                 continue
@@ -133,10 +138,11 @@ class Grammar:
             while end < len(tokens) and tokens[end] not in BREAKS:
                 end += 1
             clause = tokens[begin:end]
-            letters = ["I" if t in hits else "Q" if t in QUOTES else self.fixed.get(t, "O") for t in clause]
-            for t, kind in zip(clause, self.machine.run(letters), strict=True):
-                if kind != "-":
-                    total[KINDS.index(kind)] += hits.get(t, 3.0)
+            words += [*clause, ""]
+            letters += ["I" if t in hits else "Q" if t in QUOTES else self.fixed.get(t, "O") for t in clause] + ["B"]
+        for t, kind in zip(words, self.machine.run(letters), strict=True):
+            if kind != "-":
+                total[KINDS.index(kind)] += hits.get(t, 3.0)
         return total
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -169,14 +175,29 @@ def _terms(text: str | None) -> tuple[set[str], set[str]]:
     return words, {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
+def labelled(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
+    """docs with the labels of a bounded sample, written out: ids are drawn from the labels before any text moves.
+
+    Of several labels of one id the greatest holds: a text that anyone marked is toxic. Labels other than 0 and 1 are left out.
+    """
+    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    one = labels.where(F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias(label))
+    one = settle(one.select(doc_id, label, key.alias("__key")), "labels")
+    edges = least_keys(one.select(F.col(label).cast("int").alias("y"), F.col("__key").alias("key")), "y", {1: most_toxic, 0: most_clean})
+    drawn = reduce(lambda a, b: a | b, (((F.col(label) == y) & (F.col("__key") <= edge)) for y, edge in edges.items()), F.lit(False))
+    # at most most_toxic + most_clean ids
+    return settle(docs.drop(label).join(F.broadcast(one.where(drawn).select(doc_id, label)), doc_id), "labelled")
+
+
 def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Grammar:
     """A grammar learned from rows, which have a text and a label 0 or 1 (others are left out)."""
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("text"), key.alias("key"))
-    edges = {y: least_keys(rows.where(F.col("y") == y).select("y", "key"), "y", most).get(y) for y, most in ((1, most_toxic), (0, most_clean))}
-    if None in edges.values():
+    edges = least_keys(rows.select("y", "key"), "y", {1: most_toxic, 0: most_clean})
+    if len(edges) < 2:
         return Grammar(dict.fromkeys(INSULTS, 3.0), {})
     rows = rows.where(((F.col("y") == 1) & (F.col("key") <= edges[1])) | ((F.col("y") == 0) & (F.col("key") <= edges[0]))).select("y", "text")
+    rows = settle(rows, "labelled")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -194,7 +215,7 @@ def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label:
     kinds = df.where("term != '' and tox >= 3").count()
     least = max(3, math.ceil(0.004 * n1), math.ceil(math.log(0.5 / max(1, kinds)) / math.log(n1 / (n1 + n0))))
     odds = F.log((F.col("tox") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    picked = df.where((F.col("term") != "") & (F.col("tox") >= least)).withColumn("odds", odds).where("odds >= 3.5").orderBy(F.desc("tox"), "term").limit(MOST_TERMS).collect()
+    picked = df.where((F.col("term") != "") & (F.col("tox") >= least)).withColumn("odds", odds).where("odds >= 3.5").collect()
     odds_of = {r["term"]: r["odds"] for r in picked}
     tox_of = {r["term"]: r["tox"] for r in picked}
 
