@@ -34,6 +34,24 @@ def test_language(spark, docs, no_docs):
     assert langid.identify(junk, models).first().rejected
 
 
+def test_rejection_is_calibrated(spark):
+    """On rows that nothing was fitted on: own texts stay, texts of a language that wasn't learned go, and a sole language has its slack."""
+    r = random.Random(6)
+    sounds = {"a": "ka ti mo ru se no".split(), "b": "str ing old esh wen arr".split(), "c": "zzi qua xyo vvu jhe kwy".split()}
+    text = lambda x: " ".join("".join(r.choices(sounds[x], k=r.randint(1, 3))) for _ in range(r.choice([30, 80, 200])))
+    rows = [(i, text("ab"[i % 2]), "ab"[i % 2]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.train(df)
+    fresh = spark.createDataFrame([(x, text(x)) for x in "abc" for _ in range(150)], "truth string, text string")
+    got = Counter((x.truth, x.rejected) for x in langid.identify(fresh, models).collect())
+    assert got["a", True] + got["b", True] <= 2 and got["c", True] >= 148
+    alone = langid.train(df.where("lang = 'a'"))
+    got = Counter((x.truth, x.rejected) for x in langid.identify(fresh, alone).collect())
+    assert got["a", True] == 0 and got["c", True] == 150
+    with pytest.raises(ValueError, match="values of lang"):
+        langid.train(spark.range(1200).selectExpr("id AS doc_id", "'a' AS text", "cast(id AS string) AS lang"))
+
+
 def test_kneser_ney_sums_to_one():
     s, of, _ = langid.symbols(["abracadabra abba", "cab bad"])
     keys, counts = np.unique(langid.trigrams(s, of)[0], return_counts=True)

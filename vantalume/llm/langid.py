@@ -3,14 +3,17 @@
 Letters are lower-cased and anything else is one space; a trigram is three 21-bit code points in a 64-bit key. Of all
 languages' models one pair of arrays is kept: sorted keys, and for each key every language's log probability (already
 interpolated, so that a language that lacks the n-gram has its backed-off value). Only n-grams that no language has are
-backed off while scoring. The language with the lowest mean cross-entropy wins. A text is rejected if it has no letter,
-or if its cross-entropy lies further above its language's training texts than ``slack`` allows.
+backed off while scoring. The language with the lowest mean cross-entropy wins.
 
-The models are fitted on at most ``sample`` training documents a language, the least by a hash of the id
-(equal ids come or stay together); their texts count whole.
+At most ``sample`` training documents a language are drawn, the least by a hash of the id (equal ids come or stay together);
+their texts count whole. Four fifths fit the models; the rest calibrates rejection. Its texts are cut into pieces of 8, 16, ... trigrams;
+for each length, a piece's own cross-entropies are held against those that pieces of other languages get where their own model is
+left out. A text is rejected if it has no letter, or if its cross-entropy lies above the middle between what 999 in 1,000 own
+pieces of about its length stay below and the median of the foreign ones; or, without foreign pieces, ``slack`` above the own ones.
+Where the median lies lower, as with very short texts, the own pieces' edge holds. Languages of fewer than 50 drawn rows are calibrated on all of them.
 
 Defined cases: null or letterless texts are ``und`` with score 0; without any training text all are ``und``; ties go
-to the first language by code point; repeated rows are scored alike.
+to the first language by code point; repeated rows are scored alike; more than 1,000 languages are refused.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, append_map, arrow_map, least_keys, record
+from ._common import U64, append_map, arrow_map, least_keys, record, settle
 
 SAMPLE = 1500
 SLACK = 1.5
 CHUNK_CHARS = 1 << 20
+#: Lengths at which rejection is calibrated are 2 to these powers.
+LEAST_POWER, MOST_POWER = 3, 12
+FEW = 50
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
 
@@ -124,7 +130,8 @@ class Models:
             self.contexts.append(context)
             self.backs.append(np.stack(logs, 1).astype(np.float32) if own else np.empty((0, 0), np.float32))
         self.floor = np.float32(np.log(1.0 / vocabulary))
-        self.limit = np.full(len(self.langs), np.inf)
+        #: The greatest cross-entropy that isn't rejected, by language and the length's power of two.
+        self.limit = np.full((len(self.langs), MOST_POWER + 1), np.inf)
 
     def of(self, grams: np.ndarray, order: int = 3) -> np.ndarray:
         if not order:
@@ -146,12 +153,34 @@ class Models:
         out = np.zeros((len(texts), len(self.langs)))
         if not self.langs:
             return out, n, letters
-        for i in range(0, len(grams), CHUNK_CHARS):
-            logs, t = self.of(grams[i : i + CHUNK_CHARS]), of[i : i + CHUNK_CHARS]
+        step = max(1 << 12, (1 << 24) // len(self.langs))
+        for i in range(0, len(grams), step):
+            logs, t = self.of(grams[i : i + step]), of[i : i + step]
             for k in range(len(self.langs)):
                 out[:, k] -= np.bincount(t, logs[:, k], minlength=len(texts))
         return out / np.maximum(n, 1)[:, None], n, letters
 
+    def pieces(self, text: str | None) -> list[tuple[int, np.ndarray]]:
+        """For each power of two, the mean cross-entropies (pieces x languages) of a text's pieces of so many trigrams."""
+        grams, _ = trigrams(*symbols([text])[:2])
+        least, sums = 1 << LEAST_POWER, []
+        step = max(least, (1 << 24) // max(1, len(self.langs)) // least * least)
+        for i in range(0, len(grams) // least * least, step):
+            logs = self.of(grams[i : min(i + step, len(grams) // least * least)])
+            sums.append(-logs.reshape(-1, least, len(self.langs)).sum(1, dtype=np.float64))
+        out, x = [], np.concatenate(sums) if sums else np.empty((0, len(self.langs)))
+        for power in range(LEAST_POWER, MOST_POWER + 1):
+            if not len(x):
+                break
+            out.append((power, x / (1 << power)))
+            x = x[: len(x) // 2 * 2].reshape(-1, 2, len(self.langs)).sum(1)
+        return out
+
+    def over(self, best: np.ndarray, cross: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which texts lie above their language's limit, given their languages, cross-entropies and trigrams."""
+        power = np.minimum(np.floor(np.log2(np.maximum(n, 1))).astype(int), MOST_POWER)
+        return cross > self.limit[best, power]
+
 
 def _runs(texts: list[str | None], most: int = CHUNK_CHARS):
     i = 0
@@ -175,7 +204,11 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         chosen = chosen.where(F.col("lang").isNotNull() & (F.col("key") <= limits[F.col("lang")]))
     else:
         chosen = chosen.limit(0)
-    chosen = chosen.select("lang", "text")
+    chosen = settle(chosen.select("lang", "text", F.col("key")), "chosen")
+    few = [r["lang"] for r in chosen.groupBy("lang").count().where(F.col("count") < FEW).collect()]
+    scarce = F.col("lang").isin(few) if few else F.lit(False)
+    held = F.pmod(F.xxhash64("key", F.lit("held")), F.lit(5)) == 0
+    fitting, held_back = (chosen.where(c).select("lang", "text") for c in (scarce | ~held, scarce | held))
 
     def count(b: pa.RecordBatch):
         langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
@@ -186,7 +219,7 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                 k, c = np.unique(grams[langs[i:j][of] == x] if len(of) else grams, return_counts=True)
                 yield record(lang=pa.array([x] * len(k), pa.string()), gram=k.view(np.int64), n=c.astype(np.int64))
 
-    counted = arrow_map(chosen, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = arrow_map(fitting, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(counted.column("lang").to_pylist(), object)
     grams, ns = counted.column("gram").to_numpy().astype(np.int64).view(U64), counted.column("n").to_numpy()
     counts = {}
@@ -196,22 +229,38 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         counts[x] = grams[order], ns[order]
     models = Models(counts)
     if counts:
-        shared = docs.sparkSession.sparkContext.broadcast(models)
-
-        def entropies(b: pa.RecordBatch):
-            texts = b.column(1).to_pylist()
-            at = {x: i for i, x in enumerate(shared.value.langs)}
-            own = np.array([at.get(x, 0) for x in b.column(0).to_pylist()], int)
-            for i, j in _runs(texts):
-                h, n, _ = shared.value.score(texts[i:j])
-                ok = n >= 20
-                yield record(lang=b.column(0).slice(i, j - i).filter(pa.array(ok)), h=h[np.arange(j - i), own[i:j]][ok])
-
-        for r in arrow_map(chosen, entropies, "lang string, h double").groupBy("lang").agg(F.expr("percentile_approx(h, 0.99)").alias("h")).collect():
-            models.limit[models.langs.index(r["lang"])] = r["h"] + slack
+        _calibrate(models, held_back, slack)
     return models
 
 
+def _calibrate(models: Models, held_back: DataFrame, slack: float) -> None:
+    """Sets the limits from rows (lang, text) that the models weren't fitted on."""
+    shared = held_back.sparkSession.sparkContext.broadcast(models)
+
+    def entropies(b: pa.RecordBatch):
+        m = shared.value
+        at = {x: i for i, x in enumerate(m.langs)}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if lang not in at:
+                continue
+            for power, h in m.pieces(text):
+                yield record(by=np.full(len(h), at[lang], np.int32), power=np.full(len(h), power, np.int32), own=np.ones(len(h), bool), h=h[:, at[lang]].copy())
+                if len(m.langs) > 1:
+                    h[:, at[lang]] = np.inf
+                    yield record(by=h.argmin(1).astype(np.int32), power=np.full(len(h), power, np.int32), own=np.zeros(len(h), bool), h=h.min(1))
+
+    found = arrow_map(held_back, entropies, "by int, power int, own boolean, h double").groupBy("by", "power").agg(
+        F.expr("percentile_approx(h, 0.999, 100000) FILTER (WHERE own)").alias("own"), F.expr("percentile_approx(h, 0.5, 100000) FILTER (WHERE NOT own)").alias("foreign")
+    )
+    for r in found.collect():
+        if r["own"] is not None:
+            models.limit[r["by"], r["power"]] = r["own"] + (slack if r["foreign"] is None else max(0.0, r["foreign"] - r["own"]) / 2)
+    # a length without pieces has the limit of the next lesser one
+    for power in range(LEAST_POWER + 1, MOST_POWER + 1):
+        gone = np.isinf(models.limit[:, power])
+        models.limit[gone, power] = models.limit[gone, power - 1]
+
+
 def identify(docs: DataFrame, models: Models, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs with lang_pred, score (0 to 1), cross_entropy and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -232,8 +281,7 @@ def identify(docs: DataFrame, models: Models, *, text: str = "text", keep: list[
             pred += [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), some.tolist(), strict=True)]
             score += np.where(some, p, 0.0).tolist()
             cross += np.where(some, low, 0.0).tolist()
-            # short texts scatter more
-            over = low > (m.limit[best] + 20.0 / np.maximum(n, 1) if m.langs else np.inf)
+            over = m.over(best, low, n) if m.langs else np.ones(j - i, bool)
             rejected += (~some | over).tolist()
         return {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "cross_entropy": pa.array(cross, pa.float64()), "rejected": pa.array(rejected, pa.bool_())}
 
