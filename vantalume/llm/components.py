@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import salted_join, settle
+from ._common import salted_join, scratch, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,10 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     gathers on the driver but the count of changes. The edges of a hub, and the members of a giant component, are dealt over
     many tasks. Loops and null ends are dropped; no edges give no rows.
     """
+    with scratch(edges.sparkSession):
+        return _spread(edges)
+
+
+def _spread(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").where("a <> b")
     e = settle(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = settle(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    while True:
+    changed = e.limit(1).count()
+    while changed:
         near = salted_join(e, label.withColumnRenamed("node", "b"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         hooked = label.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         hooked = settle(hooked, "labels")
@@ -27,5 +33,4 @@ def components(edges: DataFrame) -> DataFrame:
         following = settle(salted_join(hooked, jump, "root", "node").select("node", "was", F.col("further").alias("root")), "labels")
         changed = following.where("root <> was").limit(1).count()
         label = following.select("node", "root")
-        if not changed:
-            return label
+    return settle(label, "components", lasting=True)

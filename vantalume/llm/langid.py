@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, append_map, arrow_map, least_keys, record, settle
+from ._common import U64, append_map, arrow_map, least_keys, record, scratch, settle
 
 SAMPLE = 1500
 SLACK = 1.5
@@ -195,6 +195,11 @@ def _runs(texts: list[str | None], most: int = CHUNK_CHARS):
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, slack: float = SLACK) -> Models:
     """Models of the languages in the column lang of docs, which has training rows only."""
+    with scratch(docs.sparkSession):
+        return _train(docs, doc_id, text, lang, sample, slack)
+
+
+def _train(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int, slack: float) -> Models:
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     pairs = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), key.alias("key"))
     bound = least_keys(pairs, "lang", sample)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mix64, partitions, record, salted_join, settle, window_hash
+from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mix64, partitions, record, salted_join, scratch, settle, window_hash
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -319,12 +319,13 @@ class Sketches:
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, floor: float) -> DataFrame:
     """Per row: doc, k1 and k2 (hashes of id and text), n, component (the least id reachable) and group (its number; null for an empty set)."""
-    s = Sketches(docs, doc_id, text, shingle, similarity, floor)
-    classes = s.classes.select("h1", "h2", "doc", "copies", "rid").join(s.labels().withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("root", "rid"))
-    classes = settle(classes.drop("rid"), "grouped")
+    with scratch(docs.sparkSession):
+        s = Sketches(docs, doc_id, text, shingle, similarity, floor)
+        classes = s.classes.select("h1", "h2", "doc", "copies", "rid").join(s.labels().withColumnRenamed("node", "rid"), "rid", "left").withColumn("group", F.coalesce("root", "rid"))
+        classes = settle(classes.drop("rid"), "classes", lasting=True)
+        rows = settle(s.rows.select("doc", "k1", "k2", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2"), "rows", lasting=True)
     least = classes.where("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     grouped = salted_join(classes, least, "root", "doc", "left").select("h1", "h2", F.coalesce("least", "doc").alias("component"), "group")
-    rows = s.rows.select("doc", "k1", "k2", "n", F.when(F.col("n") > 0, F.col("h1")).alias("h1"), "h2")
     return salted_join(rows, grouped, ["h1", "h2"], "doc", "left").select("doc", "k1", "k2", "n", "group", F.coalesce("component", "doc").alias("component"))
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import append_map, arrow_map, least_keys, record, settle
+from ._common import append_map, arrow_map, least_keys, record, scratch, settle
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
 STEMS = range(4, 8)
@@ -191,6 +191,11 @@ def labelled(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", labe
 
 def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Grammar:
     """A grammar learned from rows, which have a text and a label 0 or 1 (others are left out)."""
+    with scratch(rows.sparkSession):
+        return _train(rows, doc_id, text, label, most_toxic, most_clean)
+
+
+def _train(rows: DataFrame, doc_id: str, text: str, label: str, most_toxic: int, most_clean: int) -> Grammar:
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("text"), key.alias("key"))
     edges = least_keys(rows.select("y", "key"), "y", {1: most_toxic, 0: most_clean})

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bounded_batches, partitions, record, salted_join, settle
+from ._common import arrow_map, bounded_batches, partitions, record, salted_join, scratch, settle
 from .components import components
 
 COSINE, RECALL = 0.98, 0.999
@@ -250,13 +250,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """Per row: vec_id, n_links (other vectors linked directly), component_id (least id reachable), kept."""
-    rows, classes = classes_of(vectors, vec_id, embedding, label)
-    found = _searched(classes, cosine, sample, recall)
-    root = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
-    counted = found.groupBy("cid").agg(F.sum("n").alias("n"))
-    joined = settle(classes.join(counted, "cid", "left").join(root.withColumnRenamed("node", "cid"), "cid", "left"), "joined")
+    with scratch(vectors.sparkSession):
+        rows, classes = classes_of(vectors, vec_id, embedding, label)
+        found = _searched(classes, cosine, sample, recall)
+        root = components(found.where("other is not null").select(F.col("cid").alias("a"), F.col("other").alias("b")))
+        counted = found.groupBy("cid").agg(F.sum("n").alias("n"))
+        joined = settle(classes.join(counted, "cid", "left").join(root.withColumnRenamed("node", "cid"), "cid", "left"), "joined", lasting=True)
+        rows = settle(rows.select("id", "label", "v"), "rows", lasting=True)
     least = joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     joined = salted_join(joined, least, "root", "cid", "left").where("copies > 1 or root is not null").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("least", "id").alias("component"))
-    out = salted_join(rows.select("id", "label", "v"), joined, ["label", "v"], "id", "left")
+    out = salted_join(rows, joined, ["label", "v"], "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
