@@ -77,10 +77,13 @@ def hot_keys(many: DataFrame, *key: str, least: int = 1000) -> DataFrame | None:
     return spark.createDataFrame(found, ", ".join([*(f"`{k}` {many.schema[k].dataType.simpleString()}" for k in key), "__salts int"])) if found else None
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
-    """many, which is settled, joined with few, which has one row a key; many's hot keys are dealt by column ``by``, and few's rows repeated for them."""
+def salted_join(many: DataFrame, few: DataFrame, key: str | list[str], by: str, how: str = "inner", hot: DataFrame | str | None = "count") -> DataFrame:
+    """many joined with few, which has one row a key; many's hot keys are dealt by column ``by``, and few's rows repeated for them.
+
+    many is settled, as its keys are counted first, unless its hot_keys() are given.
+    """
     keys = [key] if isinstance(key, str) else key
-    hot = hot_keys(many, *keys)
+    hot = hot_keys(many, *keys) if isinstance(hot, str) else hot
     if hot is None:
         return many.join(few, keys, how)
     dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
@@ -88,6 +91,23 @@ def salted_join(many: DataFrame, few: DataFrame, key: str | list[str], by: str,
     return dealt.join(each, [*keys, "__salt"], how).drop("__salt")
 
 
+#: Bits of a mask() at most: its table has a row for 64 of them.
+MASK_BITS = 1 << 24
+
+
+def mask(keys: DataFrame, key: str) -> DataFrame:
+    """(__at, __word): a bit table of bounded size, whatever the number of keys, that tells most keys that aren't there."""
+    bit = F.pmod(F.xxhash64(key), F.lit(MASK_BITS))
+    return keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("__at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("__word"))
+
+
+def masked(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """df with __maybe: whether the row's key may be among those of a mask()."""
+    at = F.pmod(F.xxhash64(key), F.lit(MASK_BITS))
+    joined = df.withColumn("__at", F.shiftright(at, 6)).join(F.broadcast(table), "__at", "left")
+    return joined.withColumn("__maybe", F.getbit(F.coalesce("__word", F.lit(0).cast("bigint")), (at % 64).cast("int")) == 1).drop("__at", "__word")
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, also where names hold dots."""
     return df[f"`{name}`"]

@@ -1,17 +1,18 @@
 """WARC archives of captures, with a globally ordered index made by an external merge.
 
 1. Payloads are digested on the JVM. Of equal payloads of at least ``least`` bytes the one with the least page id is the
-   response (minima are combined before the shuffle; the table of repeated digests is spread over salts,
-   so a digest that a third of all rows share doesn't meet in one task).
+   response (minima are combined before the shuffle). Revisits need no payload, so rows without it meet the table of repeated digests,
+   a hot digest being dealt over tasks. Payloads move only where they are repeated and their row may be the response, which a bit table
+   of bounded size tells; all others are written where they are read.
 2. Each task writes its records, one gzip member each, to files of bounded size in the shared folder, and returns their
    index entries as a run sorted by URL key, timestamp and page. A file's name is unique to the attempt and only files in the
    returned index are ever read, so lost and repeated tasks do no harm.
-3. The runs are cut at common key ranges, and each range's slices of the k runs are merged by a loser tree.
+3. The runs are cut at common key ranges. A range's slices arrive as the runs left them, and a loser tree merges them; nothing sorts again.
 4. Records are read back at their offsets, file by file.
 
 Defined cases: a null payload is empty; a null URL is written as ``urn:none``, with control characters and spaces percent-encoded;
-null ids are never the least while others exist; rows that repeat the least id are all responses; no rows give no files;
-input columns other than the named ones are ignored.
+null ids are never the least while others exist, come back as null and differ from the empty id; rows that repeat the least id are all
+responses; no rows give no files; input columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, partitions, settle, shared_dir
+from ..sources.paths import opened, qualified
+from ._common import bounded_batches, hot_keys, mask, masked, partitions, salted_join, settle, shared_dir
 
 LEAST_BYTES = 100
 FILE_BYTES, FILE_RECORDS = 64 << 20, 50_000
-SALTS = 16
 RANGE_ROWS = 100_000
 EPOCH = 1_700_000_000
 INDEX = "urlkey string, ts bigint, page string, file string, at bigint, size int"
@@ -85,11 +86,13 @@ def _header(url: str | None) -> str:
     return quote(url, safe="".join(chr(c) for c in range(33, 127))) if url else "urn:none"
 
 
-def encode(page: str, url: str | None, date: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def encode(page: str | None, url: str | None, date: str, payload: bytes | None, length: int, digest: str, refers_to: str | None) -> bytes:
     """One record as a gzip member; a revisit has no payload but its length and digest."""
-    ident = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{p}')}>"
-    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {ident(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_header(url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page: {quote(page)}"]
+    ident = lambda p: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'null' if p is None else f'page:{p}')}>"
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (payload if refers_to is None else b"")
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {ident(page)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_header(url)}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}"]
+    if page is not None:
+        lines.append(f"X-Page: {quote(page)}")
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {ident(refers_to)}", f"X-Refers-To-Page: {quote(refers_to)}"]
     head = "\r\n".join([*lines, f"Content-Length: {len(body)}"]) + "\r\n\r\n"
@@ -113,29 +116,37 @@ def decode(raw: bytes) -> dict:
     digest = hashlib.sha256(payload).hexdigest() if response else fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if response and (digest != fields["WARC-Payload-Digest"].removeprefix("sha256:") or len(payload) != length):
         raise ValueError("a payload differs from its digest")
-    refers = fields.get("X-Refers-To-Page")
-    return {"page": unquote(fields["X-Page"]), "url": fields["WARC-Target-URI"], "payload": payload if response else None, "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": None if refers is None else unquote(refers)}
-
-
-def _open(folder: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    page, refers = fields.get("X-Page"), fields.get("X-Refers-To-Page")
+    return {"page": None if page is None else unquote(page), "url": fields["WARC-Target-URI"], "payload": payload if response else None, "payload_bytes": length, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": None if refers is None else unquote(refers)}
 
 
 def classify(pages: DataFrame, page_id: str, url: str, payload: str, captured: Column | None, least: int) -> DataFrame:
-    """(page, url, ts, payload, digest, refers): digests, and the response that each repeated payload revisits."""
-    raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b"")) if dict(pages.dtypes)[payload] == "binary" else F.coalesce(F.encode(F.col(payload).cast("string"), "UTF-8"), F.lit(b""))
-    ts = F.coalesce(captured.cast("bigint"), F.lit(EPOCH).cast("bigint")) if captured is not None else F.lit(EPOCH) + F.pmod(F.xxhash64(page_id), F.lit(86_400 * 365))
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), ts.cast("bigint").alias("ts"), raw.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    repeated = pages.select(F.col(page_id).alias("id"), raw.alias("payload")).where(F.octet_length("payload") >= least).select("id", F.sha2("payload", 256).alias("digest"))
-    repeated = repeated.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    salted = settle(repeated.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "repeated")
-    first = rows.select("*", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    keyed = first.join(salted, ["digest", "salt"], "left") if salted.limit(1).count() else first.withColumn("first", F.lit(None).cast(dict(pages.dtypes)[page_id]))
-    refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return keyed.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("page"), "url", "ts", "payload", "digest", refers.cast("string").alias("refers"))
+    """(page, url, ts, payload, length, digest, refers): digests, and the response that each repeated payload revisits, then without it."""
+    kind = dict(pages.dtypes)
+    name = lambda c: F.col(f"`{c}`")
+    raw = F.coalesce(name(payload).cast("binary"), F.lit(b"")) if kind[payload] == "binary" else F.coalesce(F.encode(name(payload).cast("string"), "UTF-8"), F.lit(b""))
+    ts = F.coalesce(captured.cast("bigint"), F.lit(EPOCH).cast("bigint")) if captured is not None else F.lit(EPOCH) + F.pmod(F.xxhash64(name(page_id)), F.lit(86_400 * 365))
+    rows = pages.select(name(page_id).alias("id"), name(url).cast("string").alias("url"), ts.cast("bigint").alias("ts"), raw.alias("payload"))
+    rows = rows.withColumns({"length": F.octet_length("payload").cast("bigint"), "digest": F.sha2("payload", 256)})
+    narrow = settle(rows.drop("payload"), "digests")
+    repeated = narrow.where(F.col("length") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = settle(repeated.select("digest", "first"), "repeated")
+    out = [F.col(c) for c in ("id", "url", "ts", "payload", "length", "digest")]
+    nobody, response = F.lit(None).cast(kind[page_id]).alias("refers"), F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first"))
+    if repeated.isEmpty():
+        written = rows.select(*out, nobody)
+    else:
+        known = settle(mask(repeated, "digest"), "mask")
+        some = settle(masked(narrow, "digest", known).where("__maybe").drop("__maybe"), "candidates")
+        hot = hot_keys(some, "digest")
+        told = settle(salted_join(some, repeated, "digest", "id", "left", hot).withColumn("payload", F.lit(None).cast("binary")), "told")
+        row_key = F.xxhash64("digest", "id").alias("row_key")
+        moving = settle(mask(told.where(response).select(row_key), "row_key"), "mask")
+        rows = masked(rows, "digest", known)
+        moved = masked(rows.where("__maybe").drop("__maybe").withColumn("row_key", row_key), "row_key", moving).where("__maybe")
+        moved = salted_join(moved, repeated, "digest", "id", "left", hot).where(response)
+        written = rows.where(~F.col("__maybe")).select(*out, nobody).union(moved.select(*out, nobody)).union(told.where(~response).select(*out, F.col("first")))
+    return written.select(F.col("id").cast("string").alias("page"), "url", "ts", "payload", "length", "digest", F.col("refers").cast("string").alias("refers"))
 
 
 def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, file_records: int = FILE_RECORDS) -> DataFrame:
@@ -145,7 +156,7 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, file_re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from datetime import datetime, timezone
 
-        fs, base = _open(folder)
+        fs, base = opened(folder)
         out, name, at, entries = None, "", 0, []
 
         def close() -> pa.RecordBatch:
@@ -154,13 +165,13 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, file_re
             return pa.RecordBatch.from_pylist([dict(zip(("urlkey", "ts", "page", "file", "at", "size"), e, strict=True)) for e in entries], pa.schema([("urlkey", pa.string()), ("ts", pa.int64()), ("page", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int32())]))
 
         for b in batches:
-            for page, url, ts, payload, digest, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, url, ts, payload, length, digest, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, at, entries = fs.open_output_stream(f"{base}/{name}", compression=None), 0, []
-                member = encode(page, url, datetime.fromtimestamp(ts, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), payload, digest, refers)
+                member = encode(page, url, datetime.fromtimestamp(ts, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), payload, length, digest, refers)
                 out.write(member)
-                entries.append((url_key(url), ts, page, name, at, len(member)))
+                entries.append((url_key(url), ts, page or "", name, at, len(member)))
                 at += len(member)
                 if at >= file_bytes or len(entries) >= file_records:
                     yield close()
@@ -168,7 +179,8 @@ def write(records: DataFrame, folder: str, file_bytes: int = FILE_BYTES, file_re
         if out is not None:
             yield close()
 
-    fs, base = _open(folder)
+    folder = qualified(spark, folder)
+    fs, base = opened(folder)
     fs.create_dir(base, recursive=True)
     bounded_batches(spark)
     return settle(records.mapInArrow(run, INDEX), "runs")
@@ -179,17 +191,20 @@ def merge(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     n = max(1, -(-index.count() // range_rows))
     n = max(n, min(partitions(index.sparkSession), 64))
     order = ["urlkey", "ts", "page", "file", "at"]
-    ranged = index.repartitionByRange(n, *order).sortWithinPartitions("file", *order[:3], "at").select(*order, "size")
+    ranged = index.select(*order, "size").repartitionByRange(n, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        runs: list[list[tuple]] = []
         names = None
         for b in batches:
             names = b.schema.names
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs.setdefault(row[3], []).append(row)
+                # a run's slice arrives in its order; wherever the order breaks, another run begins
+                if not runs or row < runs[-1][-1]:
+                    runs.append([])
+                runs[-1].append(row)
         held: list[tuple] = []
-        for row in LoserTree([iter(r) for r in runs.values()]):
+        for row in LoserTree([iter(r) for r in runs]):
             held.append(row)
             if len(held) == 10_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema)
@@ -208,7 +223,7 @@ def read(history: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(folder)
+        fs, base = opened(folder)
         source, name = None, None
         for b in batches:
             held, size = [], 0
@@ -228,6 +243,7 @@ def read(history: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
             source.close()
 
     spark = history.sparkSession
+    folder = qualified(spark, folder)
     # a file's records may be read by several tasks: offsets are dealt by ranges of 4 MB
     entries = history.select("file", "at", "size").withColumn("part", F.floor(F.col("at") / (4 << 20)))
     entries = entries.repartition(partitions(spark), "file", "part").sortWithinPartitions("file", "at").select("file", "at", "size")
@@ -247,5 +263,5 @@ def round_trip(pages: DataFrame, *, page_id: str = "page_id", **options) -> Data
     """Archive pages and read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     history, folder = archive(pages, page_id=page_id, **options)
     kind = dict(pages.dtypes)[page_id]
-    back = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    back = lambda c: F.col(c).cast(kind)
     return read(history, folder).select(back("page").alias(page_id), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"))
