@@ -205,6 +205,10 @@ def test_mixing(docs, no_docs):
     again = mixing.Mix(docs.repartition(7), shards=5, blocks=8).counted()
     assert sorted(map(str, got)) == sorted(map(str, again.collect()))
     rows = m.rows()
+    whole = {(r.doc_id, r.source, len(spaced(r.text))): r.text for r in docs.collect()}
+    texts = {t for t in whole.values() if t}
+    for r in rows.collect():
+        assert not r.partial and r.text in texts or r.partial and any(t.startswith(r.text) and len(t) > len(r.text) for t in texts)
     words = {r.source: r.w for r in rows.select("source", mixing.words_of(F.col("text")).alias("w")).groupBy("source").agg(F.sum("w").alias("w")).collect()}
     assert words == {k: v for k, v in taken.items() if v}
     quota = [r.q for r in m.quotas.groupBy("shard").agg(F.sum("quota").alias("q")).collect()]
@@ -306,6 +310,26 @@ def test_reach_is_the_gap_between_spans(spark):
     assert len(got[0].split(",")) == 3
 
 
+def test_redacted(spark):
+    """Against a loop, with more spans than a chunk, nested, overlapping and touching ones, and characters beyond the basic plane."""
+    r = np.random.default_rng(8)
+    rows = []
+    for n in (0, 1, 5, 255, 256, 257, 700):
+        text = "".join(r.choice(list("abé😀 ")) for _ in range(4 * n + 3))
+        starts = np.sort(r.integers(0, len(text), n))
+        rows.append((text, [(int(s), int(min(len(text), s + r.integers(1, 9))), 0) for s in starts]))
+    rows.append(("x" * 2000, [(5, 1500, 0)] + [(i, i + 1, 0) for i in range(6, 900)] + [(1500, 1600, 0)]))
+    df = spark.createDataFrame(rows, f"text string, spans {secret_scan.SPAN}")
+    got = {x.text: x.out for x in df.select("text", secret_scan.redacted(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for text, spans in rows:
+        out, at = "", 0
+        for s, e, _ in spans:
+            if s >= at:
+                out += text[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert got[text] == out + text[at:]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((400, 16))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import partitions, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -33,6 +33,8 @@ BLOCKS, SHARDS, SEED = 1024, 16, 20240601
 ROW_SOURCES = 1_000
 #: Rows of a block table that may be sent to all executors.
 MOST_SENT = 100_000
+#: Words of the mixture for each task that shuffles it: some 64 MB.
+TASK_WORDS = 10_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -119,7 +121,7 @@ class Mix:
     """How a table's documents are taken: sources with targets, and blocks with their passes and shards."""
 
     def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED, max_sources: int | None = None, row_sources: int = ROW_SOURCES) -> None:
-        self.docs, self.doc_id, self.text, self.source, self.blocks, self.seed = docs, doc_id, text, source, blocks, seed
+        self.docs, self.doc_id, self.text, self.source, self.blocks, self.shards, self.seed = docs, doc_id, text, source, blocks, shards, seed
         self.sized = settle(self.keyed(docs).select(F.col(f"`{doc_id}`").alias("id"), "__k", "__size", "__h"), "sizes")
         block = self.sized.groupBy(F.col("__k").alias("k"), self.b1().alias("b1")).agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("docs"))
         block = settle(block, "blocks")
@@ -180,13 +182,19 @@ class Mix:
         return rows.select(F.col("id").alias(self.doc_id), F.col("__size").alias("size"), "source_size", "target", (F.col("passes") * F.col("__size") + F.col("__part")).cast("bigint").alias("taken"), shards.alias("shards"))
 
     def rows(self) -> DataFrame:
-        """The mixture: docs' columns with shard, pass and position, one row for each time a document is taken, shuffled in its shard."""
-        names = [c for c in self.docs.columns if c.lower() not in ("shard", "pass", "position")]
+        """The mixture: docs' columns with shard, pass, position and partial (only the text's first words are taken), one row for each
+        time a document is taken, shuffled in its shard."""
+        names = [c for c in self.docs.columns if c.lower() not in ("shard", "pass", "position", "partial")]
         rows = self.taken(self.keyed(self.docs)).withColumn("__d", F.explode("__draws"))
         words = F.when(F.col("__d.pass") < F.col("passes"), F.col("__size")).otherwise(F.col("__part"))
-        cut = F.array_join(F.slice(F.split(F.regexp_replace(F.col(f"`{self.text}`").cast("string"), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, words.cast("int")), " ")
-        text = F.when(words < F.col("__size"), cut).otherwise(F.col(f"`{self.text}`"))
+        # the first words with the white space before each, as they stand
+        cut = F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{self.text}`").cast("string"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words.cast("int")), "")
+        partial = words < F.col("__size")
+        text = F.when(partial, cut).otherwise(F.col(f"`{self.text}`"))
         position = F.xxhash64(F.lit(self.seed), F.lit("row"), "__h", "__d.pass")
-        out = rows.where(words > 0).select(*(text.alias(c) if c == self.text else F.col(f"`{c}`") for c in names), F.col("__d.shard").alias("shard"), F.col("__d.pass").alias("pass"), position.alias("position"))
-        # a shard may be far larger than a task: it is shuffled in slices of its position
-        return out.repartition("shard", F.pmod("position", F.lit(64))).sortWithinPartitions("shard", "position")
+        out = rows.where(words > 0).select(*(text.alias(c) if c == self.text else F.col(f"`{c}`") for c in names), F.col("__d.shard").alias("shard"), F.col("__d.pass").alias("pass"), position.alias("position"), partial.alias("partial"))
+        # a shard may be far larger than a task: it is shuffled in slices of its position, as many as the words taken ask for
+        taken = self.sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+        tasks = max(partitions(out.sparkSession), -(-int(taken) // TASK_WORDS))
+        slices = max(1, -(-4 * tasks // self.shards))
+        return out.repartition(tasks, "shard", F.pmod("position", F.lit(slices))).sortWithinPartitions("shard", "position")

@@ -111,19 +111,32 @@ def _link(marked: DataFrame, reach: int) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping spans replaced by a mark."""
-    state = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(a: Column, s: Column) -> Column:
-        top = F.element_at(a, -1)
-        grown = F.array_append(F.slice(a, 1, F.size(a) - 1), F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end")))
-        return F.when((F.size(a) > 0) & (s["start"] < F.try_element_at(a, F.lit(-1))["end"]), grown).otherwise(F.array_append(a, F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-
-    merged = F.aggregate(spans, state, step)
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    starts = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text)))
-    pieces = F.zip_with(ends, starts, lambda e, s: F.substring(text, e + 1, s - e))
-    return F.when(F.size(spans) > 0, F.array_join(pieces, mark)).otherwise(text)
+    """The text with each run of overlapping spans, which are sorted by start, replaced by a mark.
+
+    Spans go by chunks, each over the stretch of text that it covers, so that the work follows the text's length even with many spans.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / CHUNK).cast("int")), lambda c: F.slice(spans, c * CHUNK + 1, CHUNK))
+    furthest = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+    # where the spans before each chunk end
+    before = F.aggregate(furthest, F.array(F.lit(0)), lambda a, e: F.array_append(a, F.greatest(F.element_at(a, -1), e)))
+
+    def piece(chunk: Column, at: Column, to: Column) -> Column:
+        own = F.transform(F.array(F.substring(text, at + 1, to - at)), lambda t: inner(chunk, at, t))
+        return own[0]
+
+    def inner(chunk: Column, at: Column, stretch: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            shown = F.when(s["start"] >= a["at"], F.concat(F.substring(stretch, a["at"] - at + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
+            return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.array_append(a["out"], shown).alias("out"))
+
+        return F.array_join(F.aggregate(chunk, start, step)["out"], "")
+
+    bounds = F.zip_with(F.slice(before, 1, F.size(chunks)), F.slice(before, 2, F.size(chunks)), lambda a, b: F.struct(a.alias("at"), b.alias("to")))
+    pieces = F.zip_with(chunks, bounds, lambda c, b: piece(c, b["at"], b["to"]))
+    tail = F.substring(text, F.element_at(before, -1) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
