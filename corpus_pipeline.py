@@ -2,7 +2,7 @@
 
 The order, and each stage's decision: documents whose language is rejected go; one document of each group of near duplicates
 stays; documents contaminated by the benchmark go; secrets are replaced by a mark; the rest is mixed to target weights.
-All stages but the last return the columns of documents; the last adds shard, pass and position.
+All stages but the last return the columns of documents; the last adds shard, pass, position and partial.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantalume.llm import decontaminate, langid, mixing, neardup, secret_scan
-from vantalume.llm._common import shared_dir
+from vantalume.llm._common import scratch, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,7 +46,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their target weights, dealt to shards and shuffled there."""
-    return mixing.Mix(docs.select(*COLUMNS)).rows()
+    rows = mixing.Mix(docs.select(*COLUMNS)).rows()
+    return rows.withColumn("n_chars", F.when(F.col("partial"), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -67,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # a stage's own tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
