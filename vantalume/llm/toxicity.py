@@ -33,6 +33,8 @@ from ._common import append_map, arrow_map, least_keys, record, scratch, settle
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
 STEMS = range(4, 8)
+#: Characters of text whose terms a task of the training counts at once.
+PIECE_CHARS = 1 << 18
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:,\n]|[\"“”„«»]")
 BREAKS = frozenset(".!?;:,\n")
 QUOTES = frozenset('"“”„«»')
@@ -170,6 +172,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
     return theta
 
 
+def _pieces(b: pa.RecordBatch, most: int = PIECE_CHARS) -> Iterator[tuple[list, list]]:
+    """The labels and texts of a batch (y, text), in runs of so many characters: their words' counts are held at once."""
+    ys, texts, size = [], [], 0
+    for y, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        t = t.as_py() or ""
+        ys.append(y)
+        texts.append(t)
+        size += len(t)
+        if size >= most:
+            yield ys, texts
+            ys, texts, size = [], [], 0
+    yield ys, texts
+
+
 def _terms(text: str | None) -> tuple[set[str], set[str]]:
     words = {t for t in TOKEN.findall((text or "").lower()) if t[0].isalpha()}
     return words, {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n}
@@ -204,15 +220,16 @@ def _train(rows: DataFrame, doc_id: str, text: str, label: str, most_toxic: int,
     rows = rows.where(((F.col("y") == 1) & (F.col("key") <= edges[1])) | ((F.col("y") == 0) & (F.col("key") <= edges[0]))).select("y", "text")
     rows = settle(rows, "labelled")
 
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        n = [0, 0]
-        for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for group in _terms(t):
-                found[y].update(group)
-            n[y] += 1
-        terms = list(found[0].keys() | found[1].keys())
-        return record(term=pa.array([*terms, ""], pa.string()), tox=pa.array([*(found[1][t] for t in terms), n[1]], pa.int64()), clean=pa.array([*(found[0][t] for t in terms), n[0]], pa.int64()))
+    def count(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for ys, texts in _pieces(b):
+            found: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            n = [0, 0]
+            for y, t in zip(ys, texts, strict=True):
+                for group in _terms(t):
+                    found[y].update(group)
+                n[y] += 1
+            terms = list(found[0].keys() | found[1].keys())
+            yield record(term=pa.array([*terms, ""], pa.string()), tox=pa.array([*(found[1][t] for t in terms), n[1]], pa.int64()), clean=pa.array([*(found[0][t] for t in terms), n[0]], pa.int64()))
 
     df = arrow_map(rows, count, "term string, tox bigint, clean bigint").groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
     n1, n0 = (lambda r: (r["tox"], r["clean"]))(df.where("term = ''").first())
@@ -225,17 +242,18 @@ def _train(rows: DataFrame, doc_id: str, text: str, label: str, most_toxic: int,
     tox_of = {r["term"]: r["tox"] for r in picked}
 
     def contexts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        term, context, doc = [], [], []
-        for d, t in enumerate(b.column(1).to_pylist()):
-            tokens = ["", *TOKEN.findall((t or "").lower()), ""]
-            for i in range(1, len(tokens) - 1):
-                w = tokens[i]
-                for x in (w, *(f"^{w[:n]}" for n in STEMS if len(w) > n)):
-                    if x in odds_of:
-                        term.append(x)
-                        context.append(f"{tokens[i - 1]} {tokens[i + 1]}" if x[0] != "^" else w)
-                        doc.append(f"{tokens[i - 1]} {tokens[i + 1]}")
-        yield record(term=pa.array(term, pa.string()), own=pa.array(context, pa.string()), context=pa.array(doc, pa.string()))
+        for _, texts in _pieces(b):
+            term, context, doc = [], [], []
+            for t in texts:
+                tokens = ["", *TOKEN.findall(t.lower()), ""]
+                for i in range(1, len(tokens) - 1):
+                    w = tokens[i]
+                    for x in (w, *(f"^{w[:n]}" for n in STEMS if len(w) > n)):
+                        if x in odds_of:
+                            term.append(x)
+                            context.append(f"{tokens[i - 1]} {tokens[i + 1]}" if x[0] != "^" else w)
+                            doc.append(f"{tokens[i - 1]} {tokens[i + 1]}")
+            yield record(term=pa.array(term, pa.string()), own=pa.array(context, pa.string()), context=pa.array(doc, pa.string()))
 
     varied = arrow_map(rows.where("y = 1"), contexts, "term string, own string, context string").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("context").alias("contexts"), F.countDistinct("own").alias("forms")).collect()
     words, stems = {}, {}
