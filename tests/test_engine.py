@@ -75,10 +75,36 @@ def test_store(spark, tmp_path):
     assert sorted((r.id, r.timestamp) for r in s.open("x").collect()) == [("a", 1.0), ("b", 2.0), ("c", 2.0)]
     s.vacuum("x")
     assert s.count("x") == 3
+    s.overwrite("x", spark.createDataFrame([row("z", 3)], store.COLLECTION))
+    s.upsert("x", spark.createDataFrame([], store.COLLECTION))
+    assert [r.id for r in s.open("x").collect()] == ["z"]
+    for i in range(store.MOST_FOLDERS + 2):  # many appends to one bucket are compacted
+        s.append("x", spark.createDataFrame([row("z", i)], store.COLLECTION))
+    assert s.count("x") == store.MOST_FOLDERS + 3 and max(map(len, s._manifest("x").values())) <= store.MOST_FOLDERS
     with pytest.raises(Exception, match="expected vectors"):
         store.check_dim(s.open("x"), 2).collect()
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "db"), buckets=8)
+    rows = lambda ids, t: spark.createDataFrame([(i, "x", [1.0], "", t) for i in ids], store.COLLECTION)
+    s.append("x", rows([f"i{k}" for k in range(200)], 1.0))
+    before = s._manifest("x")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    s.upsert("x", rows(["i3", "new"], 2.0).mapInPandas(counted, store.COLLECTION))
+    after = s._manifest("x")
+    assert seen.value == 2 and len(before) == 8
+    assert 1 <= sum(after[b] != before[b] for b in before) <= 2
+    got = {r.id: r.timestamp for r in s.open("x").collect()}
+    assert len(got) == s.count("x") == 201 and got["i3"] == got["new"] == 2.0 and got["i4"] == 1.0
+
+
 def test_insert_update_and_ids(spark, tmp_path, fixed, png_paths):
     ix = index.Indexer(spark, fixed, str(tmp_path / "db"))
     job = ix.insert(png_paths, "c", timestamps=[1, 2, 3], job_id="j1")
@@ -93,6 +119,13 @@ def test_insert_update_and_ids(spark, tmp_path, fixed, png_paths):
     assert a == {r.id for r in index.records(spark, png_paths, "c").collect()} != {r.id for r in index.records(spark, png_paths, "d").collect()}
     same = [{r.id for r in index.records(spark, blobs(2), c).collect()} for c in "cd"]
     assert same[0] == same[1]
+    with pytest.raises(Exception, match="given id is null"):
+        index.records(spark, blobs(2), "c", ids=["a", None])
+    with pytest.raises(Exception, match="given id is null"):
+        index.records(spark, spark.createDataFrame([(0, b"x", "a"), (1, b"y", None)], "pos long, content binary, id string"), "c").collect()
+    with pytest.raises(Exception, match="No such file|Failed to open"):
+        ix.insert([str(png_paths[0]) + ".gone"], "c", job_id="gone")
+    assert jobs.get_status("gone")["state"] == "failed"
     assert ix.insert([], "empty").state == "done" and ix.store.exists("empty")
 
 
@@ -124,11 +157,41 @@ def test_jobs(spark):
     [t.start() for t in threads], [t.join() for t in threads]
     assert job.processed == 10_000 and "processed=10000/10000" in repr(job)
     job.finish()
+    with pytest.raises(AttributeError):
+        job.string  # noqa: B018
     assert list(job.as_dict()) == ["job_id", "collection_id", "state", "total", "processed", "started_at", "finished_at", "error"]
     assert job.as_row(spark).first().state == "done" and job in jobs.JobRegistry.list_all()
     assert jobs.JobRegistry.start("c", 1, job.job_id) is jobs.JobRegistry.get(job.job_id)
 
 
+def test_jobs_outlive_their_process(spark, tmp_path, fixed):
+    """Statuses are folded from the store's event files, which another process may read; of one id the job started last counts."""
+    told = []
+    ix = index.Indexer(spark, fixed, str(tmp_path / "db"), progress=lambda job: told.append(job.processed))
+    ix.insert(blobs(5), "c", job_id="a", commit_every=2)
+    assert told == [2, 4, 5]
+    with pytest.raises(Exception, match="no power"):
+        index.Indexer(spark, Broken(embedding_dim=4), str(tmp_path / "db")).insert(blobs(2), "f", job_id="b")
+    ix.jobs.start("d", 9, "c").advance(4)
+    ix.update(blobs(1), "c", job_id="again")
+    ix.update(blobs(2), "c", job_id="again")
+    fresh = jobs.Jobs(store.Store(spark, str(tmp_path / "db")))
+    got = {r.job_id: r for r in fresh.table().collect()}
+    assert {k: (r.state, r.total, r.processed) for k, r in got.items()} == {"a": ("done", 5, 5), "b": ("failed", 2, 0), "c": ("running", 9, 4), "again": ("done", 2, 2)}
+    assert "no power" in got["b"].error and got["c"].finished_at is None and got["a"].started_at <= got["a"].finished_at
+    assert fresh.list_all() == [] and {j.job_id for j in ix.jobs.list_all()} == {"a", "c", "again"} and jobs.get_status("a")["state"] == "done"
+    assert jobs.Jobs(store.Store(spark, str(tmp_path / "none"))).table().count() == 0
+    with pytest.raises(ValueError):
+        jobs.JobRegistry.table()
+
+
+def test_search_reads_the_collection_once(spark, tmp_path, fixed, png_paths):
+    s = store.Store(spark, str(tmp_path / "db"))
+    s.append("c", spark.createDataFrame([(str(i), "c", [1.0, 0.0, 0.0, 0.0], p, 0.0) for i, p in enumerate(png_paths)], store.COLLECTION))
+    out = search.Search(fixed, models.RegionDetector(), s).invoke(query="q", collection_id="c")
+    assert "parquet" not in out.results._jdf.queryExecution().optimizedPlan().toString().lower() and out.results.count() == 3
+
+
 def test_knn_and_cascade(spark, tmp_path, fixed, png_paths):
     ix = index.Indexer(spark, fixed, str(tmp_path / "db"))
     rows = [(f"id-{i}", "coll", [float(x) for x in np.eye(4)[i]], p, 0.0) for i, p in enumerate(png_paths)]
@@ -202,13 +265,46 @@ def test_models():
         models.GridMasks().invoke({"image": 1})
     with pytest.raises(KeyError):
         models.RegionDetector().invoke({"image": np.zeros((2, 2, 3))})
-    assert models.to_mask(np.array([[0, 127, 128, 255]], np.uint8)).tolist() == [[False, False, True, True]]
+    # images by grey level, arrays by their truth
+    grey = {"height": 1, "width": 4, "nChannels": 1, "data": bytes([0, 127, 128, 255])}
+    assert models.to_mask(grey).tolist() == [[False, False, True, True]]
+    assert models.to_mask(np.array([[0, 127, 128, 255]], np.uint8)).tolist() == models.to_mask([[0, 0.5, 2, -1]]).tolist() == [[False, True, True, True]]
+    image = np.zeros((8, 8, 3), np.uint8)
+    image[:4] = 200
+    found = lambda **kw: models.RegionDetector(labels=True, **kw).invoke({"image": image, "text": "red cup"})
+    assert found(box_threshold=0.9)["scores"] == [] and found()["labels"] == ["red cup"] and found(text_threshold=1.0)["labels"] == [""]
+    count = lambda **kw: len(models.GridMasks(points_per_side=2, **kw).invoke(image)["masks"])
+    assert count() == 4 and count(pred_iou_thresh=0.5) == 0 and count(stability_score_thresh=1.0) == 0
     m = np.zeros((5, 6), bool)
     m[1:3, 0:4] = True
     out = models.finish_masks([m, m], [1, 2], [[0, 0, 1, 1]])
     assert out["boxes"] == [[0.0, 0.0, 1.0, 1.0], [0.0, 1.0, 3.0, 2.0]] and models.mask_box(m & False) == [0.0] * 4
 
 
+class Counted(models.HashEncoder):
+    made = 0
+
+    def __init__(self, **settings):
+        super().__init__(**settings)
+        Counted.made += 1
+
+
+def test_model_is_made_once_in_a_process(spark, tmp_path):
+    import pickle
+
+    lazy = models.Loaded(Counted, embedding_dim=4, batch_size=2)
+    assert lazy.embedding_dim == 4 and Counted.made == 0 and len(pickle.dumps(lazy)) < 300
+    for _ in range(3):
+        assert pickle.loads(pickle.dumps(lazy)).embed_images(blobs(2)).shape == (2, 4)
+    assert Counted.made == 1
+    ix = index.Indexer(spark, models.Loaded(models.HashEncoder, embedding_dim=4, batch_size=2), str(tmp_path / "db"))
+    ix.insert(blobs(5), "c")
+    assert ix.store.count("c") == 5
+    path = tmp_path / "c.yaml"
+    path.write_text("models:\n  encoder: {embedding_dim: 6}\n")
+    assert models.Loaded.from_config(models.HashEncoder, path).embed_text("x").shape == (6,)
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("models:\n  encoder: {embedding_dim: 4}\nindexing: {db_path: x}\npreprocess: {margin: '0.2', top_n: '3'}\n")
@@ -281,9 +377,33 @@ def test_frames(spark, tmp_path):
     df = spark.range(10)
     assert [r.id for r in frames.systematic_sample(df, ["id"]).collect()] == [0, 2, 4, 6]
     assert frames.head(df, None).count() == 10 and frames.head(df, 3).count() == 3
+    batched = frames.batch_ids(spark.range(5), ["id"], 2)
+    assert sorted(map(tuple, frames.progress(batched).collect())) == [(0, 2, 0), (1, 2, 2), (2, 1, 4)]
+    assert frames.batch_ids(spark.range(0), ["id"], 2).count() == 0
     assert [r["count"] for r in frames.batch_ids(spark.range(5), ["id"], 2).groupBy("batch").count().orderBy("batch").collect()] == [2, 2, 1]
 
 
+def test_positions_of_wide_rows(spark):
+    """Each position comes once, whatever adaptive execution makes of the plan; nulls, equal prefixes and skewed values included."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        n = 400_000
+        order = F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)))
+        df = spark.range(n).select(order.alias("o"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 8).alias("wide"))
+        got = frames.numbered(df, ["o", "id"]).select("rn", "o", "id", F.length("wide").alias("w"))
+        s = got.agg(F.count("rn").alias("n"), F.countDistinct("rn").alias("d"), F.min("rn").alias("lo"), F.max("rn").alias("hi"), F.min("w").alias("w")).first()
+        assert tuple(s) == (n, n, 1, n, 512)
+        rows = got.orderBy("rn").select("o", "id").toPandas()
+        key = list(zip(rows["o"].fillna(-1), rows["id"], strict=True))
+        assert key == sorted(key)
+        assert frames.systematic_sample(df, ["o", "id"], 7).count() == 7
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_listing_and_streaming(spark, tmp_path, fixed, png_paths):
     from vantalume.streaming.ingest import ingest
 

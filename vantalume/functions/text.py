@@ -14,6 +14,11 @@ def path_id(collection: Column | str, path: Column) -> Column:
     return F.sha1(F.concat(c, F.lit(":"), path))
 
 
+def pre_collection(collection: Column | str) -> Column | str:
+    """The name of a collection of preprocessed crops, beside that of the whole images."""
+    return f"{collection}_pre" if isinstance(collection, str) else F.concat(collection, F.lit("_pre"))
+
+
 def content_id(content: Column) -> Column:
     """SHA-1 of the bytes, the same in every collection."""
     return F.sha1(content)

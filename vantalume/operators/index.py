@@ -13,18 +13,22 @@ from pyspark.sql import functions as F
 from ..functions.text import content_id, path_id
 from ..sources import store as st
 from ..sources.config import IndexSettings
-from ..sources.frames import read_bytes
-from .jobs import JobRegistry, JobStatus
+from ..sources.frames import with_contents
+from .jobs import Jobs, JobStatus
 from .models import ENCODERS, HashEncoder
 
 RECORD = "pos bigint, path string, content binary, ts double, given string"
 
 
 def records(spark: SparkSession, images: list | DataFrame, collection_id: str, ids: list[str] | None = None, timestamps: list[float] | None = None) -> DataFrame:
-    """(pos, id, path, ts, content): paths get collection-scoped ids, contents get content ids, given ids win for all.
+    """(pos, id, path, ts, content): given ids, if any, hold for all images; else paths get collection-scoped ids and contents get content ids.
 
-    A DataFrame of images has pos and path or content, and maybe id and ts. Ids that repeat within the call are refused.
+    A DataFrame of images has pos and path or content, and maybe id and ts. Ids that repeat within the call, and given ids that are null,
+    are refused.
     """
+    given_ids = "id" in images.columns if isinstance(images, DataFrame) else ids is not None
+    if ids is not None and not isinstance(images, DataFrame) and None in ids:
+        raise ValueError("a given id is null")
     if isinstance(images, DataFrame):
         have = images.columns
         df = images.select("pos", *(F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("path", "string"), ("content", "binary"), ("ts", "double"))), (F.col("id") if "id" in have else F.lit(None).cast("string")).alias("given"))
@@ -45,7 +49,8 @@ def records(spark: SparkSession, images: list | DataFrame, collection_id: str, i
             rows.append((i, path, content, float(timestamps[i]) if timestamps is not None else 0.0, ids[i] if ids is not None else None))
         df = spark.createDataFrame(rows, RECORD)
     own = F.when(F.col("content").isNotNull(), content_id(F.col("content"))).otherwise(path_id(collection_id, F.col("path")))
-    df = df.select("pos", F.coalesce("given", own).alias("id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("ts", F.lit(0.0)).alias("ts"), "content")
+    ident = F.coalesce("given", F.raise_error(F.lit("a given id is null"))) if given_ids else own
+    df = df.select("pos", ident.alias("id"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("ts", F.lit(0.0)).alias("ts"), "content")
     dupes = repeated_ids(df)
     shown = dupes.orderBy("pos").limit(4).collect()
     if shown:
@@ -61,10 +66,15 @@ def repeated_ids(df: DataFrame) -> DataFrame:
 
 
 class Indexer:
-    """Embeds images and writes them to a store's collections, one for each collection id."""
+    """Embeds images and writes them to a store's collections, one for each collection id.
 
-    def __init__(self, spark: SparkSession, encoder: HashEncoder, db_path: str, batch_size: int | None = None) -> None:
+    The encoder may be a models.Loaded one, which travels as its settings and is made once in each worker. progress, if given, is called
+    with the job's status after each commit.
+    """
+
+    def __init__(self, spark: SparkSession, encoder: HashEncoder, db_path: str, batch_size: int | None = None, progress: Callable[[JobStatus], None] | None = None) -> None:
         self.spark, self.encoder, self.store = spark, encoder, st.Store(spark, db_path)
+        self.jobs, self.progress = Jobs(self.store), progress
         self.batch_size = encoder.batch_size if batch_size is None else batch_size
 
     @classmethod
@@ -84,26 +94,17 @@ class Indexer:
 
         return st.check_dim(rows.select("id", "path", "ts", "content").mapInPandas(run, st.COLLECTION), encoder.embedding_dim)
 
-    def _contents(self, rows: DataFrame) -> DataFrame:
-        """Rows with the bytes behind their paths; a missing file fails the read."""
-        paths = [r["path"] for r in rows.where("content is null").select("path").distinct().collect()]
-        if not paths:
-            return rows
-        files = read_bytes(self.spark, paths).withColumnRenamed("content", "bytes")
-        return rows.join(files, "path", "left").withColumn("content", F.coalesce("content", "bytes")).drop("bytes")
-
     def _run(self, rows: DataFrame, collection_id: str, job_id: str | None, write: Callable[[str, DataFrame], None], commit_every: int | None) -> JobStatus:
         total = rows.count()
-        job = JobRegistry.start(collection_id, total, job_id)
+        job = self.jobs.start(collection_id, total, job_id)
+        step = commit_every or max(1, total)
         try:
-            if total and commit_every:
-                for start in range(0, total, commit_every):
-                    part = rows.where((F.col("pos") >= start) & (F.col("pos") < start + commit_every))
-                    write(collection_id, self.embedded(self._contents(part), collection_id))
-                    job.advance(min(commit_every, total - start))
-            elif total:
-                write(collection_id, self.embedded(self._contents(rows), collection_id))
-                job.advance(total)
+            for start in range(0, total, step):
+                part = rows.where((F.col("pos") >= start) & (F.col("pos") < start + step)) if commit_every else rows
+                write(collection_id, self.embedded(with_contents(part), collection_id))
+                job.advance(min(step, total - start))
+                if self.progress is not None:
+                    self.progress(job)
             job.finish()
         except Exception as e:
             job.fail(str(e))

@@ -35,3 +35,8 @@ def crops(chosen: DataFrame, margin: float = 0.1) -> DataFrame:
 def with_fallback(images: DataFrame, chosen: DataFrame, *, image: str = "image_id") -> DataFrame:
     """Every image: its crops, or one row marked is_fallback that stands for the whole image."""
     return images.select(image).join(chosen, image, "left").withColumn("is_fallback", F.col("j").isNull()).withColumn("j", F.coalesce("j", F.lit(0)))
+
+
+def of_quality(masks: DataFrame, pred_iou: str = "pred_iou", stability: str = "stability", pred_iou_thresh: float = 0.88, stability_score_thresh: float = 0.95) -> DataFrame:
+    """Masks whose predicted overlap and stability both lie above their thresholds."""
+    return masks.where((F.col(pred_iou) > pred_iou_thresh) & (F.col(stability) > stability_score_thresh))

@@ -28,6 +28,30 @@ class Model(ABC):
     def invoke(self, input: Any, config: dict | None = None, **kw: Any) -> dict: ...
 
 
+class Loaded:
+    """A model that is sent to workers as its class and settings, and made once in each process that asks for more than a setting."""
+
+    _made: dict[str, Model] = {}
+
+    def __init__(self, kind: type[Model], **settings: Any) -> None:
+        self.kind, self.settings = kind, settings
+        self.key = f"{kind.__module__}.{kind.__qualname__}({sorted(settings.items())!r})"
+
+    @classmethod
+    def from_config(cls, kind: type[Model], path: str) -> Loaded:
+        return cls(kind, **model_settings(path, kind.config_key))
+
+    def get(self) -> Model:
+        if self.key not in Loaded._made:
+            Loaded._made[self.key] = self.kind(**self.settings)
+        return Loaded._made[self.key]
+
+    def __getattr__(self, name: str) -> Any:
+        if name.startswith("__") or name in ("kind", "settings", "key"):
+            raise AttributeError(name)
+        return self.settings[name] if name in self.settings else getattr(self.get(), name)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -65,35 +89,47 @@ class HashEncoder(Model):
 
 
 class RegionDetector(Model):
-    """A promptable detector: the region brighter than its image's mean, scored by a hash of prompt and area; thresholds apply here."""
+    """A promptable detector: the region brighter than its image's mean, scored by a hash of prompt and area.
+
+    Only regions that score above box_threshold are found. A label is made of the prompt's words that score above text_threshold, each by
+    its own hash, and may so be empty.
+    """
 
     config_key = "detector"
 
-    def __init__(self, threshold: float = 0.0, masks: bool = True, labels: bool = False, **_: Any) -> None:
-        self.threshold, self.masks, self.labels = threshold, masks, labels
+    def __init__(self, threshold: float = 0.0, masks: bool = True, labels: bool = False, box_threshold: float | None = None, text_threshold: float = 0.0, **_: Any) -> None:
+        self.threshold = threshold if box_threshold is None else box_threshold
+        self.text_threshold, self.masks, self.labels = text_threshold, masks, labels
 
     def invoke(self, input: Any, config: dict | None = None, **kw: Any) -> dict:
         image, text = input["image"], input["text"]
+        share = lambda t: int(hashlib.sha1(t.encode()).hexdigest()[:4], 16) / 65536
         grey = np.asarray(image, float).mean(-1)
         mask = grey >= grey.mean()
         ys, xs = np.nonzero(mask)
-        score = float(mask.mean()) * (0.5 + int(hashlib.sha1(text.encode()).hexdigest()[:4], 16) / 131072)
+        score = float(mask.mean()) * (0.5 + share(text) / 2)
         keep = len(xs) > 0 and score > self.threshold
         out = {"scores": [score] if keep else [], "boxes": [[float(xs.min()), float(ys.min()), float(xs.max()), float(ys.max())]] if keep else []}
         if self.masks:
             out["masks"] = [mask] if keep else []
         if self.labels:
-            out["labels"] = [text] if keep else []
+            words = text.split()
+            out["labels"] = [" ".join(w for w in words if share(w) >= self.text_threshold)] if keep else []
         return out
 
 
 class GridMasks(Model):
-    """An automatic mask generator: the cells of a grid whose mean colour stands out; takes an image only."""
+    """An automatic mask generator: the cells of a grid whose mean colour stands out; takes an image only.
+
+    A mask's predicted quality is its contrast, and its stability the share of it that stays if the contrast is measured by ``offset`` more
+    strictly; only masks above both thresholds are kept.
+    """
 
     config_key = "masks"
 
-    def __init__(self, points_per_side: int = 4, min_contrast: float = 8.0, **_: Any) -> None:
+    def __init__(self, points_per_side: int = 4, min_contrast: float = 8.0, pred_iou_thresh: float = 0.0, stability_score_thresh: float = -1.0, offset: float = 4.0, **_: Any) -> None:
         self.points_per_side, self.min_contrast = points_per_side, min_contrast
+        self.pred_iou_thresh, self.stability_score_thresh, self.offset = pred_iou_thresh, stability_score_thresh, offset
 
     def invoke(self, input: Any, config: dict | None = None, **kw: Any) -> dict:
         if not isinstance(input, np.ndarray):
@@ -106,19 +142,25 @@ class GridMasks(Model):
                 x0, x1 = w * j // self.points_per_side, w * (j + 1) // self.points_per_side
                 cell = input[y0:y1, x0:x1]
                 if cell.size and (contrast := float(np.abs(cell.reshape(-1, cell.shape[-1]).mean(0) - mean).max())) >= self.min_contrast:
-                    m = np.zeros((h, w), bool)
-                    m[y0:y1, x0:x1] = True
-                    masks.append(m)
-                    scores.append(contrast / 255)
+                    off = np.abs(cell.reshape(-1, cell.shape[-1]) - mean).max(1)
+                    strict, loose = ((off >= self.min_contrast + d).sum() for d in (self.offset, -self.offset))
+                    if contrast / 255 > self.pred_iou_thresh and strict / max(1, loose) > self.stability_score_thresh:
+                        m = np.zeros((h, w), bool)
+                        m[y0:y1, x0:x1] = True
+                        masks.append(m)
+                        scores.append(contrast / 255)
         return finish_masks(masks, scores, [])
 
 
 def to_mask(seg: Any) -> np.ndarray:
-    """A boolean mask: grey levels count from 128 on, arrays by their truth."""
-    a = np.asarray(seg)
-    if a.dtype == np.uint8 and a.ndim == 2 and a.max(initial=0) > 1:
-        return a > 127
-    return a.astype(bool)
+    """A boolean mask: arrays count by their truth, images (rows of Spark's image source) by grey levels from 128 on."""
+    if not isinstance(seg, np.ndarray) and hasattr(seg, "nChannels"):
+        seg = {k: getattr(seg, k) for k in ("height", "width", "nChannels", "data")}
+    if isinstance(seg, dict):
+        a = np.frombuffer(seg["data"], np.uint8).reshape(seg["height"], seg["width"], seg["nChannels"]).astype(float)
+        # blue comes first
+        return (a[..., 0] if a.shape[2] == 1 else np.floor(a[..., 2] * 0.299 + a[..., 1] * 0.587 + a[..., 0] * 0.114 + 0.5)) > 127
+    return np.asarray(seg).astype(bool)
 
 
 def mask_box(mask: np.ndarray) -> list[float]:

@@ -24,6 +24,8 @@ from .models import DETECTORS, ENCODERS
 DETECTION = "detection_score double, boxes array<array<float>>, scores array<float>, masks array<struct<h:int,w:int,bits:binary>>, labels array<string>"
 #: Query vectors sent to every task of a batch search at once.
 QUERY_BLOCK = 1_000
+#: Retrieved rows that the driver holds at most.
+MOST_HELD = 10_000
 
 
 def knn(df: DataFrame, query: Sequence[float] | Column, k: int, metric: str = "l2", *, vector: str = "vector", ident: str = "id") -> DataFrame:
@@ -112,7 +114,10 @@ class Retrieve(Step):
         hits = knn(rows, state.query_embedding.tolist(), state.top_k_retrieve)
         # at most top_k_retrieve rows are ranked
         rank = F.row_number().over(Window.orderBy("distance", "id"))
-        return replace(state, retrieved=hits.select("id", "path", vec.similarity(F.col("distance")).alias("similarity_score"), rank.alias("retrieval_rank"), "timestamp"))
+        hits = hits.select("id", "path", vec.similarity(F.col("distance")).alias("similarity_score"), rank.alias("retrieval_rank"), "timestamp")
+        if state.top_k_retrieve <= MOST_HELD:  # later steps use the rows several times; the collection is searched once
+            hits = self.store.spark.createDataFrame(hits.collect(), hits.schema)
+        return replace(state, retrieved=hits)
 
 
 def max_score(scores: Column) -> Column:
@@ -140,6 +145,11 @@ def detect(hits: DataFrame, detector, text: str, image: str = "image") -> DataFr
     return hits.mapInPandas(run, schema)
 
 
+def thresholded(detections: DataFrame, score: str, label: str, label_score: str, box_threshold: float = 0.35, text_threshold: float = 0.25) -> DataFrame:
+    """Detections that score above box_threshold; labels that don't score above text_threshold are null."""
+    return detections.where(F.col(score) > box_threshold).withColumn(label, F.when(F.col(label_score) > text_threshold, F.col(label)))
+
+
 class Detect(Step):
     """Runs a detector on the image of every hit; images are read late, for these rows only."""
 

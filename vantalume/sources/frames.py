@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .paths import Resolver, opened
+
+#: Rows of a range, about, and of the sample that cuts ranges, for each of them.
+RANGE_ROWS, SAMPLE_ROWS = 1_000_000, 20
+#: Bytes of file contents that a batch holds, about.
+MOST_BYTES = 64 << 20
 
 
 def parse_frames(lines: DataFrame, folder: str, value: str = "value") -> DataFrame:
@@ -30,8 +41,28 @@ def read_images(spark: SparkSession, *paths: str, pattern: str = "*.png") -> Dat
     return df.select(plain_path(F.col("image.origin")).alias("path"), "image")
 
 
-def read_bytes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select(plain_path(F.col("path")).alias("path"), "content")
+def with_contents(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """df whose null contents are read from their paths, file by file in the tasks that hold the rows; a missing file fails the job."""
+    where = Resolver(df.sparkSession)
+    at, of = df.columns.index(content), df.columns.index(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size, first = [], 0, 0
+            for i, (name, raw) in enumerate(zip(b.column(of).to_pylist(), b.column(at), strict=True)):
+                if raw.is_valid:
+                    held.append(raw.as_py())
+                else:
+                    fs, found = opened(where(name))
+                    with fs.open_input_file(found) as source:
+                        held.append(source.read())
+                size += len(held[-1])
+                if size > MOST_BYTES or i == b.num_rows - 1:  # a batch's files needn't fit in memory together
+                    part = b.slice(first, i + 1 - first)
+                    yield part.set_column(at, b.schema.field(at), pa.array(held, b.schema.field(at).type))
+                    held, size, first = [], 0, i + 1
+
+    return df.mapInArrow(run, df.schema)
 
 
 def plain_path(c: Column) -> Column:
@@ -53,15 +84,34 @@ def systematic_sample(df: DataFrame, order: list[str], n: int = 4) -> DataFrame:
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with their 1-based position in a total order.
 
-    Rows are ranged by the order and numbered within ranges; the ranges' sizes (one row each) give the offsets, so no
-    task sees all rows.
+    A bounded sample of the order's values cuts it into ranges. A row's range depends on the row alone, so the ranges' sizes and the rows'
+    places in them agree however the plan is cut into tasks, run again or coalesced; the sample's luck decides only how even the
+    ranges are. No task sees all rows.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__p", F.shiftright("__m", 33))
-    local = ranged.withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", F.coalesce("__before", F.lit(0)).alias("__before"))
-    return local.join(offsets, "__p").withColumn("rn", F.col("__i") + F.col("__before") + 1).drop("__m", "__p", "__i", "__before")
+    spark, n = df.sparkSession, df.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    ranges = min(ranges, -(-n // 1000))  # few rows need few tasks
+    key = F.struct(*(F.col(f"`{c}`") for c in order))
+    kind = T.ArrayType(df.select(key.alias("k")).schema["k"].dataType)
+    cuts = []
+    if ranges > 1:
+        sampled = df.select(key.alias("k")).sample(min(1.0, SAMPLE_ROWS * ranges / n), 7)
+        place = F.percent_rank().over(Window.orderBy("k"))  # of the sample
+        cuts = sorted((r["at"], r["k"]) for r in sampled.withColumn("at", F.floor(place * ranges).cast("int")).groupBy("at").agg(F.min("k").alias("k")).where("at > 0").collect())
+    # one row, with an entry for each range
+    df = df.crossJoin(F.broadcast(spark.createDataFrame([([k for _, k in cuts],)], T.StructType([T.StructField("__bounds", kind)]))))
+    bounds = F.col("__bounds")
+    span = max(1, round(ranges**0.5))
+    # first among every span-th bound, then in that stretch
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size(bounds) / span).cast("int")), lambda i: F.get(bounds, i * span)), lambda b: b <= key))
+    start = F.greatest(F.lit(0), coarse - 1) * span
+    ranged = df.withColumn("__p", start + F.size(F.filter(F.slice(bounds, start + 1, span), lambda b: b <= key)))
+    ranged = ranged.drop("__bounds")
+    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' sizes
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*(F.col(f"`{c}`") for c in order)))
+    return ranged.withColumn("__i", place).join(F.broadcast(offsets), "__p").withColumn("rn", F.col("__i") + F.col("__before")).drop("__p", "__i", "__before")
 
 
 def head(df: DataFrame, most: int | None) -> DataFrame:
@@ -72,3 +122,8 @@ def head(df: DataFrame, most: int | None) -> DataFrame:
 def batch_ids(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Consecutive batches of a size, the last one short."""
     return numbered(df, order).withColumn("batch", F.floor((F.col("rn") - 1) / size))
+
+
+def progress(batched: DataFrame) -> DataFrame:
+    """(batch, n, processed) of batch_ids(): each batch's rows, and how many rows stand before it."""
+    return batched.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), (F.min("rn") - 1).alias("processed"))

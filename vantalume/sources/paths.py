@@ -14,10 +14,25 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:///", uri).rstrip("/")
 
 
+class Resolver:
+    """qualified() for workers, without the driver: where paths without a scheme lie is asked once."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+        self.root, self.here = fs.getUri().toString().rstrip("/"), fs.getWorkingDirectory().toUri().toString()
+
+    def __call__(self, path: str) -> str:
+        if not re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", path):
+            path = f"{self.root}{path}" if path.startswith("/") else f"{self.here.rstrip('/')}/{path}"
+        return re.sub("^file:/+", "file:///", path)
+
+
 def opened(uri: str):
     """(file system, path) of a qualified path, for a worker that writes or reads files itself."""
     from pyarrow import fs
 
+    if uri.startswith("file:"):  # any character may stand in a local name
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", uri)
     return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
