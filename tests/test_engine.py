@@ -352,6 +352,10 @@ def test_extractor(spark, tmp_path, png_paths):
         assert (out[:2, :2] == 200).all() and (out[2:] == level).all()
     noisy = images.ObjectExtractor(None, background="noise")
     assert (noisy.canvas(4, 4) == noisy.canvas(4, 4)).all()
+    dull = spark.createDataFrame([(f"/{c}.png", 0.0, (32, 48, 3, bytes(image[..., ::-1].tobytes()))) for c in "ab"], "path string, ts double, image struct<height:int,width:int,nChannels:int,data:binary>")
+    noisy = images.ObjectExtractor(models.GridMasks(min_contrast=60), background="noise", output_size=16)
+    first, second = noisy.crops(dull).orderBy("path").collect()
+    assert first.pixels != second.pixels and first.pixels == noisy.crops(dull).orderBy("path").first().pixels
     df = frames.read_images(spark, str(tmp_path)).withColumn("ts", F.lit(1.25))
     assert df.count() == 3
     crops = ex.crops(df)
@@ -368,6 +372,31 @@ def test_annotations(spark):
     image = np.zeros((6, 6, 3), np.uint8)
     assert (annotate.outlined(image, []) == image).all() and annotate.outlined(image, [[1, 1, 4, 4]])[1, 2].tolist() == list(text.PALETTE[0])
     assert annotate.blend(image, [np.ones((6, 6), bool)]).any()
+    big = np.full((60, 120, 3), 40, np.uint8)
+    mask = np.zeros((60, 120), bool)
+    mask[30:50, 10:60] = True
+    out = annotate.annotate(big, [[10, 30, 60, 50]], [0.625], "cup", [mask])
+    assert out[30, 10].tolist() == out[31, 20].tolist() == list(text.PALETTE[0]) and out[40, 30].tolist() not in ([40] * 3, list(text.PALETTE[0]))
+    white = (out == 255).all(2)
+    ys, xs = np.nonzero(white)
+    assert (xs.min(), ys.min()) == (13, 12) and white[12:22, 13:19].sum() == 4 * sum(bin(int(b)).count("1") for b in annotate.GLYPHS["C"])
+    assert annotate.written(0.625, "a very long label", 12) == "a very long  0.62" and (annotate.annotate(big, [], [], []) == big).all()
+    assert (annotate.annotate(big, [[500, 500, 600, 600]], [1], ["x"]) == big).all()
+
+
+def test_annotated_hits(spark, fixed, png_paths, tmp_path):
+    hits = frames.read_images(spark, str(tmp_path)).withColumn("id", F.col("path"))
+    detected = search.detect(hits, models.RegionDetector(labels=True), "cup").join(hits.select("id", "image"), "id")
+    got = annotate.annotated(detected).collect()
+    assert len(got) == 3 and all((r.annotated.height, r.annotated.width, len(r.annotated.pixels)) == (8, 8, 192) for r in got)
+    assert "image" not in got[0].asDict() and got[0].labels == ["cup"]
+
+
+def test_originals_of_crops(spark, png_paths, tmp_path):
+    hits = spark.createDataFrame([(f"{png_paths[0]}:0", 1.0), (f"{png_paths[0]}:1", 2.0), ("/gone.png:0", 3.0)], "id string, score double")
+    got = {r.id: r for r in images.with_originals(hits, frames.read_images(spark, str(tmp_path))).collect()}
+    assert len(got) == 3 and got[f"{png_paths[0]}:1"].original.pixels == got[f"{png_paths[0]}:0"].original.pixels == bytes([0, 0, 200] * 64)
+    assert tuple(got["/gone.png:0"].original) == (224, 224, bytes([80]) * (224 * 224 * 3), True) and got["/gone.png:0"].score == 3.0
 
 
 def test_frames(spark, tmp_path):

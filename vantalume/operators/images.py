@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 import warnings
 import zlib
 from collections.abc import Iterator
@@ -13,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import crop_filename, crop_id
+from ..functions.text import crop_filename, crop_id, source_path
 from ..sources.config import CropSettings
+from ..sources.paths import opened, qualified
 from .models import mask_box
 
 FILLS = {"gray": 128, "black": 0, "white": 255}
@@ -102,15 +104,15 @@ class ObjectExtractor:
         out[top : top + cut.shape[0], left : left + cut.shape[1]] = cut
         return lanczos(out, self.s.output_size)
 
-    def one(self, image: np.ndarray) -> tuple[list[np.ndarray], bool]:
-        """The crops of an image, and whether it had to stand for itself."""
+    def one(self, image: np.ndarray, key: int = 0) -> tuple[list[np.ndarray], bool]:
+        """The crops of an image, and whether it had to stand for itself; noise is drawn anew for each key and crop."""
         image = to_rgb(image)
         masks = self.generator.invoke(image)["masks"]
         chosen = [i for i in best_masks(masks, image.shape[1], image.shape[0], self.s.top_n) if np.any(masks[i])]
         if not chosen:
             warnings.warn("no masks: the whole image is used", stacklevel=2)
             return [lanczos(image, self.s.output_size)], True
-        return [self.crop(image, masks[i], 2 * i) for i in chosen], False
+        return [self.crop(image, masks[i], 2 * (key + i)) for i in chosen], False
 
     def extract(self, images: np.ndarray | list) -> list:
         """One image's crops, or a list of such lists."""
@@ -129,7 +131,7 @@ class ObjectExtractor:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for path, ts, image in zip(b["path"], b["ts"], b["image"], strict=True):
-                    made, whole = self.one(image)
+                    made, whole = self.one(image, zlib.crc32(path.encode()) << 32)
                     yield pd.DataFrame([{"path": path, "ts": ts, "j": j, "is_fallback": whole, "size": c.shape[0], "pixels": c.tobytes()} for j, c in enumerate(made)])
 
         out = images.select("path", "ts", "image").mapInPandas(run, CROP)
@@ -145,18 +147,24 @@ def png(image: np.ndarray) -> bytes:
 
 
 def write_crops(crops: DataFrame, folder: str) -> DataFrame:
-    """Writes each crop as a PNG unless its file exists; returns (id, path, timestamp) of all crops, for indexing."""
+    """Writes each crop as a PNG unless its file exists; returns (id, path, timestamp) of all crops, for indexing.
+
+    A folder without a scheme lies where Spark resolves it. A file appears complete: it is renamed into place.
+    """
+    at, folder = qualified(crops.sparkSession, folder), folder.rstrip("/")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        files, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files, base = opened(at)
         files.create_dir(base, recursive=True)
         for b in batches:
             for name, size, pixels in zip(b["file"], b["size"], b["pixels"], strict=True):
                 if files.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
-                    with files.open_output_stream(f"{base}/{name}") as out:
+                    part = f"{base}/.{uuid.uuid4().hex}.part"
+                    with files.open_output_stream(part) as out:
                         out.write(png(np.frombuffer(pixels, np.uint8).reshape(size, size, 3)))
+                    files.move(part, f"{base}/{name}")
             yield pd.DataFrame({"id": b["id"], "path": folder + "/" + b["file"], "timestamp": b["ts"]})
 
     return crops.mapInPandas(run, "id string, path string, timestamp double")
@@ -165,3 +173,31 @@ def write_crops(crops: DataFrame, folder: str) -> DataFrame:
 def placeholder(size: int = 224, level: int = 80) -> np.ndarray:
     """Stands in for an original that is gone."""
     return np.full((size, size, 3), level, np.uint8)
+
+
+ORIGINAL = "height int, width int, pixels binary, lost boolean"
+
+
+def with_originals(hits: DataFrame, originals: DataFrame, ident: str = "id") -> DataFrame:
+    """Crop hits with original: the image (path, image) that each was cut from, red first; a grey placeholder, marked lost, for one that is gone.
+
+    The hits are few: they go to the images.
+    """
+    spark = hits.sparkSession
+    wanted = hits.withColumn("__path", source_path(F.col(ident)))
+    found = originals.join(F.broadcast(wanted.select(F.col("__path").alias("path")).distinct()), "path", "left_semi").where("image is not null").dropDuplicates(["path"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, x in zip(b["path"], b["image"], strict=True):
+                a = to_rgb(x)
+                rows.append({"path": path, "height": a.shape[0], "width": a.shape[1], "pixels": a.tobytes(), "lost": False})
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "pixels", "lost"])
+
+    images = found.select("path", "image").mapInPandas(run, f"path string, {ORIGINAL}")
+    grey = placeholder()
+    gone = spark.createDataFrame([(grey.shape[0], grey.shape[1], grey.tobytes(), True)], ORIGINAL)
+    joined = wanted.join(images.withColumnRenamed("path", "__path"), "__path", "left").crossJoin(F.broadcast(gone.select(F.struct("*").alias("__gone"))))  # one row
+    own = F.when(F.col("pixels").isNotNull(), F.struct("height", "width", "pixels", "lost")).otherwise(F.col("__gone"))
+    return joined.select(*(F.col(f"`{c}`") for c in hits.columns), own.alias("original"))
