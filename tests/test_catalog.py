@@ -49,7 +49,7 @@ def test_batch_search_takes_every_hundredth_row(spark, tmp_path, monkeypatch):
         want += [(q, int(i), float(d[i]), r + 1) for r, i in enumerate(np.lexsort((np.arange(1205), d))[:5])]
     for block in (1_000, 4):
         monkeypatch.setattr("vantalume.operators.search.QUERY_BLOCK", block)
-        got = QUERIES["knn_batch_hundredth"](spark, str(tmp_path)).select("query_id", "id", "distance", "rank").collect()
+        got = QUERIES["knn_batch_topk"](spark, str(tmp_path)).select("query_id", "id", "distance", "rank").collect()
         assert sorted((r.query_id, r.id, r.distance, r.rank) for r in got) == sorted(want)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +58,7 @@ def similarity(sq_distance: Column) -> Column:
 
 
 METRICS = {"l2": sq_l2, "cosine": cosine_distance, "dot": lambda a, b: -dot(a, b)}
+
+#: The same from matrices: from dot products and squared lengths, fast but with cancellation, and row by row, term by term.
+ROUGH = {"l2": lambda d, q, x: q + x - 2 * d, "cosine": lambda d, q, x: 1 - d / np.sqrt(q * x), "dot": lambda d, q, x: -d}
+EXACT = {"l2": lambda x, q: ((x - q) ** 2).sum(1), "cosine": lambda x, q: 1 - (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum(1))), "dot": lambda x, q: -(x * q).sum(1)}

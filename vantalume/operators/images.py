@@ -7,6 +7,7 @@ import uuid
 import warnings
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -20,6 +21,8 @@ from ..sources.paths import opened, qualified
 from .models import mask_box
 
 FILLS = {"gray": 128, "black": 0, "white": 255}
+#: Bytes of crops that a task holds, about.
+MOST_BYTES = 32 << 20
 CROP = "path string, ts double, j int, is_fallback boolean, size int, pixels binary"
 
 
@@ -55,19 +58,21 @@ def best_masks(masks: list[np.ndarray], w: int, h: int, n: int) -> list[int]:
     return [0] if not scores and masks else sorted(scores, key=lambda i: (scores[i], i), reverse=True)[:n]
 
 
+@lru_cache(256)
+def _lobes(n: int, size: int) -> np.ndarray:
+    scale = n / size
+    wide = max(1.0, scale)
+    centre = (np.arange(size) + 0.5) * scale - 0.5
+    d = (np.arange(n)[None] - centre[:, None]) / wide
+    k = np.where(np.abs(d) < 3, np.sinc(d) * np.sinc(d / 3), 0.0)
+    return k / k.sum(1, keepdims=True)
+
+
 def lanczos(image: np.ndarray, size: int) -> np.ndarray:
     """A square resize by a separable Lanczos filter of three lobes, widened when shrinking."""
 
-    def weights(n: int) -> np.ndarray:
-        scale = n / size
-        wide = max(1.0, scale)
-        centre = (np.arange(size) + 0.5) * scale - 0.5
-        d = (np.arange(n)[None] - centre[:, None]) / wide
-        k = np.where(np.abs(d) < 3, np.sinc(d) * np.sinc(d / 3), 0.0)
-        return k / k.sum(1, keepdims=True)
-
-    x = np.tensordot(weights(image.shape[0]), image.astype(float), (1, 0))
-    x = np.tensordot(weights(image.shape[1]), x, (1, 1)).transpose(1, 0, 2)
+    x = np.tensordot(_lobes(image.shape[0], size), image.astype(float), (1, 0))
+    x = np.tensordot(_lobes(image.shape[1], size), x, (1, 1)).transpose(1, 0, 2)
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
 
@@ -130,10 +135,16 @@ class ObjectExtractor:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
+                rows = []
                 for path, ts, image in zip(b["path"], b["ts"], b["image"], strict=True):
                     made, whole = self.one(image, zlib.crc32(path.encode()) << 32)
-                    yield pd.DataFrame([{"path": path, "ts": ts, "j": j, "is_fallback": whole, "size": c.shape[0], "pixels": c.tobytes()} for j, c in enumerate(made)])
+                    rows += [(path, ts, j, whole, c.shape[0], c.tobytes()) for j, c in enumerate(made)]
+                    if len(rows) * 3 * self.s.output_size**2 >= MOST_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                yield pd.DataFrame(rows, columns=names)
 
+        names = [c.split()[0] for c in CROP.split(", ")]
         out = images.select("path", "ts", "image").mapInPandas(run, CROP)
         return out.withColumn("id", crop_id(F.col("path"), F.col("j"))).withColumn("file", crop_filename(F.col("ts"), F.col("j")))
 
@@ -179,13 +190,10 @@ ORIGINAL = "height int, width int, pixels binary, lost boolean"
 
 
 def with_originals(hits: DataFrame, originals: DataFrame, ident: str = "id") -> DataFrame:
-    """Crop hits with original: the image (path, image) that each was cut from, red first; a grey placeholder, marked lost, for one that is gone.
-
-    The hits are few: they go to the images.
-    """
+    """Crop hits with original: the image (path, image) that each was cut from, red first; a grey placeholder, marked lost, for one that is gone."""
     spark = hits.sparkSession
     wanted = hits.withColumn("__path", source_path(F.col(ident)))
-    found = originals.join(F.broadcast(wanted.select(F.col("__path").alias("path")).distinct()), "path", "left_semi").where("image is not null").dropDuplicates(["path"])
+    found = originals.join(wanted.select(F.col("__path").alias("path")), "path", "left_semi").where("image is not null").dropDuplicates(["path"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

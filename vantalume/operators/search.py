@@ -7,11 +7,13 @@ DataFrames whose order is a column (``retrieval_rank``), never an accident of pa
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +40,64 @@ def knn(df: DataFrame, query: Sequence[float] | Column, k: int, metric: str = "l
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", *, vector: str = "vector", ident: str = "id", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """The k nearest rows of every query: (query_id, id, distance, rank).
 
-    A block of at most QUERY_BLOCK queries goes to every task; there each query's k best are kept by the window's group limit before
-    the shuffle, which so moves at most k rows for each query and task.
+    A block of at most QUERY_BLOCK queries goes to every task as a matrix; each Arrow batch of rows is one matrix product with it, and
+    gives at most k rows a query, whose distances are then computed term by term. The shuffle moves these alone. Rows and queries
+    without a vector, or of another length than the block's first query, are in no result.
     """
+    if k < 0:
+        raise ValueError("k is negative")
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
     out = None
+    kinds = queries.schema[query_id].dataType.simpleString(), df.schema[ident].dataType.simpleString()
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
-        near = df.select(ident, vector).crossJoin(F.broadcast(part.select(query_id, F.col(query).alias("__q"))))
-        near = near.select(query_id, ident, vec.METRICS[metric](F.col(vector), F.col("__q")).alias("distance"))
+        held = part.where(F.col(query).isNotNull()).select(query_id, F.col(query).cast("array<double>")).toArrow()  # QUERY_BLOCK rows, about
+        near = df.select(ident, F.col(vector).cast("array<double>").alias("v")).mapInArrow(_nearest(held, k, metric), f"q {kinds[0]}, id {kinds[1]}, distance double")
+        near = near.select(F.col("q").alias(query_id), F.col("id").alias(ident), "distance")
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("distance", ident))).where(F.col("rank") <= k)
         out = ranked if out is None else out.union(ranked)
     return out
 
 
+def _nearest(held: pa.Table, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (id, v): of each batch the k nearest rows of every query (id, vector) in held."""
+    held = held.combine_chunks()
+
+    def matrix(lists: pa.ListArray) -> np.ndarray:
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held.num_rows or not k:
+            return
+        ids, lists = (held.column(c).chunk(0) for c in (0, 1))
+        length = len(lists[0])
+        same = pc.equal(pc.list_value_length(lists), length)
+        ids, q = ids.filter(same), matrix(lists.filter(same))
+        sizes = (q * q).sum(1)
+        for b in batches:
+            own = b.filter(pc.fill_null(pc.equal(pc.list_value_length(b.column(1)), length), False))
+            if not own.num_rows:
+                continue
+            x = matrix(own.column(1))
+            norms = (x * x).sum(1)
+            dots = q @ x.T
+            rough = vec.ROUGH[metric](dots, sizes[:, None], norms[None])
+            most = min(k, len(x))
+            edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
+            # rounding can't take a near row beyond this
+            slack = 1e-9 * (1 + np.abs(edge) + (sizes + norms.max() if metric != "cosine" else 0))
+            i, j = np.nonzero(~(rough > (edge + slack)[:, None]))
+            exact = vec.EXACT[metric](x[j], q[i])
+            order = np.lexsort((pc.rank(own.column(0).take(pa.array(j)), tiebreaker="min").to_numpy(), exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.searchsorted(i, i)
+            kept = np.arange(len(i)) - first < k
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[kept])), own.column(0).take(pa.array(j[kept])), pa.array(exact[kept])], names=["q", "id", "distance"])
+
+    return run
+
+
 def cosine_documents(df: DataFrame, query: Sequence[float] | Column, k: int = 5, *, extra: Sequence[str] = ()) -> DataFrame:
     """(page_content, metadata) of the k nearest rows by cosine distance, which metadata holds raw."""
     found = knn(df, query, k, "cosine")

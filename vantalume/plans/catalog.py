@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import annotate, index, masks, search
+from ..operators import annotate, images, index, jobs, masks, models, search
 from ..sources import frames, store
+from ..sources.paths import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,17 +58,9 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(df, _probe(df), 20, "cosine").select("id", F.round("distance", 6).alias("distance"))
 
 
-@_query("""WITH v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(v.e, q.e) ** 2 AS d FROM v, v q WHERE q.vec_id < 10),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 6) AS distance, cast(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _vectors(spark, sf_dir)
-    queries = df.where("id < 10").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    return search.knn_batch(df, queries, 5).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
-
-
 @_query("""WITH v AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(v.e, q.e) ** 2 AS d FROM v, v q WHERE q.vec_id % 100 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM p) SELECT query_id, id, round(d, 6) AS distance, cast(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
-def knn_batch_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 100 against all rows: the queries grow with the table."""
     df = _vectors(spark, sf_dir)
     queries = df.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
@@ -137,10 +133,10 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, coalesce(max(l_discount), 0) AS detection_score, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def detect_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders are hits, their lines detections; an order without lines scores 0. Scores combine before they are joined."""
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_discount").alias("best"), F.count(F.lit(1)).alias("n"))
+    """Orders are hits, their lines detections; an order without lines scores 0."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_discount").alias("scores"))
     joined = _t(spark, sf_dir, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return joined.select("o_orderkey", F.coalesce("best", F.lit(0.0)).alias("detection_score"), F.coalesce("n", F.lit(0)).alias("n"))
+    return joined.select("o_orderkey", search.max_score(F.col("scores")).alias("detection_score"), F.coalesce(F.size(F.coalesce("scores", F.array().cast("array<double>"))), F.lit(0)).cast("bigint").alias("n"))
 
 
 @_query("WITH d AS (SELECT l_orderkey AS id, max(l_discount) AS detection_score, min(l_extendedprice) AS p FROM lineitem GROUP BY l_orderkey) SELECT id, detection_score FROM d ORDER BY detection_score DESC, id LIMIT 10")
@@ -165,8 +161,14 @@ def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN l_returnflag END AS label FROM lineitem WHERE l_discount > 0.05")
 def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _t(spark, sf_dir, "lineitem").where(F.col("l_discount") > 0.05)
-    return kept.select("l_orderkey", "l_linenumber", F.when(F.col("l_tax") > 0.04, F.col("l_returnflag")).alias("label"))
+    kept = search.thresholded(_t(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "label"), "l_discount", "label", "l_tax", 0.05, 0.04)
+    return kept.select("l_orderkey", "l_linenumber", "label")
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity / 50e0 > 0.88e0 AND 1e0 - l_tax > 0.95e0")
+def mask_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50.0).alias("pred_iou"), (F.lit(1.0) - F.col("l_tax")).alias("stability"))
+    return masks.of_quality(lines).select("l_orderkey", "l_linenumber")
 
 
 # Every part is a rectangular mask of a 32 x 32 image; five parts share an image, and some masks are empty.
@@ -210,10 +212,141 @@ def mask_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT p_partkey, x, CASE WHEN x < p_size % 16 THEN p_partkey % 256 ELSE 128 END AS gray, CASE WHEN x < p_size % 16 THEN p_partkey % 256 ELSE 0 END AS black, x * 16 > 127 AS bit FROM part, (SELECT unnest(range(0, 16)) AS x) t")
 def background_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _t(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("x"))
-    inside = F.col("x") < F.col("p_size") % 16
-    fill = lambda level: F.when(inside, F.col("p_partkey") % 256).otherwise(F.lit(level))
-    return px.select("p_partkey", "x", fill(128).alias("gray"), fill(0).alias("black"), (F.col("x") * 16 > 127).alias("bit"))
+    """Images of one line of 16 pixels, of which a mask keeps the first ones."""
+    fills = {name: images.ObjectExtractor(None, background=name) for name in ("gray", "black")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = np.arange(16)
+        bit = models.to_mask({"height": 1, "width": 16, "nChannels": 1, "data": bytes((16 * x).tolist())})[0]
+        for b in batches:
+            lines: dict[str, list] = {name: [] for name in fills}
+            for k, size in zip(b["p_partkey"], b["p_size"], strict=True):
+                image, mask = np.full((1, 16, 3), k % 256, np.uint8), (x < size % 16)[None]
+                for name, f in fills.items():
+                    lines[name].append(f.fill(image, mask)[0, :, 0])
+            level = {name: np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for name, v in lines.items()}
+            yield pd.DataFrame({"p_partkey": np.repeat(b["p_partkey"].to_numpy(), 16), "x": np.tile(x, len(b)), **level, "bit": np.tile(bit, len(b))})
+
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "p_partkey bigint, x bigint, gray bigint, black bigint, bit boolean")
+
+
+_CELLS = "i AS (SELECT p_partkey AS k, bit_count(p_partkey % 16) AS n FROM part)"
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, ts, image): of each part an image of 8 x 8 whose four quarters are bright by the bits of its key."""
+    k = F.col("p_partkey")
+    line = lambda c: F.repeat(F.when(F.getbit(k, F.lit(c)) == 1, F.lit("c8c8c8")).otherwise(F.lit("000000")), 4)
+    data = F.unhex(F.concat(F.repeat(F.concat(line(0), line(1)), 4), F.repeat(F.concat(line(2), line(3)), 4)))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return _t(spark, sf_dir, "part").select(F.concat(F.lit("q/"), k.cast("string")).alias("path"), (k / 4.0).alias("ts"), image.alias("image"))
+
+
+@_query(f"""WITH {_CELLS}, j AS (SELECT k, n IN (0, 4) AS is_fallback, unnest(range(0, CASE WHEN n IN (0, 4) THEN 1 ELSE 3 END)) AS j FROM i)
+    SELECT 'q/' || k || ':' || j AS id, replace(printf('%.6f_%d', k / 4e0, j), '.', '_') || '.png' AS file, cast(j AS INTEGER) AS j, is_fallback, 16 AS size, 768 AS n_bytes FROM j""")
+def object_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quarter stands out unless all are alike; the image then stands for itself."""
+    made = images.ObjectExtractor(models.GridMasks(points_per_side=2), top_n=3, output_size=16).crops(_squares(spark, sf_dir))
+    return made.select("id", "file", "j", "is_fallback", "size", F.octet_length("pixels").alias("n_bytes"))
+
+
+@_query("SELECT 'q/' || p_partkey || ':0' AS id, CASE WHEN p_partkey % 3 = 0 THEN 224 ELSE 8 END AS height, p_partkey % 3 = 0 AS lost, CASE WHEN p_partkey % 3 = 0 THEN '50' WHEN p_partkey % 2 = 1 THEN 'C8' ELSE '00' END AS first FROM part")
+def crop_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the originals are gone."""
+    whole = _squares(spark, sf_dir)
+    hits = whole.select(tx.crop_id(F.col("path"), F.lit(0)).alias("id"))
+    found = images.with_originals(hits, whole.where(tx.source_path(F.col("path")).isNotNull() & (F.substring("path", 3, 20).cast("bigint") % 3 != 0)))
+    return found.select("id", "original.height", "original.lost", F.hex(F.substring("original.pixels", 1, 1)).alias("first"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+
+
+def _pictures(spark: SparkSession, folder: str, n: int = 8) -> None:
+    """Image files of 8 x 8: i.png has i bright columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pixels = []
+            for i in b["id"]:
+                image = np.full((8, 8, 3), 40, np.uint8)
+                image[:, :i] = (200, 210, 220)
+                pixels.append(image.tobytes())
+            yield pd.DataFrame({"id": b["id"].astype(str), "file": b["id"].astype(str) + ".png", "size": 8, "pixels": pixels, "ts": 0.0})
+
+    crops = spark.range(n).mapInPandas(run, "id string, file string, size int, pixels binary, ts double")
+    images.write_crops(crops, folder).collect()
+
+
+@_query("SELECT i || '.png' AS name, 8 AS height, 8 AS width, CASE WHEN i > 0 THEN 220 ELSE 40 END AS blue FROM (SELECT unnest(range(0, 8)) AS i)")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops written as PNG files, listed in order and read back."""
+    folder = _folder(spark)
+    _pictures(spark, folder)
+    listed = frames.listing(spark, folder).join(frames.read_images(spark, folder), "path")
+    return listed.select(F.substring_index("path", "/", -1).alias("name"), "image.height", "image.width", F.conv(F.hex(F.substring("image.data", 1, 1)), 16, 10).cast("int").alias("blue"))
+
+
+class _Probe(models.HashEncoder):
+    """Every text meets one vector; contents are embedded as their length."""
+
+    def __init__(self, vector: list[float] | None = None) -> None:
+        super().__init__(1, 64)
+        self.vector = vector
+
+    def embed_text(self, text: str) -> np.ndarray:
+        return np.array(self.vector)
+
+    def embed_images(self, batch: list) -> np.ndarray:
+        return np.array([[len(x)] for x in batch], np.float32).reshape(-1, 1)
+
+
+@_query(f"""WITH {_Q}, h AS (SELECT vec_id AS id, list_distance(e, q) ** 2 AS d, row_number() OVER (ORDER BY list_distance(e, q) ** 2, cast(vec_id AS VARCHAR)) AS rank FROM v, q),
+    s AS (SELECT *, CASE WHEN id % 8 = 0 THEN 1e0 ELSE id % 8 / 8e0 END * (0.5e0 + cast('0x' || sha1('cup')[1:4] AS INTEGER) / 131072e0) AS score FROM h WHERE rank <= 20)
+    SELECT cast(id AS VARCHAR) AS id, round(1e0 - d / 2, 6) AS similarity_score, round(score, 6) AS detection_score, cast(rank AS INTEGER) AS retrieval_rank FROM s ORDER BY score DESC, rank LIMIT 5""")
+def search_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine: a stored collection, its image files, and the chain that embeds, retrieves, detects and re-ranks."""
+    folder, df = _folder(spark), _vectors(spark, sf_dir)
+    _pictures(spark, f"{folder}/images")
+    s = store.Store(spark, f"{folder}/db", buckets=8)
+    path = F.concat(F.lit(f"{folder}/images/"), (F.col("id") % 8).cast("string"), F.lit(".png"))
+    s.overwrite("all", df.select(F.col("id").cast("string").alias("id"), F.lit("all").alias("collection_id"), "vector", path.alias("path"), F.lit(0.0).alias("timestamp")))
+    state = search.Search(_Probe(_probe(df)), models.RegionDetector(), s).invoke(query="cup", collection_id="all", top_k_retrieve=20, top_k_final=5)
+    return state.results.select("id", F.round("similarity_score", 6).alias("similarity_score"), F.round("detection_score", 6).alias("detection_score"), "retrieval_rank")
+
+
+def _contents(docs: DataFrame, mark: str) -> DataFrame:
+    """Documents as images to index: their text's bytes, under an id of their own."""
+    return docs.select(F.col("doc_id").alias("pos"), F.concat(F.coalesce("text", F.lit("")), F.lit(mark)).cast("binary").alias("content"), F.col("doc_id").cast("double").alias("ts"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"))
+
+
+@_query("""SELECT 'doc-' || doc_id AS id, 'docs' AS collection_id, '' AS path, cast(doc_id AS DOUBLE) AS timestamp, cast(strlen(coalesce(text, '')) + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS size
+    FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
+def indexer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the documents are inserted, then every second one is updated: replaced or added."""
+    docs = _t(spark, sf_dir, "documents")
+    ix = index.Indexer(spark, _Probe(), _folder(spark))
+    ix.insert(_contents(docs.where("doc_id % 3 <> 0"), "!"), "docs")
+    ix.update(_contents(docs.where("doc_id % 2 = 0"), "!!"), "docs")
+    return ix.store.open("docs").select("id", "collection_id", "path", "timestamp", F.col("vector")[0].cast("double").alias("size"))
+
+
+@_query("""SELECT 'label-' || label AS job_id, 'c' || label AS collection_id, CASE WHEN label % 3 = 0 THEN 'running' WHEN label % 3 = 1 THEN 'done' ELSE 'failed' END AS state, count(*) AS total,
+    CASE WHEN label % 3 = 2 THEN count(*) // 2 ELSE count(*) END AS processed, CASE WHEN label % 3 = 2 THEN 'no power' END AS error FROM embeddings GROUP BY label""")
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each label, reported in two steps, and read back from the store's events."""
+    kept = jobs.Jobs(store.Store(spark, _folder(spark)))
+    for r in _t(spark, sf_dir, "embeddings").groupBy("label").count().collect():  # a row for each collection
+        job = kept.start(f"c{r['label']}", r["count"], f"label-{r['label']}")
+        job.advance(r["count"] // 2)
+        if r["label"] % 3 == 2:
+            job.fail("no power")
+            continue
+        job.advance(r["count"] - r["count"] // 2)
+        if r["label"] % 3 == 1:
+            job.finish()
+    return kept.table().select("job_id", "collection_id", "state", "total", "processed", "error")
 
 
 @_query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
@@ -223,9 +356,20 @@ def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("WITH b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents), c AS (SELECT batch, count(*) AS n FROM b GROUP BY batch) SELECT batch, n, cast(coalesce(sum(n) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS processed FROM c")
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = frames.batch_ids(_t(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 64).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
-    # batches but the last are full, so what came before one is a product
-    return n.select("batch", "n", (F.col("batch") * 64).alias("processed"))
+    return frames.progress(frames.batch_ids(_t(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 64))
+
+
+@_query("SELECT doc_id, sha1(coalesce(text, '')) AS content, lang, (row_number() OVER (ORDER BY source, doc_id) - 1) // 100 AS batch, row_number() OVER (ORDER BY source, doc_id) AS rn FROM documents")
+def batch_ids_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of whole rows, in an order of few values first."""
+    out = frames.batch_ids(_t(spark, sf_dir, "documents"), ["source", "doc_id"], 100)
+    return out.select("doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("content"), "lang", "batch", "rn")
+
+
+@_query("WITH r AS (SELECT doc_id, sha1(coalesce(text, '')) AS content, row_number() OVER (ORDER BY lang, doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, content, rn FROM r WHERE (rn - 1) % greatest(1, n // 50) = 0 ORDER BY rn LIMIT 50")
+def systematic_sample_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.systematic_sample(_t(spark, sf_dir, "documents"), ["lang", "doc_id"], 50)
+    return out.select("doc_id", F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("content"), "rn")
 
 
 @_query("SELECT p_partkey, 'img/' || p_partkey || '.png:' || (p_partkey % 4) AS id, 'img/' || p_partkey || '.png' AS path FROM part")
@@ -293,4 +437,8 @@ def frame_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Each label is a stored collection of its own."""
+    s, df = store.Store(spark, _folder(spark), buckets=1), _t(spark, sf_dir, "embeddings")
+    for r in df.select("label").distinct().collect():  # a row for each collection
+        s.overwrite(f"label-{r['label']}", df.where(F.col("label") == r["label"]).select(F.col("vec_id").alias("id")))
+    return s.counts().select(F.substring_index("collection", "-", -1).cast("int").alias("label"), "n")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +17,17 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:///", uri).rstrip("/")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a local session has a folder of its own; a cluster is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/vantalume-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder.rstrip("/")
+
+
 class Resolver:
     """qualified() for workers, without the driver: where paths without a scheme lie is asked once."""
 

@@ -130,6 +130,10 @@ class Store:
     def count(self, name: str) -> int:
         return self.open(name).count()
 
+    def counts(self) -> DataFrame:
+        """(collection, n) of all collections; only files' row counts are read."""
+        return self.spark.createDataFrame([(name, self.count(name)) for name in self.list()], "collection string, n bigint")
+
     def vacuum(self, name: str, keep: int = 1) -> None:
         """Remove all but the last versions, and the folders that only they name."""
         versions = self._versions(name)
