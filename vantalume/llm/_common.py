@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.paths import removed
+from ..sources.paths import removed, shared_folder
 
 U64 = np.uint64
 #: Bytes of text that the word kernel works on at once; it needs about 30 times as much memory.
@@ -24,20 +23,10 @@ CHUNK_BYTES = 1 << 20
 _SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session has a folder of its own; a cluster is refused."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
-        folder = f"{tempfile.gettempdir()}/vantalume-{spark.sparkContext.applicationId}"
-    return folder.rstrip("/")
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that are settled within, but for lasting ones, go when it ends."""
-    folder = f"{(shared_dir(spark), *_SCRATCH.get())[-1]}/scratch-{uuid.uuid4().hex}"
+    folder = f"{(shared_folder(spark), *_SCRATCH.get())[-1]}/scratch-{uuid.uuid4().hex}"
     token = _SCRATCH.set((*_SCRATCH.get(), folder))
     try:
         yield
@@ -49,15 +38,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def settle(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors. A lasting table outlives its scratch()."""
     spark = df.sparkSession
-    folders = (shared_dir(spark), *_SCRATCH.get())
+    folders = (shared_folder(spark), *_SCRATCH.get())
     path = f"{folders[max(0, len(folders) - 1 - lasting)]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches to Python are bounded by bytes, not by rows alone: very long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Arrow batches to Python are bounded by bytes, not by rows alone: very long texts don't add up. A session that has a bound keeps it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def partitions(spark: SparkSession) -> int:

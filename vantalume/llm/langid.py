@@ -27,7 +27,8 @@ from ._common import U64, append_map, arrow_map, least_keys, record, scratch, se
 
 SAMPLE = 1500
 SLACK = 1.5
-CHUNK_CHARS = 1 << 20
+#: Characters of texts, and cells of n-grams by languages, that are worked on at once.
+CHUNK_CHARS, CHUNK_CELLS = 1 << 18, 1 << 20
 #: Lengths at which rejection is calibrated are 2 to these powers.
 LEAST_POWER, MOST_POWER = 3, 12
 FEW = 50
@@ -153,7 +154,7 @@ class Models:
         out = np.zeros((len(texts), len(self.langs)))
         if not self.langs:
             return out, n, letters
-        step = max(1 << 12, (1 << 24) // len(self.langs))
+        step = max(1 << 12, CHUNK_CELLS // len(self.langs))
         for i in range(0, len(grams), step):
             logs, t = self.of(grams[i : i + step]), of[i : i + step]
             for k in range(len(self.langs)):
@@ -164,7 +165,7 @@ class Models:
         """For each power of two, the mean cross-entropies (pieces x languages) of a text's pieces of so many trigrams."""
         grams, _ = trigrams(*symbols([text])[:2])
         least, sums = 1 << LEAST_POWER, []
-        step = max(least, (1 << 24) // max(1, len(self.langs)) // least * least)
+        step = max(least, CHUNK_CELLS // max(1, len(self.langs)) // least * least)
         for i in range(0, len(grams) // least * least, step):
             logs = self.of(grams[i : min(i + step, len(grams) // least * least)])
             sums.append(-logs.reshape(-1, least, len(self.langs)).sum(1, dtype=np.float64))

@@ -196,5 +196,5 @@ class Mix:
         # a shard may be far larger than a task: it is shuffled in slices of its position, as many as the words taken ask for
         taken = self.sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
         tasks = max(partitions(out.sparkSession), -(-int(taken) // TASK_WORDS))
-        slices = max(1, -(-4 * tasks // self.shards))
+        slices = max(1, -(-32 * tasks // self.shards))  # many for each task, so that tasks are even
         return out.repartition(tasks, "shard", F.pmod("position", F.lit(slices))).sortWithinPartitions("shard", "position")

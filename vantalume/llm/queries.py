@@ -64,13 +64,24 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("lm_score", 6).alias("lm_score"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_mixing takes from: each document's size, and its source's size and target."""
+    rows = mixing.Mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).counted()
+    return rows.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op7_secrets, without what linking adds."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_toxicity, op3_warc, op4_mixing, op5_decontaminate, op6_langid, op7_secrets, op8_neardup, op9_vectors, op10_lm, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_toxicity, op3_warc, op4_mixing, op5_decontaminate, op6_langid, op7_secrets, op8_neardup, op9_vectors, op10_lm, mixing_targets, secret_base, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,4 +125,18 @@ ORACLE_SQL = {
         s AS (SELECT doc_id, count(*) AS n_words, avg(ln(CASE WHEN c2.c IS NOT NULL THEN cast(c2.c AS DOUBLE) / cv.c ELSE 0.4e0 * c1.c / n.n END)) AS x
               FROM t JOIN c1 ON t.w = c1.w LEFT JOIN c2 ON t.v = c2.v AND t.w = c2.w LEFT JOIN c1 cv ON t.v = cv.w CROSS JOIN n GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(x, 6) AS lm_score FROM d LEFT JOIN s USING (doc_id)""",
+    "mixing_targets": """
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, cast(sum(size) AS BIGINT) AS z, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+        w AS (SELECT source, z, [5e0, 2e0, 1e0][(i - 1) % 3 + 1] AS w, 2e0 * z AS cap FROM s),
+        o AS (SELECT *, 1.5e0 * sum(z) OVER () - sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING) + cap AS rest, sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+        l AS (SELECT arg_min(rest / free, cap / w) FILTER (WHERE rest / free <= cap / w) AS level FROM o)
+        SELECT doc_id, size, z AS source_size, round(least(cap, coalesce(level * w, cap)), 4) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l""",
+    "secret_base": """
+        WITH k AS (SELECT * FROM (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6), (1, 'access', '(AKIA[A-Z0-9]+)', 20), (2, 'hex', '([0-9a-f]+)', 24)) v(kind, name, pattern, least)),
+        m AS (SELECT doc_id, kind, name, least, regexp_extract_all(t, pattern) AS m, regexp_extract_all(t, pattern, 1) AS g, string_split_regex(t, pattern) AS p FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), k),
+        i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+        e AS (SELECT doc_id, kind, name, cast(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS s, len(m[i]) AS n FROM i WHERE len(g[i]) >= least),
+        a AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n0, count(*) FILTER (WHERE kind = 1) AS n1, count(*) FILTER (WHERE kind = 2) AS n2, string_agg(name || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) AS spans FROM e GROUP BY doc_id)
+        SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN a USING (doc_id)""",
 }

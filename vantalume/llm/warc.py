@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.paths import opened, qualified
-from ._common import bounded_batches, hot_keys, mask, masked, partitions, salted_join, settle, shared_dir
+from ..sources.paths import opened, qualified, shared_folder
+from ._common import bounded_batches, hot_keys, mask, masked, partitions, salted_join, settle
 
 LEAST_BYTES = 100
 FILE_BYTES, FILE_RECORDS = 64 << 20, 50_000
@@ -253,7 +253,7 @@ def read(history: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 
 def archive(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, least: int = LEAST_BYTES, folder: str | None = None) -> tuple[DataFrame, str]:
     """Write pages to archives: the index, globally ordered by range and then row, and the folder of the archives."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     merged = merge(write(classify(pages, page_id, url, payload, captured, least), folder))
     history = settle(merged.withColumn("range", F.spark_partition_id()), "history")
     return history, folder
