@@ -277,6 +277,15 @@ def test_secrets(spark, no_docs):
     assert secret_scan.scan(no_docs).count() == 0
 
 
+def test_secrets_of_long_texts(spark):
+    """Thousands of parts in one text are linked and replaced in their order."""
+    secret, access = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKE1", "AKIA" + "B7" * 8
+    text = f"{access} {secret} and so on, token=abcdef1 " * 8_000
+    scanned = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    got = scanned.select(F.size("base_spans").alias("b"), F.size("spans").alias("n"), secret_scan.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+    assert (got.b, got.n) == (16_000, 24_000) and got.clean == "[SECRET] [SECRET] and so on, [SECRET] " * 8_000
+
+
 def test_weak_pairs_need_no_marker(spark):
     """A weak identifier next to a weak secret links by itself; an endpoint far away changes nothing."""
     secret, ident = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKE1", "B7" * 10

@@ -6,7 +6,7 @@ fingerprints finds every shared window. A joined hit is then extended: each wind
 fingerprint is compared as a whole, and windows that occur merge into spans.
 
 The items go to the executors in blocks of at most ``block_words`` words (a bound that doesn't depend on the data);
-a benchmark of several blocks takes one pass over the documents for each.
+a benchmark of several blocks takes one pass over the documents' texts for each, which writes its hits alone.
 
 Defined cases: a null or wordless text has no words and no hits; an item of fewer than WINDOW words is one window
 of its own length; a wordless item never occurs; items that share an id count once; a null id is written as the
@@ -24,6 +24,7 @@ from ._common import ALNUM, U64, append_map, cleared, hashed, settle, window_has
 
 WINDOW, K = 13, 6
 BLOCK_WORDS = 2_000_000
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _sliding_min(g: np.ndarray, w: int) -> np.ndarray:
@@ -118,46 +119,56 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) ->
 def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, hit_spans (word positions, end exclusive, merged) and hit_items (sorted ids)."""
     keep = list(docs.columns) if keep is None else keep
-    added = "n_words bigint, hit_spans array<struct<start:int,end:int>>, hit_items array<string>"
     blocks = _blocks(benchmark, item_id, item_text, block_words)
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    out, first = docs, True
-    held = next(blocks)
-    while held is not None:
-        after = next(blocks, None)
-        shared = docs.sparkSession.sparkContext.broadcast(held)
-
-        def rows(b: pa.RecordBatch, shared=shared, first=first) -> dict:
-            items, n = shared.value, b.num_rows
-            words = np.zeros(n, np.int64)
-            spans = [[] for _ in range(n)] if first else [[(s["start"], s["end"]) for s in x] for x in b.column("hit_spans").to_pylist()]
-            names = [set() for _ in range(n)] if first else [set(x) for x in b.column("hit_items").to_pylist()]
-            for i, j, h, at in hashed(b.column(b.schema.get_field_index(text)), ALNUM):
-                words[i:j] = np.diff(at)
-                start, length, row, doc = items.hits(h, at)
-                for d in np.unique(doc):
-                    mine = doc == d
-                    s, m, r = start[mine] - at[d], length[mine], row[mine]
-                    spans[i + d] += zip(s.tolist(), (s + m).tolist(), strict=True)
-                    for kind in np.unique(m):
-                        names[i + d] |= items.ids_of(int(kind), r[m == kind])
-            merged = []
-            for x in spans:
-                y: list[tuple[int, int]] = []
-                for s, e in sorted(x):
-                    if y and s <= y[-1][1]:
-                        y[-1] = (y[-1][0], max(e, y[-1][1]))
-                    else:
-                        y.append((s, e))
-                merged.append([{"start": s, "end": e} for s, e in y])
-            return {"n_words": words, "hit_spans": pa.array(merged, spans_type), "hit_items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
-
-        passed = [*keep, text] if after is not None else keep
-        out = append_map(out, list(dict.fromkeys(passed)), rows, added)
-        if after is not None:
-            out = settle(out, "decontaminate")
-        held, first = after, False
-    return out
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _marked(docs, first, text, keep)
+    # rows by number: a pass writes no more than its hits
+    numbered = settle(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text]))).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for block in (first, second, *blocks):
+        found = _marked(numbered.select("__row", F.col(f"`{text}`").alias("text")), block, "text", ["__row"]).where(F.size("hit_items") > 0)
+        found = settle(found.select("__row", "hit_spans", "hit_items"), "hits")
+        hits = found if hits is None else hits.union(found)
+    hits = hits.groupBy("__row").agg(F.flatten(F.collect_list("hit_spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("__items"))
+    return _marked(numbered.join(hits, "__row", "left"), None, text, keep)
+
+
+def _marked(docs: DataFrame, block: Items | None, text: str, keep: list[str]) -> DataFrame:
+    """docs with n_words, hit_spans and hit_items of one block of items; without one, of the columns __spans and __items."""
+    shared = docs.sparkSession.sparkContext.broadcast(block) if block is not None else None
+
+    def rows(b: pa.RecordBatch) -> dict:
+        n = b.num_rows
+        words = np.zeros(n, np.int64)
+        if shared is None:
+            spans = [[(s["start"], s["end"]) for s in x or []] for x in b.column(b.schema.get_field_index("__spans")).to_pylist()]
+            names = [set(x or []) for x in b.column(b.schema.get_field_index("__items")).to_pylist()]
+        else:
+            items, spans, names = shared.value, [[] for _ in range(n)], [set() for _ in range(n)]
+        for i, j, h, at in hashed(b.column(b.schema.get_field_index(text)), ALNUM):
+            words[i:j] = np.diff(at)
+            if shared is None:
+                continue
+            start, length, row, doc = items.hits(h, at)
+            for d in np.unique(doc):
+                mine = doc == d
+                s, m, r = start[mine] - at[d], length[mine], row[mine]
+                spans[i + d] += zip(s.tolist(), (s + m).tolist(), strict=True)
+                for kind in np.unique(m):
+                    names[i + d] |= items.ids_of(int(kind), r[m == kind])
+        merged = []
+        for x in spans:
+            y: list[tuple[int, int]] = []
+            for s, e in sorted(x):
+                if y and s <= y[-1][1]:
+                    y[-1] = (y[-1][0], max(e, y[-1][1]))
+                else:
+                    y.append((s, e))
+            merged.append([{"start": s, "end": e} for s, e in y])
+        return {"n_words": words, "hit_spans": pa.array(merged, SPANS), "hit_items": pa.array([sorted(x) for x in names], pa.list_(pa.string()))}
+
+    return append_map(docs, keep, rows, "n_words bigint, hit_spans array<struct<start:int,end:int>>, hit_items array<string>")
 
 
 def digest(marked: DataFrame) -> DataFrame:
