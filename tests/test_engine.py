@@ -214,6 +214,16 @@ def test_knn_and_cascade(spark, tmp_path, fixed, png_paths):
         s.embed.invoke(search.SearchState("", "coll"))
 
 
+def test_engine_from_settings(spark, tmp_path, png_paths):
+    path = tmp_path / "c.yaml"
+    path.write_text(f"models:\n  encoder: {{embedding_dim: 8, batch_size: 2}}\n  detector: {{threshold: 0.0, labels: true}}\nindexing: {{db_path: {tmp_path}/db}}\n")
+    index.Indexer.from_config(spark, str(path)).insert(png_paths, "c")
+    out = search.Search.from_config(spark, str(path)).invoke(query="red", collection_id="c", top_k_final=2)
+    assert out.results.count() == 2 and out.results.first().labels == ["red"]
+    with pytest.raises(ValueError, match="unknown detector"):
+        search.Search.from_config(spark, str(path), detector="none")
+
+
 def test_missing_images(spark, tmp_path, fixed):
     st = store.Store(spark, str(tmp_path / "db"))
     st.append("c", spark.createDataFrame([("a", "c", [1.0, 0.0, 0.0, 0.0], "/nowhere.png", 0.0)], store.COLLECTION))

@@ -15,7 +15,7 @@ from ..sources import store as st
 from ..sources.config import IndexSettings
 from ..sources.frames import with_contents
 from .jobs import Jobs, JobStatus
-from .models import ENCODERS, HashEncoder
+from .models import ENCODERS, HashEncoder, Loaded
 
 RECORD = "pos bigint, path string, content binary, ts double, given string"
 
@@ -80,7 +80,7 @@ class Indexer:
     @classmethod
     def from_config(cls, spark: SparkSession, path: str, encoder: str = "hash") -> Indexer:
         settings = IndexSettings.load(path)
-        return cls(spark, ENCODERS[encoder].from_config(path), settings.db_path, settings.batch_size)
+        return cls(spark, Loaded.from_config(ENCODERS[encoder], path), settings.db_path, settings.batch_size)
 
     def embedded(self, rows: DataFrame, collection_id: str) -> DataFrame:
         """The collection's rows: the encoder sees batches of batch_size, one after the other in each task."""

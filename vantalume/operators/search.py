@@ -21,7 +21,7 @@ from ..functions import vectors as vec
 from ..sources.frames import read_images
 from ..sources.store import Store
 from .images import to_rgb
-from .models import DETECTORS, ENCODERS
+from .models import DETECTORS, ENCODERS, Loaded
 
 DETECTION = "detection_score double, boxes array<array<float>>, scores array<float>, masks array<struct<h:int,w:int,bits:binary>>, labels array<string>"
 #: Query vectors sent to every task of a batch search at once.
@@ -269,7 +269,7 @@ class Search(Step):
 
         if detector not in DETECTORS:
             raise ValueError(f"unknown detector {detector!r}; known are {sorted(DETECTORS)}")
-        return cls(ENCODERS[encoder].from_config(path), DETECTORS[detector].from_config(path), Store(spark, IndexSettings.load(path).db_path))
+        return cls(ENCODERS[encoder].from_config(path), Loaded.from_config(DETECTORS[detector], path), Store(spark, IndexSettings.load(path).db_path))
 
     def invoke(self, state: SearchState | None = None, config: dict | None = None, *, query: str | None = None, collection_id: str | None = None, top_k_retrieve: int = 20, top_k_final: int = 5, **kw: object) -> SearchState:
         if state is None:
