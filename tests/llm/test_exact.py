@@ -146,33 +146,40 @@ def test_registers_merge_and_estimate():
     assert abs(got - j) < 0.15
 
 
-@pytest.mark.parametrize(("order", "min_count", "bucket_bytes"), [(2, 1, 1 << 23), (2, 2, 1 << 23), (3, 1, 500), (3, 3, 1 << 23)])
-def test_lm_scores(docs, no_docs, order, min_count, bucket_bytes, monkeypatch):
+@pytest.mark.parametrize(("order", "min_count", "leave_out", "bucket_bytes"), [(2, 1, True, 1 << 23), (2, 2, False, 1 << 23), (3, 1, False, 500), (3, 2, True, 500), (1, 1, True, 1 << 23)])
+def test_lm_scores(docs, no_docs, order, min_count, leave_out, bucket_bytes, monkeypatch):
     monkeypatch.setattr(lmscore, "PACK_BYTES", 3000)
     rows = docs.collect()
+
+    def grams(t):
+        w = spaced(t)
+        return Counter(g for n in range(1, order + 1) for g in zip(*(w[k:] for k in range(n)), strict=False))
+
     counts = Counter()
     for r in rows:
-        w = spaced(r.text)
-        for n in range(1, order + 1):
-            counts.update(zip(*(w[k:] for k in range(n)), strict=False))
+        counts.update(grams(r.text))
     total = sum(n for k, n in counts.items() if len(k) == 1)
 
-    def log_s(w, i, n):
-        if n == 1:
-            return math.log(counts[w[i],] / total)
-        gram = tuple(w[i - n + 1 : i + 1]) if i >= n - 1 else None
-        if gram and counts[gram] >= min_count:
-            return math.log(counts[gram] / counts[gram[:-1]])
-        return math.log(0.4) + log_s(w, i, n - 1)
-
     def brute(t):
-        w = spaced(t)
-        return len(w), round(sum(log_s(w, i, order) for i in range(len(w))) / len(w), 8) if w else None
+        w, own = spaced(t), grams(t) if leave_out else Counter()
+        others = max(1, total - len(w)) if leave_out else total
+
+        def log_s(i, n):
+            if n == 1:
+                return math.log((counts[w[i],] - own[w[i],] or 0.4) / others)
+            gram = tuple(w[i - n + 1 : i + 1]) if i >= n - 1 else None
+            if gram and counts[gram] - own[gram] >= min_count:
+                return math.log((counts[gram] - own[gram]) / (counts[gram[:-1]] - own[gram[:-1]]))
+            return math.log(0.4) + log_s(i, n - 1)
+
+        return len(w), round(sum(log_s(i, order) for i in range(len(w))) / len(w), 8) if w else None
 
-    options = {"order": order, "min_count": min_count, "bucket_bytes": bucket_bytes}
+    options = {"order": order, "min_count": min_count, "leave_out": leave_out, "bucket_bytes": bucket_bytes}
     got = [(r.doc_id, r.n_words, None if r.lm_score is None else round(r.lm_score, 8)) for r in lmscore.score(docs, **options).collect()]
     assert sorted(got, key=key) == sorted(((r.doc_id, *brute(r.text)) for r in rows), key=key)
     assert lmscore.score(no_docs, **options).count() == 0
+    one = docs.where("doc_id = 4")
+    assert lmscore.score(one, **options).first().n_words == len(spaced(one.first().text))
 
 
 def test_mixing(docs, no_docs):

@@ -1,8 +1,11 @@
 """Stupid-backoff scores of documents from n-gram count tables over the whole corpus.
 
 S(w after context) = c(context w) / c(context) if the n-gram occurs at least ``min_count`` times, else ALPHA * S(w after the
-context without its first word); of a single word S = c(w) / N. A text's first words have no n-gram of the full order and back
-off. A document's score is the mean of log S over its words. Counts are of all documents, the scored one included.
+context without its first word); of a single word S = c(w) / N, or ALPHA / N where c(w) = 0. A text's first words have no n-gram of the
+full order and back off. A document's score is the mean of log S over its words.
+
+All n-grams of all documents are counted. A document is scored by what the others say: its own occurrences are left out of
+c and N, since with them no n-gram would ever be unseen and a rare phrase would be scored by itself (``leave_out=False`` keeps them).
 
 It is one relational plan at every size: n-grams are exploded, met with count tables dealt by their hash, and summed by document.
 
@@ -133,7 +136,7 @@ def _grams(h: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray,
     return out
 
 
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, order: int = ORDER, min_count: int = 1, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA, order: int = ORDER, min_count: int = 1, leave_out: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, log_score (sum of log S), lm_score (its mean by word, null without words)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -145,7 +148,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
     # several buckets a partition, each of a bounded size
     buckets = max(8 * p, -(-int(sums["bytes"] or 0) // bucket_bytes))
     doc_type, arrow_type = docs.schema["doc"].dataType.simpleString(), to_arrow_type(docs.schema["doc"].dataType)
-    log_n, log_a = float(np.log(max(1, total))), float(np.log(alpha))
+    log_a = float(np.log(alpha))
 
     def kinds_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A pack's distinct n-grams of all orders in order, with their counts there."""
@@ -178,30 +181,36 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
             head, *answers = rows
             data, offsets = _texts(head["lengths"], head["texts"])
             keys, _ = kinds_of(data, offsets)
-            logs, often = np.empty(len(keys)), np.empty(len(keys), bool)
+            counts = np.empty(len(keys), np.int64)
             i = 0
             for r in answers:
                 n = _unplanes(r["counts"], np.int64)
-                logs[i : i + len(n)], often[i : i + len(n)] = np.log(n), n >= min_count
+                counts[i : i + len(n)] = n
                 i += len(n)
             n_words, sums = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1)
             for i, j, h, at in runs_of_words(data, offsets, SPACED):
+                n_words[i:j] = np.diff(at)
+                if not len(h):
+                    continue
+                doc = owner(at)
+                others = np.maximum(1, total - n_words[i:j]) if leave_out else np.full(j - i, total)
                 before, log_s = None, None
                 for ends, grams in _grams(h, at, order):
                     place = np.searchsorted(keys, grams)
-                    log_c = np.full(len(h), -np.inf)
-                    log_c[ends] = logs[place]
+                    n = counts[place]
+                    if leave_out and len(ends):
+                        _, back, own = np.unique(place * (j - i) + doc[ends], return_inverse=True, return_counts=True)
+                        n = n - own[back]
+                    c = np.zeros(len(h), np.int64)
+                    c[ends] = n
                     if log_s is None:
-                        log_s = log_c - log_n
+                        log_s = np.log(np.where(c > 0, c, alpha) / others[doc])
                     else:
-                        seen = np.zeros(len(h), bool)
-                        seen[ends] = often[place]
-                        at_seen = np.flatnonzero(seen)
+                        seen = np.flatnonzero(c >= max(1, min_count))
                         log_s = log_a + log_s
-                        log_s[at_seen] = log_c[at_seen] - before[at_seen - 1]
-                    before = log_c
-                n_words[i:j] = np.diff(at)
-                sums[i:j] = np.bincount(owner(at), log_s, minlength=j - i) if len(h) else 0.0
+                        log_s[seen] = np.log(c[seen] / before[seen - 1])
+                    before = c
+                sums[i:j] = np.bincount(doc, log_s, minlength=j - i)
             yield record(doc=pa.array(head["ids"], arrow_type), n_words=n_words, log_score=sums)
 
     bounded_batches(spark)

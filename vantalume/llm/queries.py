@@ -121,9 +121,12 @@ ORACLE_SQL = {
     "op10_lm": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         t AS (SELECT doc_id, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-        c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w), n AS (SELECT count(*) AS n FROM t),
-        s AS (SELECT doc_id, count(*) AS n_words, avg(ln(CASE WHEN c2.c IS NOT NULL THEN cast(c2.c AS DOUBLE) / cv.c ELSE 0.4e0 * c1.c / n.n END)) AS x
-              FROM t JOIN c1 ON t.w = c1.w LEFT JOIN c2 ON t.v = c2.v AND t.w = c2.w LEFT JOIN c1 cv ON t.v = cv.w CROSS JOIN n GROUP BY doc_id)
+        o1 AS (SELECT doc_id, w, count(*) AS o FROM t GROUP BY doc_id, w), c1 AS (SELECT w, sum(o) AS c FROM o1 GROUP BY w),
+        o2 AS (SELECT doc_id, v, w, count(*) AS o FROM t WHERE v IS NOT NULL GROUP BY doc_id, v, w), c2 AS (SELECT v, w, sum(o) AS c FROM o2 GROUP BY v, w),
+        n AS (SELECT count(*) AS n FROM t), l AS (SELECT doc_id, greatest(1, (SELECT n FROM n) - count(*)) AS others FROM t GROUP BY doc_id),
+        e1 AS (SELECT doc_id, w, c - o AS c FROM o1 JOIN c1 USING (w)), e2 AS (SELECT doc_id, v, w, c - o AS c FROM o2 JOIN c2 USING (v, w)),
+        s AS (SELECT t.doc_id, count(*) AS n_words, avg(ln(CASE WHEN e2.c >= 1 THEN cast(e2.c AS DOUBLE) / ev.c ELSE 0.4e0 * CASE WHEN e1.c > 0 THEN cast(e1.c AS DOUBLE) ELSE 0.4e0 END / others END)) AS x
+              FROM t JOIN l ON l.doc_id = t.doc_id JOIN e1 ON e1.doc_id = t.doc_id AND e1.w = t.w LEFT JOIN e2 ON e2.doc_id = t.doc_id AND e2.v = t.v AND e2.w = t.w LEFT JOIN e1 ev ON ev.doc_id = t.doc_id AND ev.w = t.v GROUP BY t.doc_id)
         SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(x, 6) AS lm_score FROM d LEFT JOIN s USING (doc_id)""",
     "mixing_targets": """
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
