@@ -82,7 +82,8 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None,
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
     base = _sorted(F.concat(_spans(t, ASSIGN, "assign", 6), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex")))
     # by NEEDS and ROLE, all links have an endpoint but that of a weak secret to an access identifier, strong or weak
-    may = t.contains("://") | t.rlike(WEAK["weaksecret"]) & (t.contains("AKIA") | t.rlike(WEAK["weakid"]))
+    # either identifier is a run of 20 capitals and digits, which prose lacks: it is looked for first
+    may = t.contains("://") | t.rlike("[A-Z0-9]{20}") & t.rlike(WEAK["weaksecret"]) & (t.contains("AKIA") | t.rlike(WEAK["weakid"]))
     plain = rows.where(~may).select(*(f"`{c}`" for c in keep), base.alias("base_spans")).select("*", F.col("base_spans").alias("spans"))
     # written out: it has few rows, and filters inferred from the explosion below mustn't search all texts again
     marked = rows.where(may).select(*(f"`{c}`" for c in keep), base.alias("base_spans"), F.concat(*(_spans(t, p, k) for k, p in WEAK.items())).alias("__weak"), F.sha2(t, 256).alias("__key"))
