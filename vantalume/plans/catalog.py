@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import annotate, images, index, jobs, masks, models, search
-from ..sources import frames, store
+from ..sources import config, frames, store
 from ..sources.paths import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,14 +265,14 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
 
 
-def _pictures(spark: SparkSession, folder: str, n: int = 8) -> None:
-    """Image files of 8 x 8: i.png has i bright columns."""
+def _pictures(spark: SparkSession, folder: str, n: int = 8, level: int = 40) -> None:
+    """Image files of 8 x 8: i.png has i bright columns; files that exist stay as they are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             pixels = []
             for i in b["id"]:
-                image = np.full((8, 8, 3), 40, np.uint8)
+                image = np.full((8, 8, 3), level, np.uint8)
                 image[:, :i] = (200, 210, 220)
                 pixels.append(image.tobytes())
             yield pd.DataFrame({"id": b["id"].astype(str), "file": b["id"].astype(str) + ".png", "size": 8, "pixels": pixels, "ts": 0.0})
@@ -281,9 +283,10 @@ def _pictures(spark: SparkSession, folder: str, n: int = 8) -> None:
 
 @_query("SELECT i || '.png' AS name, 8 AS height, 8 AS width, CASE WHEN i > 0 THEN 220 ELSE 40 END AS blue FROM (SELECT unnest(range(0, 8)) AS i)")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crops written as PNG files, listed in order and read back."""
+    """Crops written as PNG files, listed in order and read back. Writing them again changes nothing."""
     folder = _folder(spark)
     _pictures(spark, folder)
+    _pictures(spark, folder, level=7)
     listed = frames.listing(spark, folder).join(frames.read_images(spark, folder), "path")
     return listed.select(F.substring_index("path", "/", -1).alias("name"), "image.height", "image.width", F.conv(F.hex(F.substring("image.data", 1, 1)), 16, 10).cast("int").alias("blue"))
 
@@ -316,6 +319,138 @@ def search_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.results.select("id", F.round("similarity_score", 6).alias("similarity_score"), F.round("detection_score", 6).alias("detection_score"), "retrieval_rank")
 
 
+@_query(f"""WITH {_Q} SELECT cast(vec_id AS VARCHAR) AS id, vec_id % 8 || '.png' AS name, round(1e0 - list_distance(e, q) ** 2 / 2, 6) AS similarity_score, cast(row_number() OVER (ORDER BY list_distance(e, q) ** 2, cast(vec_id AS VARCHAR)) AS INTEGER) AS retrieval_rank,
+    true AS undetected FROM v, q ORDER BY list_distance(e, q) ** 2, cast(vec_id AS VARCHAR) LIMIT 20""")
+def search_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's first two steps; what later steps would fill in stays empty."""
+    df, s = _vectors(spark, sf_dir), store.Store(spark, _folder(spark), buckets=4)
+    path = F.concat((F.col("id") % 8).cast("string"), F.lit(".png"))
+    s.append("all", df.select(F.col("id").cast("string").alias("id"), F.lit("all").alias("collection_id"), "vector", path.alias("path"), F.lit(0.0).alias("timestamp")))
+    state = (search.EmbedQuery(_Probe(_probe(df))) | search.Retrieve(s)).invoke(search.SearchState("cup", "all"))
+    undetected = F.lit(state.detected is None and state.results is None)
+    return state.retrieved.select("id", F.col("path").alias("name"), F.round("similarity_score", 6).alias("similarity_score"), "retrieval_rank", undetected.alias("undetected"))
+
+
+@_query("SELECT p_partkey, 64 AS dim, 1e0 AS norm, 1e0 AS reordered, p_name = p_type AS same FROM part")
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through an encoder that each worker makes once: unit vectors, the same for the same words in any order."""
+    encoder = models.Loaded(models.HashEncoder, embedding_dim=64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lambda t: encoder.invoke(t)["embedding"].astype(float)
+        for b in batches:
+            rows = []
+            for k, name, kind in zip(b["p_partkey"], b["p_name"], b["p_type"], strict=True):
+                u, v, w = of(name), of(" ".join(reversed(name.split()))), of(kind)
+                rows.append((k, len(u), round(float(np.linalg.norm(u)), 6), round(float(u @ v), 6), bool(u @ w > 0.999999)))
+            yield pd.DataFrame(rows, columns=["p_partkey", "dim", "norm", "reordered", "same"])
+
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type").mapInPandas(run, "p_partkey bigint, dim int, norm double, reordered double, same boolean")
+
+
+@_query("SELECT p_partkey, p_partkey % 256 AS level, 768 AS n_bytes, 1 AS n_levels, 128 AS canvas FROM part")
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey images of 5 x 9 to three channels and to squares of 16, beside an empty canvas."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        empty = images.ObjectExtractor(None, background="gray").canvas(4, 4)
+        for b in batches:
+            out = [images.lanczos(images.to_rgb({"height": 5, "width": 9, "nChannels": 1, "data": bytes([k % 256]) * 45}), 16) for k in b["p_partkey"]]
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "level": [int(x[0, 0, 0]) for x in out], "n_bytes": [x.nbytes for x in out], "n_levels": [len(np.unique(x)) for x in out], "canvas": int(empty.mean())})
+
+    return _t(spark, sf_dir, "part").select("p_partkey").mapInPandas(run, "p_partkey bigint, level bigint, n_bytes int, n_levels int, canvas int")
+
+
+@_query("SELECT p_partkey, p_partkey % 8 AS colour, 64 AS edge, 35 AS inside FROM part")
+def boxes_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of two pixels' width, their corners cut to whole numbers, in the palette's order."""
+    colours = [list(c) for c in tx.PALETTE]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k in b["p_partkey"]:
+                blank = np.full((32, 32, 3), 41, np.uint8)
+                # boxes outside the image come first, so that the palette has moved on
+                drawn = annotate.outlined(blank, [[99, 99, 99, 99]] * (k % 8) + [[k % 10 + 0.9, k % 7 + 0.2, k % 10 + 10.5, k % 7 + 8.7]], 2)
+                edge = (drawn != blank).any(2)
+                ys, xs = np.nonzero(edge)
+                inner = (drawn[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] == 41).all(2)
+                rows.append((k, colours.index(drawn[edge][0].tolist()), int(edge.sum()), int(inner.sum())))
+            yield pd.DataFrame(rows, columns=["p_partkey", "colour", "edge", "inside"])
+
+    return _t(spark, sf_dir, "part").select("p_partkey").mapInPandas(run, "p_partkey bigint, colour bigint, edge int, inside int")
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 2 END AS n_fields, cast(event_id AS VARCHAR) AS first, 'f' || event_id AS last FROM events WHERE event_id % 5 <> 0")
+def frame_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older frame list: all fields of a line, which white space parts."""
+    i = F.col("event_id")
+    line = F.concat(F.when(i % 5 == 0, F.lit("#")).otherwise(F.lit(" \t")), i.cast("string"), F.when(i % 3 == 0, F.lit("  x\t")).otherwise(F.lit(" ")), F.lit("f"), i.cast("string"), F.lit("  "))
+    parsed = frames.parse_fields(_t(spark, sf_dir, "events").select(line.alias("value")))
+    return parsed.select(F.col("fields")[0].cast("bigint").alias("event_id"), F.size("fields").alias("n_fields"), F.col("fields")[0].alias("first"), F.element_at("fields", -1).alias("last"))
+
+
+@_query("SELECT i || '.png' AS name, 1 AS n, true AS by_path FROM (SELECT unnest(range(0, 8)) AS i)")
+def streamed_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that arrive in a folder are upserted; a second run over the grown folder takes what is new."""
+    from ..streaming.ingest import ingest
+
+    folder = _folder(spark)
+    ix = index.Indexer(spark, _Probe(), f"{folder}/db")
+    for n in (4, 8):
+        _pictures(spark, f"{folder}/images", n)
+        ingest(ix, f"{folder}/images", "live", f"{folder}/checkpoint").awaitTermination()
+    rows = ix.store.open("live").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n"), F.first("id").alias("id"))
+    return rows.select(F.substring_index("path", "/", -1).alias("name"), "n", (F.col("id") == tx.path_id("live", F.col("path"))).alias("by_path"))
+
+
+@_query("""SELECT * FROM (VALUES ('background', 'ValueError', 'unknown background'), ('conflict', 'ValueError', '1 ids already exist'), ('dimension', 'SparkRuntimeException', 'expected vectors of length 3'), ('duplicate ids', 'ValueError', 'duplicate ids in one call'),
+    ('element type', 'TypeError', 'image 1 must be'), ('id count', 'ValueError', '1 ids for 2'), ('missing keys', 'KeyError', 'indexing'), ('negative k', 'ValueError', 'k is negative'), ('no collection', 'ValueError', 'no collection'), ('no detections', 'ValueError', 'no detected rows'),
+    ('no query', 'ValueError', 'the state has no query'), ('no retrieval', 'ValueError', 'no retrieved rows'), ('timestamp count', 'ValueError', '1 timestamps for 2')) t(rule, kind, message)""")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine refuses: the error's kind, and the part of its message that names the reason."""
+    folder = _folder(spark)
+    s, ix = store.Store(spark, folder, buckets=1), index.Indexer(spark, _Probe(), folder)
+    ix.insert([b"x"], "c", ids=["a"])
+    s.write_text("empty.yaml", "models: {}\n")
+    blank = search.SearchState("", "c")
+    calls = {
+        "background": (lambda: config.CropSettings(background="plaid"), "unknown background"),
+        "conflict": (lambda: ix.insert([b"y"], "c", ids=["a"]), "1 ids already exist"),
+        "dimension": (lambda: store.check_dim(s.open("c"), 3).collect(), "expected vectors of length 3"),
+        "duplicate ids": (lambda: index.records(spark, [b"x", b"y"], "c", ids=["a", "a"]), "duplicate ids in one call"),
+        "element type": (lambda: index.records(spark, [b"x", 5], "c"), "image 1 must be"),
+        "id count": (lambda: index.records(spark, [b"x", b"y"], "c", ids=["a"]), "1 ids for 2"),
+        "missing keys": (lambda: config.IndexSettings.of(yaml.safe_load(s.read_text("empty.yaml"))), "indexing"),
+        "negative k": (lambda: search.knn(s.open("c"), [1.0], -1), "k is negative"),
+        "no collection": (lambda: s.open("none"), "no collection"),
+        "no detections": (lambda: search.Rerank().invoke(blank), "no detected rows"),
+        "no query": (lambda: search.EmbedQuery(_Probe([1.0])).invoke(blank), "the state has no query"),
+        "no retrieval": (lambda: search.Detect(models.RegionDetector(), spark).invoke(blank), "no retrieved rows"),
+        "timestamp count": (lambda: index.records(spark, [b"x", b"y"], "c", timestamps=[1.0]), "1 timestamps for 2"),
+    }
+    rows = []
+    for rule, (call, message) in calls.items():
+        try:
+            call()
+        except Exception as e:
+            rows.append((rule, type(e).__name__, message if message in str(e) else str(e)[:200]))
+    return spark.createDataFrame(rows, "rule string, kind string, message string")
+
+
+@_query("SELECT * FROM (VALUES ('batch_size', '16'), ('db_path', 'here'), ('embedding_dim', '8'), ('margin', '0.25'), ('output_size', '96'), ('background', 'black'), ('text_threshold', '0.25'), ('threshold', '0.35')) t(name, value)")
+def settings_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One YAML file for models, indexing and preprocessing, read by the driver."""
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as f:
+        f.write("models:\n  encoder: {embedding_dim: 8}\n  detector: {box_threshold: 0.35, text_threshold: 0.25}\nindexing: {db_path: here, batch_size: 16}\npreprocess: {background: black, margin: '0.25', output_size: '96'}\n")
+        f.flush()
+        ix, crop, found = config.IndexSettings.load(f.name), config.CropSettings.load(f.name), models.RegionDetector.from_config(f.name)
+        dim = models.Loaded.from_config(models.HashEncoder, f.name).embedding_dim
+    rows = {"embedding_dim": dim, "threshold": found.threshold, "text_threshold": found.text_threshold, "db_path": ix.db_path, "batch_size": ix.batch_size, "background": crop.background, "margin": crop.margin, "output_size": crop.output_size}
+    return spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "name string, value string")
+
+
 def _contents(docs: DataFrame, mark: str) -> DataFrame:
     """Documents as images to index: their text's bytes, under an id of their own."""
     return docs.select(F.col("doc_id").alias("pos"), F.concat(F.coalesce("text", F.lit("")), F.lit(mark)).cast("binary").alias("content"), F.col("doc_id").cast("double").alias("ts"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"))
@@ -333,7 +468,8 @@ def indexer_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""SELECT 'label-' || label AS job_id, 'c' || label AS collection_id, CASE WHEN label % 3 = 0 THEN 'running' WHEN label % 3 = 1 THEN 'done' ELSE 'failed' END AS state, count(*) AS total,
-    CASE WHEN label % 3 = 2 THEN count(*) // 2 ELSE count(*) END AS processed, CASE WHEN label % 3 = 2 THEN 'no power' END AS error FROM embeddings GROUP BY label""")
+    CASE WHEN label % 3 = 2 THEN count(*) // 2 ELSE count(*) END AS processed, CASE WHEN label % 3 = 2 THEN 'no power' END AS error,
+    format('JobStatus(job_id=''label-{}'', collection_id=''c{}'', state=''{}'', processed={}/{})', label, label, CASE WHEN label % 3 = 0 THEN 'running' WHEN label % 3 = 1 THEN 'done' ELSE 'failed' END, CASE WHEN label % 3 = 2 THEN count(*) // 2 ELSE count(*) END, count(*)) AS shown FROM embeddings GROUP BY label""")
 def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job for each label, reported in two steps, and read back from the store's events."""
     kept = jobs.Jobs(store.Store(spark, _folder(spark)))
@@ -346,7 +482,8 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         job.advance(r["count"] - r["count"] // 2)
         if r["label"] % 3 == 1:
             job.finish()
-    return kept.table().select("job_id", "collection_id", "state", "total", "processed", "error")
+    shown = spark.createDataFrame([(j.job_id, repr(j)) for j in kept.list_all()], "job_id string, shown string")
+    return kept.table().select("job_id", "collection_id", "state", "total", "processed", "error").join(shown, "job_id")
 
 
 @_query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")

@@ -26,7 +26,11 @@ class IndexSettings:
 
     @classmethod
     def load(cls, path: str | Path) -> IndexSettings:
-        section = load(path)["indexing"]
+        return cls.of(load(path))
+
+    @classmethod
+    def of(cls, settings: dict) -> IndexSettings:
+        section = settings["indexing"]
         return cls(section["db_path"], section.get("batch_size"))
 
 
