@@ -110,3 +110,25 @@ def test_secrets_query(spark, sf_dir):
         base = [x for *_, x in sorted(base)]
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert set(base) <= set(r.spans.split(",")) | {""} and r.n_assign + r.n_access + r.n_hex == len(base)
+
+
+@pytest.fixture(scope="module")
+def larger():
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("the driver's tables aren't here")
+    return path
+
+
+def test_held_out_toxicity(spark, larger):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = [(r.score, r.predicted, labels[r.doc_id]) for r in QUERIES["op2_toxicity"](spark, larger).where("held_out").collect() if r.doc_id in labels]
+    toxic, clean = ([s for s, _, y in rows if y == k] for k in (1, 0))
+    above = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / len(toxic) / len(clean)
+    assert above >= 0.93 and sum(p == y for _, p, y in rows) >= 0.97 * len(rows) and sum(p > y for _, p, y in rows) <= 0.01 * len(rows)
+
+
+def test_held_out_language(spark, larger):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [(r.lang_pred, r.rejected, langs[r.doc_id]) for r in QUERIES["op6_langid"](spark, larger).where("held_out").collect() if langs[r.doc_id] is not None]
+    assert sum(a == b for a, _, b in rows) >= 0.995 * len(rows) and sum(x for _, x, _ in rows) <= 0.001 * len(rows)
