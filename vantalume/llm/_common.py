@@ -98,11 +98,6 @@ def masked(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
     return joined.withColumn("__maybe", F.getbit(F.coalesce("__word", F.lit(0).cast("bigint")), (at % 64).cast("int")) == 1).drop("__at", "__word")
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """A column by its exact name, also where names hold dots."""
-    return df[f"`{name}`"]
-
-
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32(doc_id as text) mod divisor; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mix64, partitions, record, salted_join, scratch, settle, window_hash
+from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mask, masked, mix64, partitions, record, salted_join, scratch, settle, window_hash
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,7 +35,6 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 FLOOR = 0.55
-BITS = 1 << 23
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
@@ -181,25 +180,19 @@ class Sketches:
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(rid, elements) of the classes in nodes, made again from one text of each.
 
-        A bit table of fixed size, whatever the number of nodes, tells most texts that aren't asked for.
+        A bit table of bounded size, whatever the number of nodes, tells most texts that aren't asked for before they leave the JVM.
         """
         k = self.shingle
-        wanted = nodes.select("rid").distinct().join(self.classes.select("rid", "doc", "h1", "h2"), "rid")
-        bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-        words = wanted.select(bit(F.col("doc")).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("word")).toArrow()
-        table = np.zeros(BITS // 64, U64)
-        table[words.column("at").to_numpy()] = words.column("word").to_numpy().astype(np.int64).view(U64)
-        shared = nodes.sparkSession.sparkContext.broadcast(table)
+        wanted = settle(nodes.select("rid").distinct().join(self.classes.select("rid", "doc", "h1", "h2"), "rid"), "wanted")
+        asked = masked(self.docs.select("doc", "text"), "doc", settle(mask(wanted, "doc"), "mask")).where("__maybe").select("text")
 
         def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            bits = b.column(0).to_numpy().astype(U64)
-            asked = (shared.value[bits >> U64(6)] >> (bits & U64(63))) & U64(1)
-            for i, j, h, at in hashed(b.column(1).filter(pa.array(asked.astype(bool))), SPACED):
+            for i, j, h, at in hashed(b.column(0), SPACED):
                 elements, offsets = shingle_sets(h, at, k)
                 h1, h2 = set_keys(elements, offsets)
                 yield record(h1=h1, h2=h2, elements=pa.array([elements[offsets[d] : offsets[d + 1]].tobytes() for d in range(j - i)], pa.binary()))
 
-        made = arrow_map(self.docs.select(bit(F.col("doc")).alias("bit"), "text"), rows, "h1 bigint, h2 bigint, elements binary")
+        made = arrow_map(asked, rows, "h1 bigint, h2 bigint, elements binary")
         return settle(made.join(wanted.select("rid", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rid"]).select("rid", "elements"), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
