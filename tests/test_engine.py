@@ -263,6 +263,13 @@ def test_rerank_and_max_score(spark):
     assert [r[0] for r in lists.select(search.max_score(F.col("s"))).collect()] == [0.4, 0.9, 0.0, 0.0]
     with pytest.raises(ValueError):
         search.knn(df, [1.0], -1)
+    gaps = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0])], "id int, vector array<double>")
+    assert [r.id for r in search.knn(gaps.where("id < 4"), [0.0, 1.0], 3).collect()] == [3, 2, 1]
+    probes = spark.createDataFrame([(7, [0.0, 1.0]), (8, None), (9, [1.0, 0.0])], "query_id int, query array<double>")
+    for metric in ("l2", "cosine", "dot"):
+        got = search.knn_batch(gaps, probes, 5, metric).collect()
+        assert sorted((r.query_id, r.id, r["rank"]) for r in got) == [(7, 2, 2), (7, 3, 1), (9, 2, 1), (9, 3, 2)]
+    assert search.knn_batch(gaps, probes, 0).count() == search.knn_batch(gaps.limit(0), probes, 2).count() == search.knn_batch(gaps, probes.limit(0), 2).count() == 0
 
 
 def test_models():

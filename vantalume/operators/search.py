@@ -31,10 +31,10 @@ MOST_HELD = 10_000
 
 
 def knn(df: DataFrame, query: Sequence[float] | Column, k: int, metric: str = "l2", *, vector: str = "vector", ident: str = "id") -> DataFrame:
-    """The k nearest rows with ``distance``; ties go to the lesser id. Each task keeps k rows, the driver merges those: no shuffle."""
+    """The k nearest rows with ``distance``; ties go to the lesser id, rows without a vector come last. Each task keeps k rows, the driver merges those: no shuffle."""
     if k < 0:
         raise ValueError("k is negative")
-    return df.withColumn("distance", vec.METRICS[metric](F.col(vector), vec.vector(query))).orderBy("distance", ident).limit(k)
+    return df.withColumn("distance", vec.METRICS[metric](F.col(vector), vec.vector(query))).orderBy(F.asc_nulls_last("distance"), ident).limit(k)
 
 
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = "l2", *, vector: str = "vector", ident: str = "id", query_id: str = "query_id", query: str = "query") -> DataFrame:
