@@ -106,7 +106,7 @@ def test_near_duplicates_of_a_chain(spark):
 
 def test_near_duplicates_of_a_star(spark, monkeypatch):
     """A hub with thousands of near copies of its own: hot buckets, stars and components are dealt over tasks, and nothing is lost."""
-    monkeypatch.setattr(_common.hot_keys, "__kwdefaults__", {"least": 50})
+    monkeypatch.setattr(_common, "HOT_ROWS", 50)
     base = [f"w{k}" for k in range(120)]
     rows = [(i, " ".join([*base[: 40 + i % 70], f"x{i}", *base[41 + i % 70 :]])) for i in range(1500)] + [(2000 + i, f"alone {i} b c d e {i}") for i in range(300)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
@@ -423,7 +423,7 @@ def test_warc(spark):
 def test_warc_of_text_ids(spark, monkeypatch, bits):
     """Empty and null ids differ; a payload that most rows share is dealt over tasks; a full bit table loses nothing; other columns may clash."""
     monkeypatch.setattr(_common, "MASK_BITS", bits)
-    monkeypatch.setattr(_common.hot_keys, "__kwdefaults__", {"least": 20})
+    monkeypatch.setattr(_common, "HOT_ROWS", 20)
     rows = [(f"p{i:03d}", None, "hot " * 40) for i in range(300)] + [(f"q{i}", "http://c/%20 é", f"one {i} " * (i % 40)) for i in range(200)]
     rows += [("", "http://e", "x" * 100), (None, "http://e", "x" * 100), ("z", "http://e", "x" * 100), (None, "u", "only null " * 20), (None, "u", "only null " * 20), (" a/b?", "u", None)]
     df = spark.createDataFrame([(*r, "clash", "clash", 1, 2) for r in rows], "page_id string, url string, html string, digest string, payload string, length int, first int").repartition(5)

@@ -55,15 +55,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(many: DataFrame, *key: str, least: int = 1000) -> DataFrame | None:
+#: A key of fewer rows is never hot.
+HOT_ROWS = 1000
+
+
+def hot_keys(many: DataFrame, *key: str, counts: DataFrame | None = None) -> DataFrame | None:
     """(key, __salts): the keys that hold more than twice a task's mean share of a settled table's rows, and how many tasks to deal each to.
 
-    There are fewer of them than half the partitions, whatever the table's size; None without any.
+    There are fewer of them than half the partitions, whatever the table's size; None without any. Where the keys are counted already,
+    counts (key, n) saves a pass over the table.
     """
     spark = many.sparkSession
-    edge = max(least, 2 * many.count() // partitions(spark))
-    counts = many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > edge) & F.col(key[0]).isNotNull())
-    found = [(*(r[k] for k in key), -(-r["n"] // edge)) for r in counts.collect()]
+    total = many.count() if counts is None else counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= HOT_ROWS:
+        return None
+    edge = max(HOT_ROWS, 2 * total // partitions(spark))
+    counts = many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts.select(*key, "n")
+    found = [(*(r[k] for k in key), -(-r["n"] // edge)) for r in counts.where((F.col("n") > edge) & F.col(key[0]).isNotNull()).collect()]
     return spark.createDataFrame(found, ", ".join([*(f"`{k}` {many.schema[k].dataType.simpleString()}" for k in key), "__salts int"])) if found else None
 
 

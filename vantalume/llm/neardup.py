@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, mask, masked, mix64, partitions, record, salted_join, scratch, settle, window_hash
+from ._common import SPACED, U64, append_map, arrow_map, bounded_batches, cleared, hashed, hot_keys, mask, masked, mix64, partitions, record, salted_join, scratch, settle, window_hash
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -222,12 +222,12 @@ class Sketches:
         bounded_batches(pairs.sparkSession)
         return settle(wide.mapInArrow(run, "a bigint, b bigint"), "links")
 
-    def crossing(self, shared: DataFrame, label: DataFrame) -> DataFrame:
-        """The rows (key, rid, comp) of buckets that hold more than one component."""
+    def crossing(self, shared: DataFrame, label: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """The rows (key, rid, comp) of buckets that hold more than one component; hot are the hot_keys() of all buckets."""
         marked = shared.join(label.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
         marked = settle(marked, "marked")
         mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return settle(salted_join(marked, mixed, "key", "rid"), "mixed")
+        return settle(salted_join(marked, mixed, "key", "rid", hot=hot), "mixed")
 
     def blockwise(self, mixed: DataFrame, block: int = 256) -> DataFrame:
         """Confirmed links between a bucket's smaller components and all its other components.
@@ -294,20 +294,25 @@ class Sketches:
     def labels(self) -> DataFrame:
         """(node, root) of every class that is linked with another."""
         bands = settle(self.buckets(), "bands")
-        lead = bands.groupBy("key").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-        shared = settle(salted_join(bands, lead, "key", "rid"), "buckets")
+        sizes = settle(bands.groupBy("key").agg(F.min("rid").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        hot = hot_keys(bands, "key", counts=sizes)
+        shared = settle(salted_join(bands, sizes.select("key", "b"), "key", "rid", hot=hot), "buckets")
         star = settle(shared.where("rid <> b").select(F.col("rid").alias("a"), "b").distinct(), "star")
         links = self.confirmed(self.estimated(star))
         label = components(links)
-        mixed = self.crossing(shared.select("key", "rid"), label)
+        mixed = self.crossing(shared.select("key", "rid"), label, hot)
+        if mixed.isEmpty():
+            return label
         second = mixed.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64("rid", "key")).alias("lead"))
         star = salted_join(mixed, second, "key", "rid").where("comp <> lead.comp").select(F.greatest("rid", "lead.rid").alias("a"), F.least("rid", "lead.rid").alias("b")).distinct()
         star = settle(star, "star")
-        links = links.union(self.confirmed(self.estimated(star)))
-        label = components(links)
-        mixed = self.crossing(mixed.select("key", "rid"), label)
-        links = links.union(self.blockwise(mixed))
-        return components(links)
+        more = self.confirmed(self.estimated(star))
+        if not more.isEmpty():
+            links = links.union(more)
+            label = components(links)
+            mixed = self.crossing(mixed.select("key", "rid"), label, hot)
+        more = self.blockwise(mixed)
+        return label if more.isEmpty() else components(links.union(more))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float, floor: float) -> DataFrame:
