@@ -144,6 +144,13 @@ def test_registers_merge_and_estimate():
     j = len({*u.tolist()} & {*v.tolist()}) / len({*u.tolist()} | {*v.tolist()})
     got = neardup.likeliest(np.array([float(len(u))]), np.array([float(len(v))]), np.array([(ku > kv).sum()]), np.array([(ku < kv).sum()]))[0]
     assert abs(got - j) < 0.15
+    # the slope at the floor tells on which side of it the likelihood peaks
+    sketches = np.stack([neardup.registers(np.unique(np.concatenate([a[:k], b[: 900 - k]])), np.array([0, len(np.unique(np.concatenate([a[:k], b[: 900 - k]])))]))[0] for k in range(300, 900, 20)])
+    n = np.full(len(sketches) - 1, 900)
+    x, y = sketches[:-1], np.broadcast_to(sketches[-1], (len(sketches) - 1, neardup.M))
+    peak = neardup.likeliest(n.astype(float), n.astype(float), (x > y).sum(1), (x < y).sum(1))
+    told = neardup._promising(n, n, x, y, 0.8, 0.55)
+    assert (told == (peak >= 0.55))[np.abs(peak - 0.55) > 0.011].all() and 0 < told.sum() < len(told)
 
 
 @pytest.mark.parametrize(("order", "min_count", "leave_out", "bucket_bytes"), [(2, 1, True, 1 << 23), (2, 2, False, 1 << 23), (3, 1, False, 500), (3, 2, True, 500), (1, 1, True, 1 << 23)])

@@ -71,16 +71,19 @@ def registers(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, Q + 1).astype(np.uint16)
 
 
-def likeliest(nu: np.ndarray, nv: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
-    """The J of the greatest joint likelihood, given set sizes and how many registers of u are above, below those of v."""
-    total = nu + nv
-    u, v = (nu / total)[:, None], (nv / total)[:, None]
-    grid = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
+def _log_likelihood(u: np.ndarray, v: np.ndarray, more: np.ndarray, less: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of J = j, given the sets' shares u and v of both sizes and how many registers of u are above, below those of v. It is concave in j."""
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    up, down = p(u - v * grid), p(v - u * grid)
+    up, down = p(u - v * j), p(v - u * j)
     log = lambda x: np.log(np.maximum(x, 1e-12))
-    ll = more[:, None] * log(up) + less[:, None] * log(down) + (M - more - less)[:, None] * log(1 - up - down)
-    return grid[np.arange(len(nu)), ll.argmax(1)]
+    return more * log(up) + less * log(down) + (M - more - less) * log(1 - up - down)
+
+
+def likeliest(nu: np.ndarray, nv: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """The J of the greatest joint likelihood, given set sizes and register comparisons."""
+    u, v = ((x / (nu + nv))[:, None] for x in (nu, nv))
+    grid = np.linspace(0, 1, 101)[None, :] * np.minimum(u / v, v / u)
+    return grid[np.arange(len(nu)), _log_likelihood(u, v, more[:, None], less[:, None], grid).argmax(1)]
 
 
 def _matrix(sketches: pa.Array) -> np.ndarray:
@@ -93,7 +96,10 @@ def _promising(nu: np.ndarray, nv: np.ndarray, a: np.ndarray, b: np.ndarray, sim
     out = np.zeros(len(nu), bool)
     at = np.flatnonzero(ok & ((a == b).sum(1) >= (floor - 0.1) * M))
     if len(at):
-        out[at] = likeliest(nu[at].astype(float), nv[at].astype(float), (a[at] > b[at]).sum(1), (a[at] < b[at]).sum(1)) >= floor
+        x, y, total = a[at], b[at], (nu[at] + nv[at]).astype(float)
+        args = nu[at] / total, nv[at] / total, (x > y).sum(1), (x < y).sum(1)
+        # a concave function still rises where its peak lies beyond
+        out[at] = _log_likelihood(*args, floor + 1e-4) >= _log_likelihood(*args, floor - 1e-4)
     return out
 
 
@@ -273,15 +279,21 @@ class Sketches:
 
         def confirm(t: pa.Table) -> list[pa.RecordBatch]:
             rid, comp = t.column("rid").to_numpy(), t.column("comp").to_numpy()
-            sets = [np.frombuffer(x, U64) for x in t.column("elements").to_pylist()]
+            lengths = np.array([len(x) // 8 for x in t.column("elements").to_pylist()])
+            flat = np.frombuffer(b"".join(t.column("elements").to_pylist()), U64)
+            starts = np.cumsum(lengths) - lengths
             a, b = [], []
             for s, at in promising(t):
-                met: set[int] = set()
-                for m in at.tolist():
-                    if comp[m] not in met and _linked(sets[s], sets[m], percent):
-                        met.add(comp[m])  # one link joins the components
-                        a.append(rid[s])
-                        b.append(rid[m])
+                # one look-up of all the partners' elements in the stray's set
+                own = flat[starts[s] : starts[s] + lengths[s]]
+                where = np.repeat(starts[at] - np.cumsum(lengths[at]) + lengths[at], lengths[at]) + np.arange(lengths[at].sum())
+                x = flat[where]
+                hit = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+                both = np.add.reduceat(hit, np.cumsum(lengths[at]) - lengths[at], dtype=np.int64)
+                found = at[100 * both >= percent * (lengths[s] + lengths[at] - both)]
+                found = found[np.unique(comp[found], return_index=True)[1]]  # one link joins the components
+                a += rid[np.repeat(s, len(found))].tolist()
+                b += rid[found].tolist()
             return [record(a=np.array(a, np.int64), b=np.array(b, np.int64))]
 
         bounded_batches(mixed.sparkSession)
