@@ -199,7 +199,7 @@ class Sketches:
                 yield record(h1=h1, h2=h2, elements=pa.array([elements[offsets[d] : offsets[d + 1]].tobytes() for d in range(j - i)], pa.binary()))
 
         made = arrow_map(asked, rows, "h1 bigint, h2 bigint, elements binary")
-        return settle(made.join(wanted.select("rid", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["rid"]).select("rid", "elements"), "sets")
+        return settle(made.join(wanted.select("rid", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("rid", "elements"), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) with 100 * intersection >= percent * union. b's set travels once for up to 1,000 a's."""
