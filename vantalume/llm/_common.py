@@ -44,7 +44,7 @@ def settle(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches to Python are bounded by bytes, not by rows alone: very long texts don't add up. A session that has a bound keeps it."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
