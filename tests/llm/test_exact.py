@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -113,6 +114,45 @@ def test_near_duplicates_of_a_star(spark, monkeypatch):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i in range(1500)] + [(2000 + i, 2000 + i) for i in range(300)]
 
 
+def test_near_duplicates_in_few_jobs(spark, monkeypatch):
+    """Jobs cost time by their number where tasks are many: links too few for rounds over the cluster, and buckets too small for a second star, go without."""
+    r = np.random.default_rng(8)
+    words = [[f"w{i}x{k}" for k in range(100)] for i in range(40)]
+    texts = [[f"y{r.integers(1000)}" if r.random() < share else w for w in words[i % 40]] for i in range(240) for share in [0.01 * (i // 40)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + i, " ".join(f"w{k}" for k in range(5 * i, 5 * i + 64))) for i in range(60)], "doc_id long, text string")
+
+    def found(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            rows = sorted(map(tuple, neardup.near_duplicates(df, shingle=4).collect()))
+            return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    got, jobs = found("few")
+    assert jobs < 120
+    f = Forest()
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in df.collect() for w in [t.split()]}
+    for i, j in itertools.combinations(sets, 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            f.join(i, j)
+    assert got == [(i, len(sets[i]), f.find(i), i == f.find(i)) for i in sorted(sets)]
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(neardup, "DIRECT", 0)
+    monkeypatch.setattr(neardup, "STAR", 2)
+    again, rounds = found("rounds")
+    assert again == got and rounds > jobs
+
+
+def test_few_and_many_edges(spark, monkeypatch):
+    """Components are the same in one process as in rounds over the cluster."""
+    r = np.random.default_rng(6)
+    edges = spark.createDataFrame([tuple(x) for x in r.integers(-300, 300, (260, 2)).tolist()] + [(None, 3), (4, None), (900, 900), (2**62, -(2**62))], "a long, b long")
+    few = sorted(map(tuple, components.components(edges).collect()))
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    assert few == sorted(map(tuple, components.components(edges).collect())) and len({x[1] for x in few}) > 20
+
+
 def test_salted_join(spark):
     many = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.lit(7)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id")).cast("int").alias("k"), "id").cache()
     few = spark.range(0, 3000, 7).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))

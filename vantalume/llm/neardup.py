@@ -10,7 +10,7 @@ pairs. Candidates are then star-shaped: each member of a bucket against the buck
 linear in the rows. Pairs whose likelihood, given register comparisons and both set sizes, peaks below ``floor`` are
 dropped (eight standard deviations under 0.8: a link is lost there with probability 1e-12), and the rest are confirmed on the
 full sets. The rows of a bucket, a star or a component that holds a great part of all rows are dealt over many tasks. Links make components;
-a second star and then a blockwise pass compare what still shares a bucket across components: every member of a bucket's
+a blockwise pass, after a second star where pairs are many, compares what still shares a bucket across components: every member of a bucket's
 smaller components against all members of other components, in blocks of bounded size. No bucket is cut or sampled.
 
 Defined cases: null and wordless texts have the empty set and are linked with nothing; fewer words than a shingle
@@ -35,6 +35,10 @@ BANDS, ROWS = 32, 5
 M = BANDS * ROWS
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 FLOOR = 0.55
+#: Up to so many pairs a class are compared blockwise at once; where there are more, a second star is to link some before.
+DIRECT = 256
+#: Members of a star that meet a copy of their leader's set.
+STAR = 250
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
@@ -190,7 +194,7 @@ class Sketches:
         """
         k = self.shingle
         wanted = settle(nodes.select("rid").distinct().join(self.classes.select("rid", "doc", "h1", "h2"), "rid"), "wanted")
-        asked = masked(self.docs.select("doc", "text"), "doc", settle(mask(wanted, "doc"), "mask")).where("__maybe").select("text")
+        asked = masked(self.docs.select("doc", "text"), "doc", mask(wanted, "doc")).where("__maybe").select("text")
 
         def rows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for i, j, h, at in hashed(b.column(0), SPACED):
@@ -202,10 +206,10 @@ class Sketches:
         return settle(made.join(wanted.select("rid", "h1", "h2"), ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("rid", "elements"), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) with 100 * intersection >= percent * union. b's set travels once for up to 1,000 a's."""
+        """The pairs (a, b) with 100 * intersection >= percent * union. b's set travels once for about STAR a's."""
         percent = self.percent
         sets = self.sets(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))))
-        salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 1000).cast("int").alias("salts"))
+        salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
         member = salted_join(pairs, salts, "b", "a").select(F.col("a").alias("rid"), "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
         leader = salts.select(F.col("b").alias("rid"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
         wide = member.union(leader).join(sets, "rid").select("b", "salt", "kind", F.col("rid").alias("a"), "elements")
@@ -235,15 +239,18 @@ class Sketches:
         mixed = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         return settle(salted_join(marked, mixed, "key", "rid", hot=hot), "mixed")
 
-    def blockwise(self, mixed: DataFrame, block: int = 256) -> DataFrame:
-        """Confirmed links between a bucket's smaller components and all its other components.
+    def heads(self, mixed: DataFrame) -> DataFrame:
+        """Per bucket: its largest component (main), the rows of that (most) and of all (n)."""
+        by_comp = mixed.groupBy("key", "comp").count()
+        return settle(by_comp.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most")), "heads")
+
+    def blockwise(self, mixed: DataFrame, top: DataFrame, block: int = 256) -> DataFrame:
+        """Confirmed links between a bucket's smaller components and all its other components; top are the heads() of the buckets.
 
         Sketches meet in blocks of at most about ``block`` rows a side and tell which rows have a promising partner;
         only their sets come to the same blocks, where the pairs are confirmed. A pair is compared in the first
         band that both share, once, and never becomes a row: only links come out.
         """
-        by_comp = mixed.groupBy("key", "comp").count()
-        top = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
         blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
         sized = salted_join(mixed, top, "key", "rid").select("key", "rid", "comp", (F.col("comp") != F.col("main")).alias("stray"), blocks(F.col("n")).alias("nm"), blocks(F.col("n") - F.col("most")).alias("ns"))
         place = lambda n: F.pmod(F.xxhash64("rid"), n).cast("int")
@@ -303,6 +310,11 @@ class Sketches:
         wide = sifted.join(sketched.select("rid", "sketch"), "rid").join(sets, "rid").select(*dealt, "stray", "rid", "comp", "n", "sketch", "elements").repartition(p, *dealt).sortWithinPartitions(*dealt)
         return settle(wide.mapInArrow(_by_group(3, confirm), "a bigint, b bigint"), "links")
 
+    @staticmethod
+    def _pairs(top: DataFrame) -> int:
+        """How many pairs of rows blockwise() meets."""
+        return top.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - F.col("most"))), F.lit(0))).first()[0]
+
     def labels(self) -> DataFrame:
         """(node, root) of every class that is linked with another."""
         bands = settle(self.buckets(), "bands")
@@ -313,17 +325,21 @@ class Sketches:
         links = self.confirmed(self.estimated(star))
         label = components(links)
         mixed = self.crossing(shared.select("key", "rid"), label, hot)
-        if mixed.isEmpty():
+        top = self.heads(mixed)
+        pairs = self._pairs(top)
+        if not pairs:
             return label
-        second = mixed.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64("rid", "key")).alias("lead"))
-        star = salted_join(mixed, second, "key", "rid").where("comp <> lead.comp").select(F.greatest("rid", "lead.rid").alias("a"), F.least("rid", "lead.rid").alias("b")).distinct()
-        star = settle(star, "star")
-        more = self.confirmed(self.estimated(star))
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links)
-            mixed = self.crossing(mixed.select("key", "rid"), label, hot)
-        more = self.blockwise(mixed)
+        if pairs > DIRECT * self.classes.count():
+            second = mixed.groupBy("key").agg(F.min_by(F.struct("rid", "comp"), F.xxhash64("rid", "key")).alias("lead"))
+            star = salted_join(mixed, second, "key", "rid").where("comp <> lead.comp").select(F.greatest("rid", "lead.rid").alias("a"), F.least("rid", "lead.rid").alias("b")).distinct()
+            star = settle(star, "star")
+            more = self.confirmed(self.estimated(star))
+            if not more.isEmpty():
+                links = links.union(more)
+                label = components(links)
+                mixed = self.crossing(mixed.select("key", "rid"), label, hot)
+                top = self.heads(mixed)
+        more = self.blockwise(mixed, top)
         return label if more.isEmpty() else components(links.union(more))
 
 
